@@ -8,16 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import BLANKS, WS, as_col, strip
+from .text import BLANK_CLASS, BLANKS, NON_WS, WS, as_col, strip
 
 # Patterns and symbols a field has to obey.
 EMAIL = r"(?d)^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PHONE = r"(?d)^\+?\p{Nd}{7,15}$"
-PHONE_NOISE = r"[\s\x1C-\x1F\x85\xA0  -     　\-\.\(\)]"
-URL = (
-    r"(?di)^https?://[^\s\x1C-\x1F\x85\xA0  -     　/$.?#]"
-    r".[^\s\x1C-\x1F\x85\xA0  -     　]*$"
-)
+PHONE_NOISE = rf"[{BLANK_CLASS}\-\.\(\)]"
+URL = rf"(?di)^https?://[^{BLANK_CLASS}/$.?#].{NON_WS}*$"
 MONEY_NOISE = "$€£¥₹,"
 
 _DIGITS = r"[0-9](?:_?[0-9])*"

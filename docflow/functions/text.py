@@ -11,8 +11,9 @@ BLANKS = (
     "           "
     "    　"
 )
-WS = r"[\s\x1C-\x1F\x85\xA0  -     　]"
-NON_WS = r"[^\s\x1C-\x1F\x85\xA0  -     　]"
+BLANK_CLASS = r"\s\x1C-\x1F\x85\xA0  -     　"
+WS = f"[{BLANK_CLASS}]"
+NON_WS = f"[^{BLANK_CLASS}]"
 
 
 def as_col(c) -> Column:
