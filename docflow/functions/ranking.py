@@ -7,6 +7,9 @@ per-bucket summaries are combined per group. All results are exact.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,11 +62,11 @@ def _bucketed(df: DataFrame, keys, bucket: Column, amount: Column):
 
 
 def _attach(keyed: DataFrame, offsets: DataFrame, keys) -> DataFrame:
-    on = [keyed[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]]
-    joined = keyed.join(offsets, on, "left")
-    joined = joined.select(*[keyed[c] for c in keyed.columns], offsets["_before"])
+    on = [*keys, "_bucket"]
+    side = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in on], "_before")
+    joined = keyed.join(side, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in on]), "left")
     # Without this a join partitioned by the key alone would satisfy the window as well.
-    return joined.repartition(*keys, "_bucket")
+    return joined.select(*keyed.columns, "_before").repartition(*on)
 
 
 def bucketed_rank(df: DataFrame, keys, bucket: Column, order, name="rank") -> DataFrame:

@@ -67,22 +67,23 @@ def check_permissions(requests: DataFrame, users: DataFrame, role_permissions: D
 # The result is the same as that of one walk.
 
 
-def _runs(batches: Iterator[pd.DataFrame], by) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Consecutive rows with the same ``by`` values, whole runs only."""
-    held = []
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(key, chunk, times) of each run of rows with the same key and chunk, whole runs only."""
+    at, held = None, []
     for batch in batches:
-        if not len(batch):
-            continue
-        change = (batch[by] != batch[by].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(change)
-        for lo, hi in zip(starts, [*starts[1:], len(batch)]):
-            piece = batch.iloc[lo:hi]
-            if held and tuple(held[0][by].iloc[0]) != tuple(piece[by].iloc[0]):
-                yield tuple(held[0][by].iloc[0]), pd.concat(held)
+        keys, chunks, times = (batch[c].to_numpy() for c in ("key", "chunk", "t"))
+        edges = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+        bounds = [0, *edges.tolist(), len(keys)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            if lo == hi:
+                continue
+            if at is not None and at != (keys[lo], chunks[lo]):
+                yield *at, np.concatenate(held)
                 held = []
-            held.append(piece)
+            at = (keys[lo], chunks[lo])
+            held.append(times[lo:hi])
     if held:
-        yield tuple(held[0][by].iloc[0]), pd.concat(held)
+        yield *at, np.concatenate(held)
 
 
 def chunk_steps(times: np.ndarray, window: int, begin: int):
@@ -110,12 +111,19 @@ STEPS = (
 INHERITED = "key string, chunk bigint, in_start bigint, in_count bigint"
 
 
-def _summaries(window: int, length: int):
+def _summaries(window: int, length: int, per_batch=1000):
+    columns = ["key", "chunk", "n", "bounds", "exits", "counts"]
+
     def work(batches):
-        for (key, chunk), rows in _runs(batches, ["key", "chunk"]):
-            bounds, exits, counts = chunk_steps(rows["t"].to_numpy(), window, int(chunk) * length)
-            yield pd.DataFrame([(key, chunk, len(rows), bounds, exits, counts)],
-                               columns=["key", "chunk", "n", "bounds", "exits", "counts"])
+        rows = []
+        for key, chunk, times in _runs(batches):
+            rows.append((key, chunk, len(times), *chunk_steps(times, window, int(chunk) * length)))
+            if len(rows) >= per_batch:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
     return work
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.boxes import ordered_box, unscaled
 from ..functions.html_tree import Node, read_html
@@ -62,7 +63,7 @@ def clean_page(html: str | None, joiner: str = "") -> str | None:
 def clean_document_html(df: DataFrame, html="html", out="cleaned", joiner="") -> DataFrame:
     """Adds the cleaned body of each page."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cleaned(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in pages:
             yield batch.map(lambda p: clean_page(p, joiner))
@@ -70,7 +71,10 @@ def clean_document_html(df: DataFrame, html="html", out="cleaned", joiner="") ->
     return df.withColumn(out, cleaned(F.col(html)))
 
 
-@F.pandas_udf("array<struct<tag:string,text:string,raw:string>>")
+_ELEMENT = T.StructType([T.StructField(n, T.StringType()) for n in ("tag", "text", "raw")])
+
+
+@F.pandas_udf(T.ArrayType(_ELEMENT))
 def _boxed(pages: pd.Series) -> pd.Series:
     def found(page):
         if page is None or "data-bbox" not in page.lower():

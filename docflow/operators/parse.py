@@ -7,14 +7,14 @@ none of them shuffles; the HTML and XML jobs use Arrow batches.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import json_text as J
-from ..functions.boxes import BOX, CORNERS, box_or_null, make_box
+from ..functions.boxes import CORNERS, box_or_null, make_box
 from ..functions.text import WS, as_col, strip, strip_quotes
 
 # Textual forms of boxes, points, pairs, tags and chat markers.
@@ -171,7 +171,14 @@ def parse_xml_points(df: DataFrame, text="text") -> DataFrame:
     )
 
 
-@F.pandas_udf("points array<struct<x:string,y:string>>, alt string, phrase string")
+_POINT = T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType())])
+_DECODED = T.StructType([
+    T.StructField("points", T.ArrayType(_POINT)), T.StructField("alt", T.StringType()),
+    T.StructField("phrase", T.StringType()),
+])
+
+
+@F.pandas_udf(_DECODED)
 def _decode(texts: pd.Series) -> pd.DataFrame:
     def one(text):
         try:

@@ -1 +1,6 @@
 """Named queries over the test tables and their SQL counterparts."""
+
+from . import logs, validation  # noqa: F401
+from .catalog import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -19,7 +19,7 @@ def text(c) -> F.Column:
 
 # --- orders and lines -------------------------------------------------------------
 
-MONEY = "decimal(18,2)"
+MONEY, EXACT = "decimal(18,2)", "decimal(20,4)"
 
 
 def line_items(spark, sf) -> DataFrame:
@@ -31,23 +31,23 @@ def line_items(spark, sf) -> DataFrame:
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"),
         quantity.cast(MONEY).alias("quantity"), price.alias("unit_price"),
         (quantity * price + extra).cast(MONEY).alias("amount"),
-        (F.col("l_extendedprice") * F.col("l_tax")).cast(MONEY).alias("tax"),
-        (F.col("l_extendedprice") * F.col("l_discount")).cast(MONEY).alias("discount"),
+        (F.col("l_extendedprice").cast(MONEY) * F.col("l_tax").cast("decimal(4,2)")).alias("tax"),
+        (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)")).alias("discount"),
     )
 
 
 def summary(spark, sf) -> DataFrame:
     """One row per order; some subtotals and totals are off on purpose."""
     sums = line_items(spark, sf).groupBy("doc_id").agg(
-        *[F.sum(c).cast(MONEY).alias(c) for c in ("amount", "tax", "discount")])
-    zero = F.lit(0).cast(MONEY)
+        *[F.sum(c).cast(EXACT).alias(c) for c in ("amount", "tax", "discount")])
+    zero = F.lit(0).cast(EXACT)
     joined = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).join(sums, "doc_id", "left")
     amount, tax, discount = (F.coalesce(c, zero) for c in ("amount", "tax", "discount"))
     subtotal = amount + F.when(F.col("doc_id") % 11 == 0, 5).otherwise(0).cast("decimal(3,0)")
     total = subtotal + tax - discount + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0).cast("decimal(3,0)")
     return joined.select(
-        "doc_id", subtotal.cast(MONEY).alias("subtotal"), tax.alias("tax"), discount.alias("discount"),
-        total.cast(MONEY).alias("total"))
+        "doc_id", subtotal.cast(EXACT).alias("subtotal"), tax.alias("tax"), discount.alias("discount"),
+        total.cast(EXACT).alias("total"))
 
 
 def _written(date: F.Column, form: F.Column) -> F.Column:
@@ -185,7 +185,7 @@ def usage(spark, sf) -> DataFrame:
 def api_keys(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
-    expires = F.when(k % 3 == 0, F.timestampadd("DAY", (k % 30).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    expires = F.when(k % 3 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k % 30).cast("int")))
     return c.select(
         text(k).alias("key_id"), F.sha2(F.concat(F.lit("key-"), text(k)).cast("binary"), 256).alias("key_hash"),
         text(k % 10).alias("tenant_id"), expires.alias("expires_at"), (F.col("c_acctbal") >= 0).alias("is_active"),
@@ -239,7 +239,7 @@ def attempts(spark, sf) -> DataFrame:
     mark = (F.col("event_id") * 7 + F.col("attempt_no") * 3) % 8
     return tries.select(
         F.col("event_id").alias("delivery_id"), text(F.col("user_id") % 25).alias("webhook_id"), "attempt_no",
-        F.timestampadd("SECOND", F.col("attempt_no") * 5, F.col("ts")).alias("ts"),
+        (F.col("ts") + F.make_dt_interval(secs=F.col("attempt_no") * 5)).alias("ts"),
         F.when(mark == 0, 200).when(mark < 6, 500).alias("code"),
         F.when(mark < 6, F.concat(F.lit("answer "), text(mark))).alias("body"),
         F.when(mark >= 6, F.lit("timeout")).alias("error"),

@@ -102,12 +102,12 @@ def prometheus_lines(obs: DataFrame) -> DataFrame:
     kind = F.col("family")
     plain = F.array(
         F.concat(F.lit("# TYPE "), name, F.lit(" "), kind),
-        F.concat("key", F.lit(" "), F.col("value").cast("string")),
+        F.concat("key", F.lit(" "), F.col("value").cast("double").cast("string")),
     )
     spread = F.array(
         F.concat(F.lit("# TYPE "), name, F.lit(" histogram")),
         F.concat(name, F.lit("_count"), label, F.lit(" "), F.col("count").cast("string")),
-        F.concat(name, F.lit("_sum"), label, F.lit(" "), F.col("sum").cast("string")),
+        F.concat(name, F.lit("_sum"), label, F.lit(" "), F.col("sum").cast("double").cast("string")),
     )
     every = metrics.all_metrics(obs)
     lines = F.when(kind == "histogram", spread).otherwise(plain)
