@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import let
 from .text import BLANK_CLASS, BLANKS, NON_WS, WS, as_col, strip
 
 # Patterns and symbols a field has to obey.
@@ -36,52 +37,48 @@ _SHORT = "(" + "|".join(m[:3] for m in MONTHS) + ")"
 _SP = WS + "+"
 
 # Order matters: the first form that reads the text wins, so day comes before month.
-# name -> (pattern, group of year, group of month, group of day)
+# name -> (pattern, the same date as year, month, day by group, format of that)
 DATE_FORMS = {
-    "Y-m-d": (rf"^{_YEAR}-{_MONTH}-{_DAY}$", 1, 2, 3),
-    "d/m/Y": (rf"^{_DAY}/{_MONTH}/{_YEAR}$", 3, 2, 1),
-    "m/d/Y": (rf"^{_MONTH}/{_DAY}/{_YEAR}$", 3, 1, 2),
-    "d-m-Y": (rf"^{_DAY}-{_MONTH}-{_YEAR}$", 3, 2, 1),
-    "B d, Y": (rf"(?i)^{_LONG}{_SP}{_DAY},{_SP}{_YEAR}$", 3, 1, 2),
-    "b d, Y": (rf"(?i)^{_SHORT}{_SP}{_DAY},{_SP}{_YEAR}$", 3, 1, 2),
-    "d B Y": (rf"(?i)^{_DAY}{_SP}{_LONG}{_SP}{_YEAR}$", 3, 2, 1),
+    "Y-m-d": (rf"^{_YEAR}-{_MONTH}-{_DAY}$", "$1-$2-$3", "y-M-d"),
+    "d/m/Y": (rf"^{_DAY}/{_MONTH}/{_YEAR}$", "$3-$2-$1", "y-M-d"),
+    "m/d/Y": (rf"^{_MONTH}/{_DAY}/{_YEAR}$", "$3-$1-$2", "y-M-d"),
+    "d-m-Y": (rf"^{_DAY}-{_MONTH}-{_YEAR}$", "$3-$2-$1", "y-M-d"),
+    "B d, Y": (rf"(?i)^{_LONG}{_SP}{_DAY},{_SP}{_YEAR}$", "$3-$1-$2", "y-MMMM-d"),
+    "b d, Y": (rf"(?i)^{_SHORT}{_SP}{_DAY},{_SP}{_YEAR}$", "$3-$1-$2", "y-MMM-d"),
+    "d B Y": (rf"(?i)^{_DAY}{_SP}{_LONG}{_SP}{_YEAR}$", "$3-$2-$1", "y-MMMM-d"),
 }
-EXTRA_DATE_FORM = {"d b Y": (rf"(?i)^{_DAY}{_SP}{_SHORT}{_SP}{_YEAR}$", 3, 2, 1)}
-
-
-def _month_number(text: Column) -> Column:
-    names = "".join(m[:3] for m in MONTHS)
-    by_name = ((F.instr(F.lit(names), F.lower(F.substring(text, 1, 3))) + 2) / 3).cast("int")
-    return F.when(text.rlike("^[0-9]"), text).otherwise(by_name.cast("string"))
+EXTRA_DATE_FORM = {"d b Y": (rf"(?i)^{_DAY}{_SP}{_SHORT}{_SP}{_YEAR}$", "$3-$2-$1", "y-MMM-d")}
 
 
 def _read(text: Column, form) -> Column:
-    pattern, y, m, d = form
-    year = F.regexp_extract(text, pattern, y)
-    month = _month_number(F.regexp_extract(text, pattern, m))
-    day = F.trim(F.regexp_extract(text, pattern, d))
-    iso = F.concat(
-        year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")
-    )
-    return F.when(text.rlike(pattern) & (year != "0000"), iso.try_cast("date"))
+    pattern, order, fmt = form
+    plain = F.translate(F.regexp_replace(text, pattern, order), " ", "")
+    if fmt == "y-M-d":
+        date = plain.try_cast("date")
+    else:
+        date = F.try_to_timestamp(plain, F.lit(fmt)).cast("date")
+    return F.when(text.rlike(pattern) & ~F.endswith(text, F.lit("0000")) & ~F.startswith(text, F.lit("0000")), date)
 
 
 def parse_date(c, extra=False) -> Column:
     """Date of a text in one of the known forms, null otherwise (also for 30 February)."""
-    text = strip(c)
     forms = {**DATE_FORMS, **(EXTRA_DATE_FORM if extra else {})}
-    # The two slash forms and the two dash forms exclude each other on sight of the text.
-    has_slash = F.contains(text, F.lit("/"))
-    slash = F.coalesce(_read(text, forms["d/m/Y"]), _read(text, forms["m/d/Y"]))
-    dashed = F.coalesce(_read(text, forms["Y-m-d"]), _read(text, forms["d-m-Y"]))
-    named = F.coalesce(*[_read(text, f) for n, f in forms.items() if "b" in n.lower()])
-    return F.when(has_slash, slash).when(F.contains(text, F.lit("-")), dashed).otherwise(named)
+
+    def read(text):
+        # The slash, dash and name forms exclude each other on sight of the text.
+        first = lambda *names: F.coalesce(*[_read(text, forms[n]) for n in names])
+        named = first(*[n for n in forms if "b" in n.lower()])
+        return (
+            F.when(F.contains(text, F.lit("/")), first("d/m/Y", "m/d/Y"))
+            .when(F.contains(text, F.lit("-")), first("Y-m-d", "d-m-Y"))
+            .otherwise(named)
+        )
+
+    return let(strip(c), read)
 
 
 def _float(text: Column) -> Column:
-    return F.when(
-        text.rlike(FLOAT), F.regexp_replace(text, "_", "").try_cast("double")
-    )
+    return let(text, lambda t: F.when(t.rlike(FLOAT), F.translate(t, "_", "").try_cast("double")))
 
 
 def _drop(c, chars) -> Column:
@@ -141,18 +138,14 @@ def valid_field(value, field_type) -> Column:
     ).otherwise(F.lit(True))
 
 
-def field_error(value, field_type) -> Column:
-    """Message for an invalid value, null for a valid one."""
+def error_text(value, field_type) -> Column:
+    """Message for a value known to be invalid."""
     kind, text = as_col(field_type), as_col(value)
-    label = (
-        F.when((kind == "percentage") & percentage(text).isNotNull(), F.lit("Percentage out of range: "))
-        .otherwise(F.concat(
-            F.lit("Invalid "),
-            F.when(kind == "url", F.lit("URL")).otherwise(kind),
-            F.lit(" format: "),
-        ))
-    )
-    return F.when(~valid_field(text, kind), F.concat(label, text))
+    off_range = (kind == "percentage") & percentage(text).isNotNull()
+    name = F.when(kind == "url", F.lit("URL")).otherwise(kind)
+    label = F.when(off_range, F.lit("Percentage out of range: ")).otherwise(
+        F.concat(F.lit("Invalid "), name, F.lit(" format: ")))
+    return F.concat(label, text)
 
 
 def to_number(c, dtype=None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import let
 from .text import as_col, strip
 
 # Where a response may carry its JSON, in the order they are tried.
@@ -21,12 +22,13 @@ def _wrap(c: Column) -> Column:
     return F.concat(F.lit('{"x":'), c, F.lit(',"__end":1}'))
 
 
+def _exact(w: Column) -> Column:
+    return (F.size(F.json_object_keys(w)) == 2) & F.try_parse_json(w).isNotNull()
+
+
 def is_json(c) -> Column:
     """True when the whole text is exactly one JSON value."""
-    w = _wrap(as_col(c))
-    return F.coalesce(
-        (F.size(F.json_object_keys(w)) == 2) & F.try_parse_json(w).isNotNull(), F.lit(False)
-    )
+    return F.coalesce(let(_wrap(as_col(c)), _exact), F.lit(False))
 
 
 def is_loose_json(c) -> Column:
@@ -34,6 +36,12 @@ def is_loose_json(c) -> Column:
     return F.coalesce(F.size(F.json_object_keys(_wrap(as_col(c)))) == 2, F.lit(False))
 
 
+def read_json(c) -> Column:
+    """The value of a text that is exactly one JSON value, else null."""
+    return let(_wrap(as_col(c)), lambda w: F.when(
+        F.size(F.json_object_keys(w)) == 2, F.try_variant_get(F.try_parse_json(w), "$.x", "variant")))
+
+
 def is_object(c) -> Column:
     return F.coalesce(F.startswith(F.ltrim(as_col(c)), F.lit("{")), F.lit(False))
 
@@ -50,31 +58,30 @@ def json_truthy(c) -> Column:
 
 
 def _cut(candidate: Column, greedy: str, opener: str) -> Column:
-    candidate = strip(candidate)
-    inner = F.regexp_extract(candidate, greedy, 0)
-    return F.when(
-        ~F.startswith(candidate, F.lit(opener)) & (F.length(inner) > 0), inner
-    ).otherwise(candidate)
+    def inner(text):
+        part = F.regexp_extract(text, greedy, 0)
+        return F.when(F.startswith(text, F.lit(opener)), text).otherwise(
+            F.coalesce(F.nullif(part, F.lit("")), text))
+
+    return let(strip(candidate), inner)
 
 
 def _first(text: Column, greedy: str, opener: str, accept) -> Column:
     """First acceptable candidate over the three places, or null."""
 
-    def among(found: Column) -> Column:
-        cut = F.transform(found, lambda m: _cut(m, greedy, opener))
-        return F.get(F.filter(cut, accept), F.lit(0))
+    def among(pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.get(F.filter(F.transform(found, lambda m: _cut(m, greedy, opener)), accept), F.lit(0))
 
-    whole = _cut(F.regexp_extract(text, greedy, 0), greedy, opener)
-    return F.coalesce(
-        among(F.regexp_extract_all(text, F.lit(FENCED_JSON), F.lit(1))),
-        among(F.regexp_extract_all(text, F.lit(FENCED_ANY), F.lit(1))),
-        F.when(accept(whole), whole),
-    )
+    fenced = F.contains(text, F.lit("```"))
+    whole = let(F.regexp_extract(text, greedy, 0), lambda w: F.when(accept(w), w))
+    return F.coalesce(F.when(fenced, F.coalesce(among(FENCED_JSON), among(FENCED_ANY))), whole)
 
 
 def find_json(text) -> Column:
     """Text of the first JSON value of a response; null when there is none."""
-    return F.nullif(_first(as_col(text), BRACES, "{", is_json), F.lit("null"))
+    found = _first(as_col(text), BRACES, "{", is_json)
+    return let(found, lambda j: F.when(j != "null", j))
 
 
 def find_json_array(text) -> Column:

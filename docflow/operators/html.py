@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.boxes import ordered_box, unscaled
 from ..functions.html_tree import Node, read_html
+from ..functions.shared import unfold
 
 # Styles, attributes and classes the cleaning acts on.
 COLOUR_STYLE = re.compile(r"\bcolor:[^;]+;?")
@@ -94,7 +95,8 @@ def html_boxes(df: DataFrame, html="html", resized=("resized_w", "resized_h"), o
     ``resized`` and ``original`` name the columns with the size the model saw and the real one.
     """
     rest = [c for c in df.columns if c != html]
-    rows = df.select(*rest, F.posexplode(_boxed(F.col(html))).alias("element_no", "_e"))
+    read = df.select(*rest, _boxed(F.col(html)).alias("_all"))
+    rows = unfold(read, rest, "_all", "element_no", "_e")
     four = F.split(F.trim(F.col("_e.raw")), r"\s+")
     at = [F.get(four, F.lit(i)).try_cast("bigint") for i in range(4)]
     w, h = [(F.col(a), F.col(b)) for a, b in zip(resized, original)]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import json_text as J
 from ..functions.boxes import CORNERS, box_or_null, make_box
+from ..functions.shared import let, unfold
 from ..functions.text import WS, as_col, strip, strip_quotes
 
 # Textual forms of boxes, points, pairs, tags and chat markers.
@@ -40,12 +41,15 @@ def parse_json_array(df: DataFrame, text="text", out="json") -> DataFrame:
     return df.withColumn(out, J.find_json_array(text))
 
 
+FENCE = r"(?s)(?:\A|\n)```json(?:\n|\z)(.*?)(?:```|\z)"
+
+
 def fence_body(text) -> Column:
     """Text between a line that is exactly a json fence and the next fence; else unchanged."""
     col = as_col(text)
     lines = F.regexp_replace(F.regexp_replace(col, LINE_ENDS, "\n"), r"\n\z", "")
-    opened = r"(?s)(?:\A|\n)```json(?:\n|\z)(.*?)(?:```|\z)"
-    return F.when(lines.rlike(opened), F.regexp_extract(lines, opened, 1)).otherwise(col)
+    body = let(lines, lambda t: F.when(t.rlike(FENCE), F.regexp_extract(t, FENCE, 1)).otherwise(col))
+    return F.when(F.contains(col, F.lit("```json")), body).otherwise(col)
 
 
 def strip_fence(df: DataFrame, text="text", out="body") -> DataFrame:
@@ -54,11 +58,15 @@ def strip_fence(df: DataFrame, text="text", out="body") -> DataFrame:
 
 def loose_items(text) -> Column:
     """Elements of a list that may be cut short: null when even the repaired text is no list."""
-    body = fence_body(text)
-    head = F.regexp_extract(body, r'(?s)^(.*"\})', 1)
-    mended = F.concat(F.when(F.length(head) > 0, head).otherwise(F.substring(body, 1, 1)), F.lit("]"))
-    whole = F.when(J.is_loose_json(body), body).when(J.is_loose_json(mended), mended)
-    return F.from_json(F.when(J.is_array(whole), whole), "ARRAY<STRING>", {"allowSingleQuotes": "true"})
+
+    def mend(body):
+        head = F.regexp_extract(body, r'(?s)^(.*"\})', 1)
+        fixed = F.concat(F.coalesce(F.nullif(head, F.lit("")), F.substring(body, 1, 1)), F.lit("]"))
+        return F.when(J.is_loose_json(body), body).otherwise(let(fixed, lambda t: F.when(J.is_loose_json(t), t)))
+
+    whole = let(fence_body(text), mend)
+    read = lambda t: F.from_json(F.when(J.is_array(t), t), "ARRAY<STRING>", {"allowSingleQuotes": "true"})
+    return let(whole, read)
 
 
 def repair_truncated(df: DataFrame, text="text", out="items") -> DataFrame:
@@ -66,25 +74,29 @@ def repair_truncated(df: DataFrame, text="text", out="items") -> DataFrame:
     return df.withColumn(out, loose_items(text))
 
 
+def _json_box(v: Column) -> Column:
+    """Box of an object with x1..y2 or of a list of four."""
+    whole = lambda at: let(make_box(*[let(a, J.variant_int) for a in at]), box_or_null)
+    kind = J.kind(v)
+    return F.when(kind.startswith("OBJECT"), whole([J.variant_at(v, n) for n in CORNERS])).when(
+        kind.startswith("ARRAY") & F.try_variant_get(v, "$[4]", "variant").isNull(),
+        whole([F.try_variant_get(v, f"$[{i}]", "variant") for i in range(4)]),
+    )
+
+
 def read_box(text) -> Column:
     """One box from JSON with x1..y2, a JSON list of four, or four digits groups in the text."""
     col = as_col(text)
-    v = F.when(J.is_json(col), F.try_parse_json(col))
-    named = make_box(*[J.variant_int(J.variant_at(v, n)) for n in CORNERS])
-    listed = F.from_json(F.when(J.is_array(col) & J.is_json(col), col), "ARRAY<VARIANT>")
-    by_place = make_box(*[J.variant_int(F.get(listed, F.lit(i))) for i in range(4)])
     found = [
         F.when(
             col.rlike(form),
-            make_box(*[F.regexp_extract(col, form, g).try_cast("bigint") for g in range(1, 5)]),
+            let(F.regexp_extract(col, form, 0), lambda t: let(
+                F.transform(F.regexp_extract_all(t, F.lit(r"(\d+)")), lambda d: d.try_cast("bigint")),
+                lambda n: make_box(*[n[i] for i in range(4)]))),
         )
         for form in BOX_FORMS
     ]
-    return F.coalesce(
-        F.when(J.is_object(col), box_or_null(named)),
-        F.when(F.size(listed) == 4, box_or_null(by_place)),
-        *found,
-    )
+    return F.coalesce(let(J.read_json(col), _json_box), *found)
 
 
 def parse_bbox(df: DataFrame, text="text", out="bbox") -> DataFrame:
@@ -111,21 +123,16 @@ def box_items(df: DataFrame, text="text", out="items") -> DataFrame:
     A JSON object counts only when it is a box itself; JSON of another kind gives nothing; then
     a JSON array is taken as it is; last, ``label: [a, b, c, d]`` in the text.
     """
+    col = as_col(text)
     none = F.array().cast("array<string>")
-    found = df.withColumn("_obj", J.find_json(text)).withColumn(
-        "_arr", F.when(~J.json_truthy("_obj"), J.find_json_array(text))
-    )
-    keys = F.json_object_keys("_obj")
-    is_box = F.array_contains(keys, "bbox") | (
-        F.size(F.array_intersect(keys, F.array(*map(F.lit, CORNERS)))) == 4
-    )
-    return found.withColumn(
-        out,
-        F.when(J.json_truthy("_obj"),
-               F.when(J.is_object("_obj") & F.coalesce(is_box, F.lit(False)), F.array("_obj")).otherwise(none))
-        .when(J.json_truthy("_arr"), J.list_items("_arr"))
-        .otherwise(_labelled(as_col(text))),
-    ).drop("_obj", "_arr")
+    corners = F.array(*map(F.lit, CORNERS))
+    is_box = lambda keys: F.array_contains(keys, "bbox") | (F.size(F.array_intersect(keys, corners)) == 4)
+    from_object = lambda obj: F.when(
+        J.is_object(obj) & F.coalesce(let(F.json_object_keys(obj), is_box), F.lit(False)), F.array(obj)).otherwise(none)
+    from_array = lambda arr: F.when(J.json_truthy(arr), J.list_items(arr)).otherwise(_labelled(col))
+    pick = lambda obj: F.when(J.json_truthy(obj), from_object(obj)).otherwise(
+        let(J.find_json_array(col), from_array))
+    return df.withColumn(out, let(J.find_json(col), pick))
 
 
 ITEM = (
@@ -146,19 +153,27 @@ def item_box(item: Column) -> Column:
     )
 
 
-def parse_boxes(df: DataFrame, text="text") -> DataFrame:
-    """One row per box: position ``box_no``, the item's JSON, its known members and its box."""
-    rows = box_items(df, text, "_items")
-    rows = rows.select(
-        *df.columns, F.size("_items").alias("box_count"), F.posexplode("_items").alias("box_no", "item")
-    ).withColumn("_i", F.from_json("item", ITEM))
+NAMES = ("label", "text", "text_content", "type", "level", "title", "order", "color", "bbox_2d")
+
+
+def _box_rows(listed: DataFrame, rest) -> DataFrame:
+    counted = listed.withColumn("box_count", F.size("_items"))
+    rows = unfold(counted, [*rest, "box_count"], "_items", "box_no", "item").withColumn("_i", F.from_json("item", ITEM))
     i = F.col("_i")
-    names = ("label", "text", "text_content", "type", "level", "title", "order", "color", "bbox_2d")
-    # The source text is done with; keeping it would repeat it once per box.
-    return rows.select(
-        *[c for c in df.columns if c != text], "box_count", "box_no", "item",
-        *[i[n].alias(n) for n in names], item_box(i).alias("bbox"),
-    )
+    return rows.select(*rest, "box_count", "box_no", "item", *[i[n].alias(n) for n in NAMES], item_box(i).alias("bbox"))
+
+
+def parse_boxes(df: DataFrame, text="text") -> DataFrame:
+    """One row per box: position ``box_no``, the item's JSON, its known members and its box.
+
+    The source text is left behind; it would be repeated once per box.
+    """
+    return _box_rows(box_items(df, text, "_items"), [c for c in df.columns if c != text])
+
+
+def loose_boxes(df: DataFrame, text="text") -> DataFrame:
+    """Like :func:`parse_boxes` for list responses that may be cut short or single-quoted."""
+    return _box_rows(repair_truncated(df, text, "_items"), [c for c in df.columns if c != text])
 
 
 def parse_xml_points(df: DataFrame, text="text") -> DataFrame:
@@ -166,9 +181,9 @@ def parse_xml_points(df: DataFrame, text="text") -> DataFrame:
     xs = F.regexp_extract_all(text, F.lit(POINT), F.lit(1))
     ys = F.regexp_extract_all(text, F.lit(POINT), F.lit(2))
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(F.arrays_zip(xs.alias("x"), ys.alias("y"))).alias("point_no", "p")).select(
-        *rest, "point_no", F.col("p.x").try_cast("bigint").alias("x"), F.col("p.y").try_cast("bigint").alias("y")
-    )
+    rows = unfold(df, rest, F.arrays_zip(xs.alias("x"), ys.alias("y")), "point_no", "p")
+    return rows.select(
+        *rest, "point_no", F.col("p.x").try_cast("bigint").alias("x"), F.col("p.y").try_cast("bigint").alias("y"))
 
 
 _POINT = T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType())])
@@ -234,22 +249,15 @@ def pair_items(text) -> Column:
 def extract_pairs(df: DataFrame, text="text") -> DataFrame:
     """One row per key and value. JSON objects give their entries, other text its pairs."""
     rest = [c for c in df.columns if c != text]
-    entry = F.transform(
-        F.map_entries(J.object_items("_obj")),
-        lambda e: F.struct(e["key"].alias("key"), J.show_value(e["value"]).alias("value")),
-    )
-    read = df.withColumn("_obj", J.find_json(text)).withColumn(
-        "_pairs",
-        F.when(J.is_object("_obj") & J.json_truthy("_obj"), entry).otherwise(pair_items(text)),
-    )
+    shown = lambda e: F.struct(e["key"].alias("key"), let(e["value"], J.show_value).alias("value"))
+    entries = lambda obj: F.transform(F.map_entries(J.object_items(obj)), shown)
+    pick = lambda obj: F.when(J.is_object(obj) & J.json_truthy(obj), entries(obj)).otherwise(pair_items(text))
     # First occurrence wins: sort by key and place inside the row, keep the head of each run.
-    ranked = F.transform("_pairs", lambda p, i: F.struct(p["key"].alias("key"), i.alias("pos"), p["value"].alias("value")))
-    ordered = read.withColumn("_sorted", F.array_sort(ranked))
-    heads = F.filter(
-        "_sorted",
-        lambda p, i: (i == 0) | (F.get(F.col("_sorted"), i - 1)["key"] != p["key"]),
-    )
-    return ordered.select(*rest, F.explode(heads).alias("_p")).select(
+    placed = lambda p, i: F.struct(p["key"].alias("key"), i.alias("pos"), p["value"].alias("value"))
+    heads = lambda pairs: F.filter(
+        pairs, lambda p, i: F.coalesce(F.get(pairs, i - 1)["key"] != p["key"], F.lit(True)))
+    found = let(F.array_sort(F.transform(let(J.find_json(text), pick), placed)), heads)
+    return unfold(df, rest, found, "_n", "_p").select(
         *rest, F.col("_p.pos").alias("pos"), F.col("_p.key").alias("key"), F.col("_p.value").alias("value")
     )
 
@@ -295,7 +303,7 @@ def prior_steps(df: DataFrame, text="text") -> DataFrame:
     rest = [c for c in df.columns if c != text]
     numbers = F.regexp_extract_all(text, F.lit(STEP), F.lit(1))
     calls = F.regexp_extract_all(text, F.lit(STEP), F.lit(2))
-    rows = df.select(*rest, F.explode(F.arrays_zip(numbers.alias("n"), calls.alias("c"))).alias("_s"))
+    rows = unfold(df, rest, F.arrays_zip(numbers.alias("n"), calls.alias("c")), "_n", "_s")
     call = F.from_json(F.when(J.is_json(F.col("_s.c")), F.col("_s.c")), CALL)
     return rows.withColumn("_c", call).select(
         *rest, F.col("_s.n").cast("int").alias("step"), F.col("_c.name").alias("name"),

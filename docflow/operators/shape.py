@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import json_text as J
 from ..functions.boxes import BOX, ordered_box, scaled
+from ..functions.shared import let, unfold
 from ..functions.text import as_col, shorten, word_count
 from . import parse as P
 
@@ -22,11 +23,8 @@ def _rest(df: DataFrame, *drop) -> list[str]:
 
 def _read(df: DataFrame, text: str, schema: str) -> DataFrame:
     """Keys of the response plus ``_r``, its JSON object read with a schema (null if none)."""
-    obj = J.find_json(text)
-    found = df.withColumn("_obj", obj)
-    return found.select(
-        *_rest(df, text), F.from_json(F.when(J.is_object("_obj"), F.col("_obj")), schema).alias("_r")
-    )
+    read = let(J.find_json(text), lambda obj: F.from_json(F.when(J.is_object(obj), obj), schema))
+    return df.select(*_rest(df, text), read.alias("_r"))
 
 
 def _none(item: str) -> Column:
@@ -133,11 +131,10 @@ def _tables(df: DataFrame, text: str) -> DataFrame:
 def table_cells(df: DataFrame, text="text") -> DataFrame:
     """One row per cell: table, row and column number from 0, header (null without), value."""
     keys = _rest(df, text)
-    by_table = _tables(df, text).select(*keys, F.posexplode("_tables").alias("table_no", "_t"))
-    by_row = by_table.select(
-        *keys, "table_no", F.col("_t.headers").alias("_h"), F.posexplode("_t.rows").alias("row_no", "_row")
-    )
-    return by_row.select(*keys, "table_no", "row_no", "_h", F.posexplode("_row").alias("col_no", "value")).select(
+    by_table = unfold(_tables(df, text), keys, "_tables", "table_no", "_t")
+    by_row = unfold(by_table, [*keys, "table_no", F.col("_t.headers").alias("_h")], "_t.rows", "row_no", "_row")
+    cells = unfold(by_row, [*keys, "table_no", "row_no", "_h"], "_row", "col_no", "value")
+    return cells.select(
         *keys, "table_no", "row_no", "col_no",
         F.get(F.coalesce("_h", _none("string")), F.col("col_no")).alias("header"), "value",
     )
@@ -177,9 +174,7 @@ def table_frame(df: DataFrame, columns, index=0, text="text") -> DataFrame:
     """
     keys = _rest(df, text)
     picked = _tables(df, text).select(*keys, F.get("_tables", F.lit(index)).alias("_t"))
-    rows = picked.select(
-        *keys, F.coalesce("_t.headers", _none("string")).alias("_h"), F.posexplode("_t.rows").alias("row_no", "_row")
-    )
+    rows = unfold(picked, [*keys, F.coalesce("_t.headers", _none("string")).alias("_h")], "_t.rows", "row_no", "_row")
 
     def cell(i, name):
         by_name = F.get("_row", (F.array_position("_h", name) - 1).cast("int"))
@@ -194,26 +189,30 @@ def table_frame(df: DataFrame, columns, index=0, text="text") -> DataFrame:
 def fields_long(df: DataFrame, text="text") -> DataFrame:
     """One row per extracted field: value (as text), confidence, box, and the field count."""
     keys = _rest(df, text)
-    top = df.withColumn("_obj", J.find_json(text)).withColumn("_top", J.object_items("_obj"))
-    inner = F.get(F.map_values(F.map_filter("_top", lambda k, _: k == "fields")), F.lit(0))
-    fields = F.when(
-        F.map_contains_key("_top", F.lit("fields")),
-        F.when(J.kind(inner).startswith("OBJECT"), inner.cast("map<string,variant>")),
-    ).otherwise(F.col("_top"))
-    rows = (
-        top.withColumn("_fields", fields)
-        .select(*keys, F.size("_fields").alias("field_count"), F.explode("_fields").alias("field", "_v"))
-    )
-    nested = J.kind(F.col("_v")).startswith("OBJECT")
-    value = F.when(nested, F.try_variant_get("_v", "$.value", "variant")).otherwise(F.col("_v"))
-    return rows.withColumn("_value", value).select(
-        *keys, "field",
-        F.when(~J.is_missing(F.col("_value")), J.show_value(F.col("_value"))).alias("value"),
-        F.when(nested, F.try_variant_get("_v", "$.confidence", "double")).alias("confidence"),
-        F.from_json(F.when(nested, F.try_variant_get("_v", "$.bbox", "string")),
-                    "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE").cast(BOX).alias("bbox"),
-        "field_count",
-    )
+
+    def inner(top):
+        named = F.get(F.map_values(F.map_filter(top, lambda k, _: k == "fields")), F.lit(0))
+        nested = let(named, lambda v: F.when(J.kind(v).startswith("OBJECT"), v.cast("map<string,variant>")))
+        return F.when(F.map_contains_key(top, F.lit("fields")), nested).otherwise(top)
+
+    fields = let(let(J.find_json(text), J.object_items), inner)
+
+    def field(e):
+        v = e["value"]
+        boxed = J.kind(v).startswith("OBJECT")
+        shown = lambda x: F.when(~J.is_missing(x), J.show_value(x))
+        own = F.when(boxed, F.try_variant_get(v, "$.value", "variant")).otherwise(v)
+        return F.struct(
+            e["key"].alias("field"), let(own, shown).alias("value"),
+            F.when(boxed, F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
+            F.when(boxed, F.try_variant_get(v, "$.bbox", "string")).alias("bbox"),
+        )
+
+    read = df.select(*keys, fields.alias("_f")).select(
+        *keys, F.size("_f").alias("field_count"), F.transform(F.map_entries("_f"), field).alias("_f"))
+    rows = unfold(read, [*keys, "field_count"], "_f", "_n", "_x")
+    box = F.from_json("_x.bbox", "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE").cast(BOX)
+    return rows.select(*keys, "_x.field", "_x.value", "_x.confidence", box.alias("bbox"), "field_count")
 
 
 def normalise_specs(specs: DataFrame) -> DataFrame:
@@ -245,7 +244,7 @@ def _entities(df: DataFrame, text: str) -> DataFrame:
 
 
 def entities_long(df: DataFrame, text="text") -> DataFrame:
-    rows = _entities(df, text).select(*_rest(df, text), F.posexplode("_entities").alias("entity_no", "_e"))
+    rows = unfold(_entities(df, text), _rest(df, text), "_entities", "entity_no", "_e")
     return rows.select(
         *_rest(df, text), "entity_no", F.col("_e.text").alias("text"), F.col("_e.type").alias("type"),
         F.col("_e.confidence").alias("confidence"),
@@ -257,10 +256,8 @@ def entities_by_type(df: DataFrame, text="text") -> DataFrame:
     """Per response and type: number of entities and their texts, with the response's totals."""
     keys = _rest(df, text)
     rows = _entities(df, text).withColumn("_types", F.array_distinct("_entities.type"))
-    rows = rows.select(
-        *keys, "_entities", F.size("_entities").alias("entity_count"), F.size("_types").alias("type_count"),
-        F.explode("_types").alias("type"),
-    )
+    sizes = (F.size("_entities").alias("entity_count"), F.size("_types").alias("type_count"))
+    rows = unfold(rows, [*keys, "_entities", *sizes], "_types", "_n", "type")
     same = F.filter("_entities", lambda e: e["type"] == F.col("type"))
     return rows.select(
         *keys, "type", F.size(same).alias("n"), F.transform(same, lambda e: e["text"]).alias("texts"),
@@ -331,11 +328,9 @@ def form_elements(df: DataFrame, text="text") -> DataFrame:
         "struct<pos:int,e:struct<element:string,name:string,value:string,checked:boolean,"
         "label:string,colour:string,bbox:string>>"
     )
-    rows = read.select(
-        *keys, size("fields").alias("field_count"), size("checkboxes").alias("checkbox_count"),
-        size("signatures").alias("signature_count"),
-        F.explode(F.concat(*[_or_empty(n, item) for n in numbered])).alias("_x"),
-    )
+    counts = [size(n).alias(c) for n, c in (
+        ("fields", "field_count"), ("checkboxes", "checkbox_count"), ("signatures", "signature_count"))]
+    rows = unfold(read, [*keys, *counts], F.concat(*[_or_empty(n, item) for n in numbered]), "_n", "_x")
     return rows.select(*keys, "_x.e.element", F.col("_x.pos").alias("pos"), "_x.e.name", "_x.e.value",
                        "_x.e.checked", "_x.e.label", "_x.e.colour", "_x.e.bbox",
                        "field_count", "checkbox_count", "signature_count")
@@ -383,7 +378,7 @@ def invoice_payment(df: DataFrame, text="text") -> DataFrame:
 
 def invoice_line_items(df: DataFrame, text="text") -> DataFrame:
     """One row per line, numbered from 1; amounts stay text so currency marks survive."""
-    rows = _read(df, text, INVOICE).select(*_rest(df, text), F.posexplode("_r.line_items").alias("_p", "_l"))
+    rows = unfold(_read(df, text, INVOICE), _rest(df, text), "_r.line_items", "_p", "_l")
     return rows.select(
         *_rest(df, text), (F.col("_p") + 1).alias("line_no"), *[F.col("_l")[n].alias(n) for n in ITEM_FIELDS]
     )
@@ -420,11 +415,10 @@ def contract_parts(df: DataFrame, text="text") -> DataFrame:
     item = "struct<part:string,pos:int,name:string,value:string>"
     parts = [listed("parties"), mapped("dates"), listed("clauses"), listed("obligations"), mapped("key_terms")]
     size = lambda n: F.coalesce(F.size(r[n]), F.lit(0))
-    rows = _read(df, text, CONTRACT).select(
-        *keys, size("parties").alias("party_count"), size("clauses").alias("clause_count"),
-        size("obligations").alias("obligation_count"),
-        F.explode(F.concat(*[_or_empty(p, item) for p in parts])).alias("_x"),
-    )
+    counts = [size(n).alias(c) for n, c in (
+        ("parties", "party_count"), ("clauses", "clause_count"), ("obligations", "obligation_count"))]
+    every = F.concat(*[_or_empty(p, item) for p in parts])
+    rows = unfold(_read(df, text, CONTRACT), [*keys, *counts], every, "_n", "_x")
     return rows.select(*keys, "_x.part", "_x.pos", "_x.name", "_x.value",
                        "party_count", "clause_count", "obligation_count")
 
@@ -433,8 +427,7 @@ PARTY = "STRUCT<name STRING, role STRING, address STRING, representative STRING>
 
 
 def parties(df: DataFrame, text="text") -> DataFrame:
-    rows = _read(df, text, f"STRUCT<parties ARRAY<{PARTY}>>").select(
-        *_rest(df, text), F.posexplode("_r.parties").alias("party_no", "_p"))
+    rows = unfold(_read(df, text, f"STRUCT<parties ARRAY<{PARTY}>>"), _rest(df, text), "_r.parties", "party_no", "_p")
     return rows.select(*_rest(df, text), "party_no", "_p.*")
 
 
@@ -447,9 +440,8 @@ def key_dates(df: DataFrame, text="text") -> DataFrame:
         lambda e: F.struct(e["key"].alias("name"), e["value"].alias("date")),
     )
     other = F.from_json(F.try_element_at("_r.dates", F.lit("other_dates")), "ARRAY<STRUCT<name STRING, date STRING>>")
-    return read.select(
-        *_rest(df, text), F.explode(F.concat(_or_empty(named, pair), _or_empty(other, pair))).alias("_d")
-    ).select(*_rest(df, text), "_d.name", "_d.date")
+    every = F.concat(_or_empty(named, pair), _or_empty(other, pair))
+    return unfold(read, _rest(df, text), every, "_n", "_d").select(*_rest(df, text), "_d.name", "_d.date")
 
 
 # --- boxes for drawing --------------------------------------------------------

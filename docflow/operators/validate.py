@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,8 @@ from pyspark.sql import types as T
 from .. import dims
 from ..functions import formats
 from ..functions import json_text as J
-from ..functions.text import as_col, squeeze
+from ..functions.shared import let, unfold
+from ..functions.text import squeeze
 
 
 # --- one field ----------------------------------------------------------------
@@ -24,9 +23,8 @@ def check_format(df: DataFrame, kind: str, value="value", out="is_valid") -> Dat
 
 def validate_field(df: DataFrame, value="value", kind="type") -> DataFrame:
     """Adds verdict and message by the type named in a column."""
-    return df.withColumn("is_valid", formats.valid_field(value, kind)).withColumn(
-        "error", formats.field_error(value, kind)
-    )
+    judged = df.withColumn("is_valid", formats.valid_field(value, kind))
+    return judged.withColumn("error", F.when(~F.col("is_valid"), formats.error_text(value, kind)))
 
 
 def validate_fields(fields: DataFrame, specs: DataFrame, keys=("doc_id",)) -> DataFrame:
@@ -39,9 +37,8 @@ def validate_fields(fields: DataFrame, specs: DataFrame, keys=("doc_id",)) -> Da
     return (
         fields.where(F.length("value") > 0)
         .join(kinds, "field")
-        .withColumn("error", formats.field_error("value", "type"))
-        .where(F.col("error").isNotNull())
-        .select(*keys, "field", "type", "value", "error")
+        .where(~formats.valid_field("value", "type"))
+        .select(*keys, "field", "type", "value", formats.error_text("value", "type").alias("error"))
     )
 
 
@@ -66,11 +63,7 @@ def date_consistency(dates: DataFrame, rules: DataFrame, keys=("doc_id",)) -> Da
     keys = list(keys)
     side = lambda name: rules.select("rule_no", F.col(name).alias("field"), F.lit(name).alias("side"))
     wanted = side("before").unionByName(side("after"))
-    seen = (
-        dates.join(wanted, "field")
-        .withColumn("_d", formats.parse_date("value"))
-        .where(F.col("_d").isNotNull())
-    )
+    seen = dates.join(wanted, "field").withColumn("_d", formats.parse_date("value"))
     pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     pairs = seen.groupBy(*keys, "rule_no").agg(
         pick("before", "_d").alias("before_date"), pick("after", "_d").alias("after_date"),
@@ -192,18 +185,22 @@ def invoice_messages(checked: DataFrame, keys=("doc_id",)) -> DataFrame:
     total = F.when("total_error", F.concat(
         F.lit("Total mismatch: expected "), _money(F.col("expected_total")),
         F.lit(", reported "), _money(F.col("reported_total"))))
-    return checked.select(*keys, F.explode(F.array_compact(F.array(subtotal, total))).alias("error"))
+    return unfold(checked, keys, F.array_compact(F.array(subtotal, total)), "_n", "error").drop("_n")
 
 
 # --- records (nested JSON) ------------------------------------------------------
 
 
 def _with_variant(df: DataFrame, data: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.try_parse_json(F.when(J.is_json(data), F.col(data))))
+    return df.withColumn(name, J.read_json(data))
 
 
-def _present(v: Column) -> Column:
+def _present(value: Column) -> Column:
     """Neither absent, null, an empty text nor an empty list."""
+    return let(value, _is_present)
+
+
+def _is_present(v: Column) -> Column:
     empty = (J.kind(v) == "STRING") & (J.as_text(v) == "")
     bare = J.kind(v).startswith("ARRAY") & (F.to_json(v) == "[]")
     return ~J.is_missing(v) & ~F.coalesce(empty | bare, F.lit(False))
@@ -224,13 +221,14 @@ def field_dependencies(df: DataFrame, rules, data="data", keys=("doc_id",)) -> D
     read = _with_variant(df, data, "_v")
 
     def broken(trigger, field):
-        v = J.variant_at(F.col("_v"), field)
-        empty = J.is_missing(v) | F.coalesce((J.kind(v) == "STRING") & (J.as_text(v) == ""), F.lit(False))
+        blank = lambda v: J.is_missing(v) | F.coalesce(
+            (J.kind(v) == "STRING") & (J.as_text(v) == ""), F.lit(False))
+        empty = let(J.variant_at(F.col("_v"), field), blank)
         fires = J.variant_truthy(J.variant_at(F.col("_v"), trigger))
         return F.when(fires & empty, F.struct(F.lit(trigger).alias("if_field"), F.lit(field).alias("field")))
 
     found = [broken(t, f) for t, fields in rules for f in fields]
-    rows = read.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_b"))
+    rows = unfold(read, keys, F.array_compact(F.array(*found)), "_n", "_b")
     message = F.concat("_b.field", F.lit(" is required when "), "_b.if_field", F.lit(" is present"))
     return rows.select(*keys, "_b.if_field", "_b.field", message.alias("error"))
 
@@ -245,8 +243,8 @@ def cross_references(primary: DataFrame, secondary: DataFrame, pairs, key="doc_i
         read = _with_variant(df, data, "_v")
         cols = []
         for i, name in enumerate(names):
-            v = J.variant_at(F.col("_v"), name)
-            cols.append(F.when(J.variant_truthy(v), J.show_value(v)).alias(f"{prefix}{i}"))
+            shown = lambda v: F.when(J.variant_truthy(v), J.show_value(v))
+            cols.append(let(J.variant_at(F.col("_v"), name), shown).alias(f"{prefix}{i}"))
         return read.select(key, *cols)
 
     left = fields(primary, [p for p, _ in pairs], "p")
@@ -261,7 +259,7 @@ def cross_references(primary: DataFrame, secondary: DataFrame, pairs, key="doc_i
         )
 
     found = F.array_compact(F.array(*[mismatch(i, n) for i, n in enumerate(pairs)]))
-    return left.join(right, key).select(key, F.explode(found).alias("_m")).select(key, "_m.*")
+    return unfold(left.join(right, key), [key], found, "_n", "_m").select(key, "_m.*")
 
 
 # --- typed records --------------------------------------------------------------
@@ -317,12 +315,15 @@ def apply_schema(df: DataFrame, spec, data="data") -> DataFrame:
     optional one may be absent or null.
     """
     read = _with_variant(df, data, "_v")
-    values, marks = [], []
-    for name, kind, required in spec:
-        v = J.variant_at(F.col("_v"), name)
-        typed = _typed(v, dims.COLUMN_TYPES.get(kind.lower(), "string"))
-        values.append(typed.alias(name))
+    rest = [c for c in df.columns if c not in {name for name, _, _ in spec}]
+    read = read.select(*rest, *[J.variant_at(F.col("_v"), name).alias("_" + name) for name, _, _ in spec])
+    ddl = lambda kind: dims.COLUMN_TYPES.get(kind.lower(), "string")
+    read = read.select("*", *[let(F.col("_" + n), lambda v, k=k: _typed(v, ddl(k))).alias(n) for n, k, _ in spec])
+    marks = []
+    for name, _, required in spec:
+        v, typed = F.col("_" + name), F.col(name)
         absent = F.when(v.isNull(), F.lit(f"{name}: missing")) if required else F.when(F.lit(False), F.lit(""))
         misfit = typed.isNull() & v.isNotNull() & (F.lit(bool(required)) | ~J.is_missing(v))
         marks.append(F.coalesce(absent, F.when(misfit, F.lit(f"{name}: type"))))
-    return read.select(*df.columns, *values, F.array_compact(F.array(*marks)).alias("violations"))
+    names = [name for name, _, _ in spec]
+    return read.select(*rest, *names, F.array_compact(F.array(*marks)).alias("violations"))
