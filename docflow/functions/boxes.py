@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import let
+
 BOX = "struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>"
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -20,8 +22,13 @@ def ordered_box(x1, y1, x2, y2) -> Column:
 
 
 def box_or_null(box: Column) -> Column:
-    whole = [box[n].isNotNull() for n in CORNERS]
-    return F.when(whole[0] & whole[1] & whole[2] & whole[3], box)
+    """The box when all four corners are known."""
+
+    def whole(b):
+        known = [b[n].isNotNull() for n in CORNERS]
+        return F.when(known[0] & known[1] & known[2] & known[3], b)
+
+    return let(box, whole)
 
 
 def scaled(x: Column, size_in, size_out) -> Column:

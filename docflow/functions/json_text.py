@@ -9,10 +9,10 @@ from .shared import let
 from .text import as_col, strip
 
 # Where a response may carry its JSON, in the order they are tried.
-FENCED_JSON = r"```json\s*([\s\S]*?)\s*```"
-FENCED_ANY = r"```\s*([\s\S]*?)\s*```"
-BRACES = r"\{[\s\S]*\}"
-BRACKETS = r"\[[\s\S]*\]"
+FENCED_JSON = r"(?s)```json(.*?)```"
+FENCED_ANY = r"(?s)```(.*?)```"
+BRACES = r"(?s)\{.*\}"
+BRACKETS = r"(?s)\[.*\]"
 
 FALSY = ("", "null", "false", "0", "0.0", '""')
 
@@ -22,13 +22,10 @@ def _wrap(c: Column) -> Column:
     return F.concat(F.lit('{"x":'), c, F.lit(',"__end":1}'))
 
 
-def _exact(w: Column) -> Column:
-    return (F.size(F.json_object_keys(w)) == 2) & F.try_parse_json(w).isNotNull()
-
-
 def is_json(c) -> Column:
     """True when the whole text is exactly one JSON value."""
-    return F.coalesce(let(_wrap(as_col(c)), _exact), F.lit(False))
+    pair = F.from_json(_wrap(as_col(c)), "MAP<STRING,STRING>", {"allowSingleQuotes": "false"})
+    return F.coalesce(F.size(pair) == 2, F.lit(False))
 
 
 def is_loose_json(c) -> Column:
@@ -38,8 +35,7 @@ def is_loose_json(c) -> Column:
 
 def read_json(c) -> Column:
     """The value of a text that is exactly one JSON value, else null."""
-    return let(_wrap(as_col(c)), lambda w: F.when(
-        F.size(F.json_object_keys(w)) == 2, F.try_variant_get(F.try_parse_json(w), "$.x", "variant")))
+    return let(as_col(c), lambda t: F.when(is_json(t), F.try_parse_json(t)))
 
 
 def is_object(c) -> Column:

@@ -76,7 +76,7 @@ def repair_truncated(df: DataFrame, text="text", out="items") -> DataFrame:
 
 def _json_box(v: Column) -> Column:
     """Box of an object with x1..y2 or of a list of four."""
-    whole = lambda at: let(make_box(*[let(a, J.variant_int) for a in at]), box_or_null)
+    whole = lambda at: box_or_null(make_box(*[let(a, J.variant_int) for a in at]))
     kind = J.kind(v)
     return F.when(kind.startswith("OBJECT"), whole([J.variant_at(v, n) for n in CORNERS])).when(
         kind.startswith("ARRAY") & F.try_variant_get(v, "$[4]", "variant").isNull(),
@@ -143,13 +143,14 @@ ITEM = (
 
 
 def item_box(item: Column) -> Column:
-    """Box of an item: its ``bbox`` object or list, else its own corners."""
-    nested = F.from_json(item["bbox"], "STRUCT<x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE>")
-    listed = F.from_json(F.when(J.is_array(item["bbox"]), item["bbox"]), "ARRAY<DOUBLE>")
-    return F.coalesce(
-        box_or_null(make_box(*[F.get(listed, F.lit(i)) for i in range(4)])),
-        F.when(J.is_object(item["bbox"]), box_or_null(make_box(*[nested[n] for n in CORNERS]))),
-        F.when(item["bbox"].isNull(), box_or_null(make_box(*[item[n] for n in CORNERS]))),
+    """Box of an item: its ``bbox`` list or object, else its own corners."""
+    box = item["bbox"]
+    by_place = lambda a: box_or_null(make_box(*[F.get(a, F.lit(i)) for i in range(4)]))
+    by_name = lambda o: box_or_null(make_box(*[o[n] for n in CORNERS]))
+    return (
+        F.when(box.isNull(), by_name(item))
+        .when(J.is_array(box), let(F.from_json(box, "ARRAY<DOUBLE>"), by_place))
+        .when(J.is_object(box), let(F.from_json(box, "STRUCT<x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE>"), by_name))
     )
 
 

@@ -317,8 +317,8 @@ def apply_schema(df: DataFrame, spec, data="data") -> DataFrame:
     read = _with_variant(df, data, "_v")
     rest = [c for c in df.columns if c not in {name for name, _, _ in spec}]
     read = read.select(*rest, *[J.variant_at(F.col("_v"), name).alias("_" + name) for name, _, _ in spec])
-    ddl = lambda kind: dims.COLUMN_TYPES.get(kind.lower(), "string")
-    read = read.select("*", *[let(F.col("_" + n), lambda v, k=k: _typed(v, ddl(k))).alias(n) for n, k, _ in spec])
+    typed_as = lambda kind: lambda v: _typed(v, dims.COLUMN_TYPES.get(kind.lower(), "string"))
+    read = read.select("*", *[let(F.col("_" + n), typed_as(kind)).alias(n) for n, kind, _ in spec])
     marks = []
     for name, _, required in spec:
         v, typed = F.col("_" + name), F.col(name)

@@ -1,6 +1,6 @@
 """Named queries over the test tables and their SQL counterparts."""
 
-from . import logs, responses, validation  # noqa: F401
+from . import live, logs, responses, tables, validation  # noqa: F401
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
