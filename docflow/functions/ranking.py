@@ -13,6 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _as_list(x):
@@ -111,3 +112,16 @@ def bucketed_lead(df: DataFrame, keys, bucket: Column, order: str, values, prefi
     for v in values:
         out = out.withColumn(prefix + v, F.col("_next")[v])
     return out.drop("_bucket", "_before", "_next")
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Equi-join on a column with few, heavy values.
+
+    Each value is split over ``salts`` tasks: left rows go to one of them by a hash of their own
+    values, right rows (the smaller side) to all. A right side small enough for Spark to
+    broadcast is broadcast all the same.
+    """
+    plain = [f.name for f in left.schema if isinstance(f.dataType, T.AtomicType)]
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [on, "_salt"], how).drop("_salt")

@@ -179,10 +179,10 @@ def check_invoice(lines: DataFrame, summary: DataFrame, keys=("doc_id",)) -> Dat
 
 def invoice_messages(checked: DataFrame, keys=("doc_id",)) -> DataFrame:
     """The error texts behind :func:`check_invoice`, one row each."""
-    subtotal = F.when("subtotal_error", F.concat(
+    subtotal = F.when(F.col("subtotal_error"), F.concat(
         F.lit("Subtotal mismatch: calculated "), _money(F.col("calculated_subtotal")),
         F.lit(", reported "), _money(F.col("reported_subtotal"))))
-    total = F.when("total_error", F.concat(
+    total = F.when(F.col("total_error"), F.concat(
         F.lit("Total mismatch: expected "), _money(F.col("expected_total")),
         F.lit(", reported "), _money(F.col("reported_total"))))
     return unfold(checked, keys, F.array_compact(F.array(subtotal, total)), "_n", "error").drop("_n")

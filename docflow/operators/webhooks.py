@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import newest
+from ..functions.ranking import newest, salted_join
 
 BODY_LIMIT = 1000
 
@@ -22,11 +22,11 @@ def subscriptions_state(changes: DataFrame) -> DataFrame:
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """One row per event and active subscription listing its type.
 
-    The subscriptions are unfolded to (type, webhook), so this is an equi-join; Spark picks
-    broadcast or shuffle by their size and splits skewed types at run time.
+    The subscriptions are unfolded to (type, webhook), so this is an equi-join. There are only
+    seven types, so the join is salted: no type ends up in a single task.
     """
     listed = subscriptions.where("active").withColumn("event_type", F.explode(F.array_distinct("events"))).drop("events", "active")
-    return events.join(listed, "event_type")
+    return salted_join(events, listed, "event_type")
 
 
 def payloads(events: DataFrame, out="payload") -> DataFrame:

@@ -325,9 +325,23 @@ def clean_document_html(spark, sf):
     return html.clean_document_html(_boxed_pages(spark, sf)).select("page_id", "cleaned")
 
 
-@query("extract_pairs")
+_QUOTED = r'"([^"]+)"\s*:\s*"([^"]*)"'
+_PLAIN = r"([^:\n=]+)\s*[:=]\s*([^\n]+)"
+
+
+@query("extract_pairs", rf"""
+WITH found AS (
+  SELECT doc_id, unnest(list_zip(
+    list_concat(regexp_extract_all(text, '{_QUOTED}', 1), regexp_extract_all(text, '{_PLAIN}', 1)),
+    list_concat(regexp_extract_all(text, '{_QUOTED}', 2), regexp_extract_all(text, '{_PLAIN}', 2)),
+    range(len(regexp_extract_all(text, '{_QUOTED}', 1)) + len(regexp_extract_all(text, '{_PLAIN}', 1))))) AS p
+  FROM documents),
+pairs AS (
+  SELECT doc_id, trim(trim(p[1], E' \n\t\r'), '"') AS key, trim(trim(p[2], E' \n\t\r'), '"') AS value, p[3] AS place FROM found)
+SELECT doc_id, key, value FROM pairs WHERE key <> ''
+QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY place) = 1""")
 def extract_pairs(spark, sf):
-    return parse.extract_pairs(I.table(spark, sf, "documents").select("doc_id", "text"))
+    return parse.extract_pairs(I.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "key", "value")
 
 
 @query("response_pairs", f"""

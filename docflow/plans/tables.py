@@ -62,13 +62,15 @@ def load_blobs(spark, sf):
 
 
 @query("join_sidecar", """
-SELECT lang || '/' || doc_id || '.txt' AS key, CASE WHEN doc_id % 3 = 0 THEN source END AS source,
-       CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS VARCHAR) END AS n_chars FROM documents""")
+SELECT lang || '/' || d.doc_id || '.txt' AS key, CASE WHEN l.doc_id IS NOT NULL THEN source END AS source,
+       CASE WHEN l.doc_id IS NOT NULL THEN CAST(n_chars AS VARCHAR) END AS n_chars
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def join_sidecar(spark, sf):
+    """Labelled documents have a sidecar."""
     d = I.table(spark, sf, "documents")
     key = F.concat("lang", F.lit("/"), text("doc_id"), F.lit(".txt"))
     data = d.select(key.alias("key"), F.col("text").cast("binary").alias("content"))
-    meta = d.where(F.col("doc_id") % 3 == 0).select(
+    meta = d.join(I.table(spark, sf, "labels"), "doc_id", "left_semi").select(
         F.concat(key, F.lit(".meta")).alias("key"),
         F.to_json(F.struct("source", text("n_chars").alias("n_chars"))).cast("binary").alias("content"))
     joined = files.join_sidecar(data.unionByName(meta))
@@ -90,13 +92,14 @@ def save_blobs(spark, sf):
 @query("filter_uploads", """
 SELECT lang || '/' || doc_id AS path, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'video' ELSE 'unsupported' END AS kind,
        CASE doc_id % 5 WHEN 0 THEN n_chars * 1000 <= 20971520 WHEN 1 THEN n_chars * 1000 <= 20971520 WHEN 2 THEN n_chars * 1000 <= 104857600 ELSE false END AS accepted
-FROM documents WHERE doc_id % 7 <> 0""")
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def filter_uploads(spark, sf):
+    """Labelled documents stand for paths without a file."""
     d = I.table(spark, sf, "documents")
     ends = F.get(F.array(*map(F.lit, (".PDF", ".jpeg", ".mp4", ".docx", ""))), (F.col("doc_id") % 5).cast("int"))
     name = F.concat("lang", F.lit("/"), text("doc_id"))
     asked = d.select(F.concat(name, ends).alias("path")).union(d.select(F.lit("")))
-    there = d.where(F.col("doc_id") % 7 != 0).select(F.concat(name, ends).alias("path"), (F.col("n_chars") * 1000).alias("length"))
+    there = d.join(I.table(spark, sf, "labels"), "doc_id", "left_anti").select(F.concat(name, ends).alias("path"), (F.col("n_chars") * 1000).alias("length"))
     kept = files.filter_uploads(asked, there)
     return kept.select(F.regexp_replace("path", r"\.\w+$", "").alias("path"), "kind", "accepted")
 
