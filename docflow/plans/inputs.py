@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read by fewer tasks than there are cores, dealt out to all of them.
+
+    Row-by-row text work on one small file would otherwise run on one core. Tables with enough
+    splits, which is every large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text(c) -> F.Column:
     return c.cast("string")
 
@@ -65,6 +75,7 @@ def doc_dates(spark, sf) -> DataFrame:
     key = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
     later = F.date_add(day, ((key % 19) - 4).cast("int"))
+    o = spread(o)
     both = F.array(
         F.struct(F.lit("order_date").alias("field"), _written(day, key % 7).alias("value")),
         F.struct(F.lit("delivery_date").alias("field"), _written(later, (key + 3) % 7).alias("value")),
@@ -293,6 +304,6 @@ def fenced(body: F.Column, key: F.Column) -> F.Column:
 
 def responses(spark, sf, body: F.Column, task="invoice") -> DataFrame:
     """One response per order around a JSON body built from the order's columns."""
-    o = table(spark, sf, "orders").withColumn("_b", body)
+    o = spread(table(spark, sf, "orders")).withColumn("_b", body)
     return o.select(
         F.col("o_orderkey").alias("doc_id"), F.lit(task).alias("task_type"), fenced(F.col("_b"), F.col("o_orderkey")).alias("text"))

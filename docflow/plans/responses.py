@@ -162,7 +162,7 @@ SELECT o_orderkey AS doc_id, 0 AS box_no, 'Title of ' || o_orderkey AS label, CA
 UNION ALL SELECT o_orderkey, 1, 'Body', CAST(o_orderkey AS BIGINT), 200 FROM orders
 UNION ALL SELECT o_orderkey, 2, 'foot note', 1, 3 FROM orders""")
 def labelled_boxes(spark, sf):
-    o = I.table(spark, sf, "orders")
+    o = I.spread(I.table(spark, sf, "orders"))
     body = c("Title of ", S(), ": [", (K() % 7).cast("string"), ', 2, 100, 40]\n"Body": [', S(), ",60,  200, 300]\nfoot note : (1, 2, 3,4)")
     rows = parse.parse_boxes(o.select(K().alias("doc_id"), body.alias("text")))
     return rows.select("doc_id", "box_no", "label", "bbox.x1", "bbox.x2")
@@ -259,7 +259,7 @@ def parse_bbox(spark, sf):
         .when(K() % 6 == 3, c("at ", a, ", 7, ", b, ", 9 px"))
         .when(K() % 6 == 4, c('{"x1": null, "box": [', a, ",7,", b, ",9]}"))
         .otherwise(c(a, ", 7, ", b)))
-    boxes = parse.parse_bbox(I.table(spark, sf, "orders").select(K().alias("doc_id"), form.alias("text")))
+    boxes = parse.parse_bbox(I.spread(I.table(spark, sf, "orders")).select(K().alias("doc_id"), form.alias("text")))
     return boxes.select("doc_id", *BOX_COLS[:3])
 
 
@@ -269,7 +269,7 @@ FROM {items_sql('o_orderkey % 4')}""")
 def parse_xml_points(spark, sf):
     point = lambda i: c('<point x="', (i * 10).cast("string"), '"  y="', S(), '" />')
     body = F.when(K() % 4 == 0, F.lit("no points")).otherwise(repeat(K() % 4, point))
-    return parse.parse_xml_points(I.table(spark, sf, "orders").select(K().alias("doc_id"), body.alias("text")))
+    return parse.parse_xml_points(I.spread(I.table(spark, sf, "orders")).select(K().alias("doc_id"), body.alias("text")))
 
 
 @query("decode_points", """
@@ -278,7 +278,7 @@ SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 <> 3 THEN 2 END AS n, CASE
 def decode_points(spark, sf):
     end = F.when(K() % 4 == 3, "</point>").otherwise("</points>")
     body = c('```xml\n<points x1="1" y1="2" x2="', S(), '" y2="4" alt="order &amp; ', S(), '"> the order ', end, "\n```")
-    read = parse.decode_points(I.table(spark, sf, "orders").select(K().alias("doc_id"), body.alias("text")))
+    read = parse.decode_points(I.spread(I.table(spark, sf, "orders")).select(K().alias("doc_id"), body.alias("text")))
     d = F.col("decoded")
     return read.select(
         "doc_id", F.when(d.isNotNull(), F.size("decoded.points")).alias("n"), F.get("decoded.points", F.lit(1))["x"].alias("x2"),
@@ -299,12 +299,12 @@ SELECT page_id, trim(html, E' \n\t\r') AS html FROM e""")
 def clean_html(spark, sf):
     styled = F.replace(
         F.replace("html", F.lit("<p>"), F.lit('<p style="color: red; font-size: 12px">')), F.lit("<h1>"), F.lit('<h1 style="">'))
-    return parse.clean_html(I.table(spark, sf, "pages").select("page_id", styled.alias("html")))
+    return parse.clean_html(I.spread(I.table(spark, sf, "pages")).select("page_id", styled.alias("html")))
 
 
 def _boxed_pages(spark, sf):
     boxed = F.replace("html", F.lit("<p>"), F.lit('<p data-bbox="30 10 20 40" style="color: red">'))
-    return I.table(spark, sf, "pages").select("page_id", boxed.alias("html"))
+    return I.spread(I.table(spark, sf, "pages")).select("page_id", boxed.alias("html"))
 
 
 @query("html_boxes", """
@@ -341,7 +341,7 @@ pairs AS (
 SELECT doc_id, key, value FROM pairs WHERE key <> ''
 QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY place) = 1""")
 def extract_pairs(spark, sf):
-    return parse.extract_pairs(I.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "key", "value")
+    return parse.extract_pairs(I.spread(I.table(spark, sf, "documents")).select("doc_id", "text")).select("doc_id", "key", "value")
 
 
 @query("response_pairs", f"""
@@ -355,7 +355,7 @@ def response_pairs(spark, sf):
     plain = c('Order: ', S(), '\nPriority =\n ', F.col("o_orderpriority"), '\n"status" : "', F.col("o_orderstatus"),
               '"\npaid: true\nOrder: again\n')
     body = F.when(K() % 4 == 0, obj).otherwise(plain)
-    pairs = parse.extract_pairs(I.table(spark, sf, "orders").select(K().alias("doc_id"), body.alias("text")))
+    pairs = parse.extract_pairs(I.spread(I.table(spark, sf, "orders")).select(K().alias("doc_id"), body.alias("text")))
     return pairs.select("doc_id", "key", "value")
 
 
@@ -378,7 +378,7 @@ def parse_tool_calls(spark, sf):
     tool = F.when(K() % 2 == 0, "computer_use").otherwise("mobile_use")
     call = c('{"name": "', tool, '", "arguments": {"action": "', action, '", ', point, "}}")
     call = F.when(K() % 4 == 3, F.substring(call, 1, 30)).otherwise(call)
-    rows = I.table(spark, sf, "orders").select(
+    rows = I.spread(I.table(spark, sf, "orders")).select(
         K().alias("doc_id"), c("I will act.\n<tool_call>\n", call, "\n</tool_call>").alias("text"),
         F.when(K() % 2 == 0, "computer").otherwise("mobile").alias("device"))
     calls = parse.parse_tool_calls(rows)
@@ -390,14 +390,14 @@ SELECT o_orderkey AS doc_id, CAST(i AS INTEGER) AS step, 'mobile_use' AS name, '
 def prior_steps(spark, sf):
     step = lambda i: c("Step ", i.cast("string"), ': {"name": "mobile_use", "arguments": {"action": "open', i.cast("string"), '", "text": "a"}}; ')
     body = c("The user query: open. Done: ", repeat(K() % 3 + 1, step))
-    return parse.prior_steps(I.table(spark, sf, "orders").select(K().alias("doc_id"), body.alias("text")))
+    return parse.prior_steps(I.spread(I.table(spark, sf, "orders")).select(K().alias("doc_id"), body.alias("text")))
 
 
 @query("word_count", r"""
 SELECT doc_id, CAST(CASE WHEN trim(text, E' \n\t\r') = '' THEN 0
   ELSE len(regexp_split_to_array(trim(text, E' \n\t\r'), '\s+')) END AS INTEGER) AS word_count FROM documents""")
 def word_count(spark, sf):
-    return shape.add_word_count(I.table(spark, sf, "documents")).select("doc_id", "word_count")
+    return shape.add_word_count(I.spread(I.table(spark, sf, "documents"))).select("doc_id", "word_count")
 
 
 # --- layout -----------------------------------------------------------------------
@@ -686,7 +686,7 @@ _ORDERED = ("ocr", "layout", "table", "field_extraction", "ner", "form", "invoic
 SELECT doc_id, {_PROMPT} AS user_prompt, CASE doc_id % 8 {' '.join(f"WHEN {i} THEN {_literal(prompts.SYSTEM[t])}" for i, t in enumerate(_ORDERED))} END AS system_prompt,
        lang || '/' || doc_id AS image FROM documents""")
 def build_prompts(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.spread(I.table(spark, sf, "documents"))
     k = F.col("doc_id")
     docs = d.select(
         "doc_id", F.concat("lang", F.lit("/"), k.cast("string")).alias("image"),

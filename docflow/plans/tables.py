@@ -270,7 +270,7 @@ SELECT doc_id AS item_id, CASE WHEN contains(text, '###') THEN 'failed' ELSE 'co
        CASE WHEN NOT contains(text, '###') THEN '{"words": ' || CASE WHEN trim(text, E' \n\t\r') = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, E' \n\t\r'), '\s+')) END || '}' END AS result
 FROM documents""")
 def run_batch(spark, sf):
-    items = I.table(spark, sf, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("item_id"), "text")
+    items = I.spread(I.table(spark, sf, "documents")).select(F.col("source").alias("job_id"), F.col("doc_id").alias("item_id"), "text")
     done = batch.run_batch(items, count_words, keys=("job_id", "item_id"))
     return done.select("item_id", "status", "error", "result")
 

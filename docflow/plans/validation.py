@@ -245,7 +245,7 @@ def to_number(spark, sf):
 
 def records(spark, sf):
     """One nested JSON record per order."""
-    o = I.table(spark, sf, "orders")
+    o = I.spread(I.table(spark, sf, "orders"))
     k = F.col("o_orderkey")
     s = I.text(k)
     c = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
@@ -287,7 +287,7 @@ UNION ALL
 SELECT o_orderkey, 'header.number', 'number', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey + 1 AS VARCHAR)
 FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey > 0""")
 def cross_references(spark, sf):
-    o = I.table(spark, sf, "orders")
+    o = I.spread(I.table(spark, sf, "orders"))
     k = F.col("o_orderkey")
     level = F.when(k % 6 == 0, F.concat(F.lit("x"), "o_orderpriority")).otherwise(
         F.concat(F.lit("  "), F.upper("o_orderpriority"), F.lit(" ")))

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from docflow.operators import parse, shape
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
@@ -55,9 +56,18 @@ def test_scans_read_only_what_they_need(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["parse_json", "invoice_line_items", "fields_long", "form_elements", "clean_html"])
-def test_row_jobs_do_not_shuffle(spark, name):
-    assert "Exchange" not in plan(entry_points.queries()[name](spark, SF))
+ROW_JOBS = [
+    parse.parse_json, parse.parse_boxes, parse.loose_boxes, parse.extract_pairs, parse.parse_xml_points, parse.decode_points,
+    shape.invoice_line_items, shape.fields_long, shape.entities_by_type, shape.form_elements, shape.contract_parts, shape.tables_csv,
+]
+
+
+@pytest.mark.parametrize("job", ROW_JOBS, ids=lambda j: j.__name__)
+def test_row_jobs_do_not_shuffle(spark, job):
+    text = plan(job(spark.createDataFrame([(1, "x")], "doc_id int, text string")))
+    assert "Exchange" not in text
+    # each response is searched once: the optimizer must not repeat the search for a filter
+    assert text.count("```json(") <= 1
 
 
 def test_filters_reach_the_scan(spark):
