@@ -164,5 +164,6 @@ def number_column(df, name, missing=0) -> Column:
     if name not in df.columns:
         return F.lit(float(missing))
     dtype = df.schema[name].dataType
-    fallback = F.lit(missing).cast(dtype if isinstance(dtype, T.NumericType) else "double")
-    return F.when(F.col(name).isNull(), fallback).otherwise(to_number(name, dtype))
+    if isinstance(dtype, T.NumericType):
+        return F.coalesce(F.col(name), F.lit(missing).cast(dtype))
+    return F.when(F.col(name).isNull(), F.lit(float(missing))).otherwise(to_number(name, dtype))

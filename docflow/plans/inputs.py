@@ -5,6 +5,8 @@ The SQL twin of each derivation stands in ``sql.py``; both read whole tables.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +34,25 @@ def text(c) -> F.Column:
 MONEY, EXACT = "decimal(18,2)", "decimal(20,4)"
 
 
+def _cents(c, digits=12) -> F.Column:
+    """Whole cents as an exact amount; short decimals stay on Spark's fast path."""
+    return c.cast("bigint").cast(f"decimal({digits},0)") * F.lit(Decimal("0.01"))
+
+
 def line_items(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    price = (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100).cast(MONEY)
-    quantity = F.col("l_quantity").cast("decimal(10,0)")
-    extra = F.when(F.col("l_partkey") % 7 == 0, 1).otherwise(0).cast("decimal(3,0)")
-    return li.select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"),
-        quantity.cast(MONEY).alias("quantity"), price.alias("unit_price"),
-        (quantity * price + extra).cast(MONEY).alias("amount"),
-        (F.col("l_extendedprice").cast(MONEY) * F.col("l_tax").cast("decimal(4,2)")).alias("tax"),
-        (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)")).alias("discount"),
-    )
+    price = _cents(F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")))
+    quantity = F.col("l_quantity").cast("int").cast("decimal(4,0)")
+    extended = _cents(F.round(F.col("l_extendedprice") * 100))
+    rate = lambda c: _cents(F.round(F.col(c) * 100), 3)
+    staged = li.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), quantity.alias("quantity"),
+        price.alias("unit_price"), (F.col("l_partkey") % 7 == 0).alias("_extra"),
+        (extended * rate("l_tax")).alias("tax"), (extended * rate("l_discount")).alias("discount"))
+    extra = F.when(F.col("_extra"), 1).otherwise(0).cast("decimal(3,0)")
+    return staged.select(
+        "doc_id", "line_no", F.col("quantity").cast(MONEY).alias("quantity"), F.col("unit_price").cast(MONEY).alias("unit_price"),
+        (F.col("quantity") * F.col("unit_price") + extra).cast(MONEY).alias("amount"), "tax", "discount")
 
 
 def summary(spark, sf) -> DataFrame:

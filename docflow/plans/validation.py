@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import formats
+from ..functions.shared import unfold
 from ..operators import validate as V
 from . import inputs as I
 from .catalog import query
@@ -266,7 +267,7 @@ WHERE CASE f WHEN 'header.vendor_name' THEN o_orderkey % 4 IN (0, 1) WHEN 'heade
 def required_fields(spark, sf):
     wanted = ["header.vendor_name", "header.date", "items", "discount"]
     found = V.required_fields(records(spark, sf), wanted)
-    return found.select("doc_id", F.explode("missing").alias("field"))
+    return unfold(found, ["doc_id"], "missing", "_n", "field").drop("_n")
 
 
 @query("field_dependencies", """
