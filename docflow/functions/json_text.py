@@ -88,8 +88,17 @@ def find_json_array(text) -> Column:
 
 
 def object_items(json) -> Column:
-    """Entries of an object as a map of typed values; null for other JSON."""
-    return F.when(is_object(json), F.from_json(as_col(json), "MAP<STRING,VARIANT>"))
+    """Entries of an object as a map of typed values, the last one of a repeated key; null for
+    other JSON."""
+
+    def last_of_each(m):
+        keys = F.map_keys(m)
+        latest = lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(m)), e["key"])
+        unique = F.size(F.array_distinct(keys)) == F.size(m)
+        return F.when(unique, m).otherwise(F.map_from_entries(F.filter(F.map_entries(m), latest)))
+
+    read = lambda t: let(F.from_json(t, "MAP<STRING,VARIANT>"), last_of_each)
+    return let(as_col(json), lambda t: F.when(is_object(t), read(t)))
 
 
 def list_items(json) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import dims
 from ..functions.ranking import top_per_key
 
 KEPT = 1000
@@ -94,7 +93,3 @@ def request_timer(requests: DataFrame, metric: str) -> DataFrame:
     )
     rows = requests.select("obs_id", F.col("ended").alias("ts"), F.explode(families).alias("_o"))
     return rows.select("obs_id", "ts", "_o.*")
-
-
-def default_rows(spark) -> DataFrame:
-    return dims.default_metrics(spark)

@@ -107,7 +107,6 @@ def _totals_line(lines: DataFrame, tolerance) -> DataFrame:
 
 
 def _reported(summary: DataFrame, keys) -> DataFrame:
-    # A document of its own may be listed once; the aggregation only guards against repeats.
     names = ("subtotal", "tax", "discount", "total")
     return summary.select(*keys, *[formats.number_column(summary, n).alias("r_" + n) for n in names])
 

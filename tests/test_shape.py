@@ -71,6 +71,11 @@ def test_fields(responses):
     assert {r["field_count"] for r in rows} == {4} and rows[0]["bbox"]["y2"] == 30
 
 
+def test_repeated_keys_take_the_last_value(responses):
+    df = responses('{"a": 1, "b": 2, "a": {"value": 3}}')
+    assert [(r["field"], r["value"]) for r in shape.fields_long(df).orderBy("field").collect()] == [("a", "3"), ("b", "2")]
+
+
 def test_specs(spark):
     full = shape.normalise_specs(dims.template_specs(spark))
     assert full.where("description is null or validator is null").count() == 0
