@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,24 +148,30 @@ def _chain(window: int):
     return work
 
 
-def _walk(window: int, columns):
-    def work(batches):
+def _walk(window: int, kept):
+    """Window start and place in it for each request; a row without a time opens its chunk with
+    the window it inherits and is not passed on."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, start, count = None, None, 0
         for batch in batches:
             starts, places = [], []
-            for key, chunk, t, first, before in zip(
-                batch["key"], batch["chunk"], batch["t"].tolist(), batch["in_start"], batch["in_count"]
-            ):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "t", "in_start", "in_count"))):
+                key, chunk, t, first, before = row
                 if (key, chunk) != at:
-                    at, count = (key, chunk), 0
-                    start = None if pd.isna(first) else int(first)
-                    count = 0 if start is None else int(before)
+                    at, start, count = (key, chunk), None, 0
+                if t is None:
+                    start, count = first, before if first is not None else 0
+                    continue
                 if start is None or t > start + window:
                     start, count = t, 0
                 count += 1
                 starts.append(start)
                 places.append(count)
-            yield batch[columns].assign(_start=starts, _place=places)
+            rows = batch.filter(pc.is_valid(batch.column("t")))
+            columns = [*(rows.column(c) for c in kept), pa.array(starts, pa.int64()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "_start", "_place"])
+
     return work
 
 
@@ -179,27 +187,28 @@ def rate_limit(requests: DataFrame, limit=60, window_seconds=60, key="key", iden
         F.col(key).alias("key"), F.col(ident).alias("ident"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
     )
-    hot = base.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.lit(True).alias("_hot"))
+    # At most (all requests / hot_rows) keys are hot, so this list may be broadcast.
+    counts = base.groupBy("key").count()
+    hot = F.broadcast(counts.where(F.col("count") > hot_rows).select("key", F.lit(True).alias("_hot")))
+    chunk = F.floor(F.col("t") / length).cast("bigint")
     placed = base.join(hot, "key", "left").select(
-        "key", "ident", "t",
-        F.when(F.col("_hot"), F.floor(F.col("t") / length)).otherwise(F.lit(0)).cast("bigint").alias("chunk"),
-    )
-    chunks = base.join(hot, "key", "left_semi").select(
-        "key", "t", F.floor(F.col("t") / length).cast("bigint").alias("chunk"))
+        "key", "ident", "t", F.when(F.col("_hot"), chunk).otherwise(F.lit(0).cast("bigint")).alias("chunk"))
     steps = (
-        chunks.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "t")
+        base.join(hot, "key", "left_semi").select("key", "t", chunk.alias("chunk"))
+        .repartition("key", "chunk").sortWithinPartitions("key", "chunk", "t")
         .mapInPandas(_summaries(window, length), STEPS)
     )
     inherited = (
         steps.repartition("key").sortWithinPartitions("key", "chunk").mapInPandas(_chain(window), INHERITED)
     )
-    ready = placed.join(inherited, ["key", "chunk"], "left")
+    # The inherited windows join the rows as one more row per chunk, sorted first by its null time.
+    ready = placed.unionByName(inherited, allowMissingColumns=True)
     kinds = dict(ready.dtypes)
     out = ["key", "ident", "t"]
     schema = ", ".join(f"{c} {kinds[c]}" for c in out) + ", _start bigint, _place bigint"
     walked = (
-        ready.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "t", "ident")
-        .mapInPandas(_walk(window, out), schema)
+        ready.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("t").asc_nulls_first(), "ident")
+        .mapInArrow(_walk(window, out), schema)
     )
     return walked.select(
         F.col("ident").alias(ident), F.col("key").alias(key), F.timestamp_micros("t").alias("ts"),
