@@ -64,10 +64,12 @@ ROW_JOBS = [
 
 @pytest.mark.parametrize("job", ROW_JOBS, ids=lambda j: j.__name__)
 def test_row_jobs_do_not_shuffle(spark, job):
-    text = plan(job(spark.createDataFrame([(1, "x")], "doc_id int, text string")))
+    df = job(spark.createDataFrame([(1, "x")], "doc_id int, text string"))
+    text = plan(df)
     assert "Exchange" not in text
-    # each response is searched once: the optimizer must not repeat the search for a filter
-    assert text.count("```json(") <= 1
+    # the optimizer must not repeat a search, for instance to filter on its result
+    written = df._jdf.queryExecution().analyzed().toString()
+    assert text.count("```json(") <= written.count("```json(")
 
 
 def test_filters_reach_the_scan(spark):
