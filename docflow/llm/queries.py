@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, packing, piece_lattice, repetition
+from . import language, line_dedup, near_duplicates, near_vectors, packing, piece_lattice, ppm, repetition, rules, warc
 from .catalog import ORACLE, QUERIES, query, share_of, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -20,6 +20,11 @@ def op1(spark, sf):
     return piece_lattice.digests(found, model)
 
 
+@query("op2_near_duplicates")
+def op2(spark, sf):
+    return near_duplicates.near_duplicates(table(spark, sf, "documents"), size=3, similarity=0.85)
+
+
 @query("op3_language")
 def op3(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.coalesce(share_of() == 0, F.lit(False)).alias("held_out"))
@@ -27,6 +32,44 @@ def op3(spark, sf):
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+@query("op4_ppm")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(share_of() == 1, F.lit(False)).alias("held_out"))
+    return ppm.score(docs.withColumn("learns", ~F.col("held_out")), "learns", keep=("doc_id", "held_out"))
+
+
+@query("op5_rules")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = rules.classify(docs, table(spark, sf, "labels"), share_of() != 0)
+    return scored.select("doc_id", F.coalesce(share_of() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+OP6_SQL = """
+WITH digests AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST(((('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM digests WINDOW same AS (PARTITION BY body)
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6(spark, sf):
+    """All pages written, then all records read back by the index."""
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_records(index, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_near_vectors")
+def op7(spark, sf):
+    return near_vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
 def _op8_sql() -> str:
     """Word windows of three lengths, the words and characters that repeated ones cover, and the verdict."""
     def covered(size):
@@ -77,6 +120,33 @@ def op8(spark, sf):
     return repetition.repetition_rules(table(spark, sf, "documents")).drop("dup_coverage_2", "dup_coverage_3")
 
 
+OP9_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, * FROM documents),
+lines AS (SELECT DISTINCT row_no, source, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM docs),
+totals AS (SELECT source, count(*) AS pages FROM docs GROUP BY source),
+often AS (
+  SELECT source, line, count(*) AS n FROM lines WHERE line <> '' AND source IS NOT NULL GROUP BY ALL
+  HAVING count(*) >= {line_dedup.MIN_PAGES}),
+boilerplate AS (
+  SELECT source, list(line) AS bad FROM often JOIN totals USING (source) WHERE n > {line_dedup.RATIO}::DOUBLE * pages GROUP BY source),
+split AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines, coalesce(bad, []) AS bad FROM docs LEFT JOIN boilerplate USING (source)),
+kept AS (
+  SELECT doc_id, text, lines,
+         list_filter(lines, lambda x: NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS good
+  FROM split)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(good), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN text IS NOT NULL THEN array_to_string(good, chr(10)) END AS text
+FROM kept
+"""
+
+
+@query("op9_line_dedup", OP9_SQL)
+def op9(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @query("op10_packing")
 def op10(spark, sf):
     packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

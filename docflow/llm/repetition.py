@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text_bytes import Hasher, segment_sums, shingles, text_runs, words
+from .text_bytes import Hasher, mix, segment_sums, shingles, text_runs, words
 
 LENGTHS = (2, 3, 5, 8)
 #: Largest fraction of word characters inside duplicated runs of that many words.
@@ -26,21 +26,31 @@ SYMBOL_LIMIT = 0.30
 MIN_WORDS = 50
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_digits", "n_punct", "n_letters", "n_dup_lines", "n_lines",
-           "n_repeat_words", "n_distinct_words", "top_word", "dup_line_chars", *(f"dup_chars_{n}" for n in LENGTHS))
+           "n_distinct_words", "top_word", "dup_line_chars")
+
+
+def count_names(lengths=LENGTHS) -> list[str]:
+    return [*_COUNTS, *(["n_repeat_words"] if 3 in lengths else []), *(f"dup_chars_{n}" for n in lengths)]
 
 
 def _again(hashes, at):
-    """Which hashes occur twice or more in their text, and which are equal to an earlier one of it."""
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((hashes, text))
-    h, t = hashes[order], text[order]
+    """Which hashes occur twice or more in their text, which are not the one counted first of several,
+    and the longest group of equals of each text."""
+    texts = len(at) - 1
+    text = np.repeat(np.arange(texts), np.diff(at))
+    mine = mix(hashes + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # equal in one text only
+    order = np.argsort(mine)
+    h = mine[order]
     same = np.zeros(len(h) + 1, bool)
     if len(h):
-        same[1:-1] = (h[1:] == h[:-1]) & (t[1:] == t[:-1])
+        same[1:-1] = h[1:] == h[:-1]
     twice, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
     twice[order] = same[:-1] | same[1:]
     later[order] = same[:-1]
-    return twice, later, order, same
+    groups = np.flatnonzero(~same[:-1]) if len(h) else np.zeros(0, np.int64)
+    longest = np.zeros(texts, np.int64)
+    np.maximum.at(longest, text[order[groups]], np.diff(np.concatenate([groups, [len(h)]])))
+    return twice, later, longest
 
 
 def _covered(twice, run_at, word_at, size):
@@ -55,7 +65,7 @@ def _covered(twice, run_at, word_at, size):
     return np.cumsum(marks)[:-1] > 0
 
 
-def text_counts(data, offsets, hasher) -> dict:
+def text_counts(data, offsets, hasher, lengths=LENGTHS) -> dict:
     """The counts of every text of a run, by name."""
     kinds = {"n_symbols": b"#*$%&|<>", "n_upper": bytes(range(65, 91)), "n_digits": b"0123456789",
              "n_punct": b"!\"'()+,-./:;=?@[\\]^_`{}~"}
@@ -71,23 +81,15 @@ def text_counts(data, offsets, hasher) -> dict:
     out["n_words"], out["word_chars"] = np.diff(word_at), segment_sums(chars, word_at)
     out["n_letters"] = out["word_chars"] - out["n_symbols"] - out["n_digits"] - out["n_punct"]
     hashes = hasher.ranges(data, starts, ends)
-    _, later, _, same = _again(hashes, word_at)
+    _, later, out["top_word"] = _again(hashes, word_at)
     out["n_distinct_words"] = out["n_words"] - segment_sums(later, word_at)
-    # The longest stretch of equal hashes of a text is its most frequent word.
-    stretch_at = np.flatnonzero(~same[:-1]) if len(later) else np.zeros(0, np.int64)
-    lengths = np.diff(np.concatenate([stretch_at, [len(later)]]))
-    top = np.zeros(len(offsets) - 1, np.int64)
-    np.maximum.at(top, np.searchsorted(word_at, stretch_at, "right") - 1, lengths)
-    out["top_word"] = top
-    repeated = None
-    for size in LENGTHS:
+    for size in lengths:
         runs, run_at = shingles(hashes, word_at, size)
-        twice, _, _, _ = _again(runs, run_at)
+        twice, _, _ = _again(runs, run_at)
         covered = _covered(twice, run_at, word_at, size)
         out[f"dup_chars_{size}"] = segment_sums(np.where(covered, chars, 0), word_at)
         if size == 3:
-            repeated = segment_sums(covered, word_at)
-    out["n_repeat_words"] = repeated
+            out["n_repeat_words"] = segment_sums(covered, word_at)
     # Lines end at a line feed or with their text.
     feeds = np.flatnonzero(data == 10)
     limits = np.unique(np.concatenate([offsets, feeds, feeds + 1]))
@@ -95,7 +97,7 @@ def text_counts(data, offsets, hasher) -> dict:
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
     line_at = np.searchsorted(line_starts, offsets)
-    _, later, _, _ = _again(hasher.ranges(data, line_starts, line_ends), line_at)
+    _, later, _ = _again(hasher.ranges(data, line_starts, line_ends), line_at)
     first_word, end_word = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
     word_total = np.concatenate([[0], np.cumsum(chars)])
     out["n_lines"], out["n_dup_lines"] = np.diff(line_at), segment_sums(later, line_at)
@@ -103,25 +105,26 @@ def text_counts(data, offsets, hasher) -> dict:
     return out
 
 
-def with_counts(docs: DataFrame, text="text", keep=("doc_id",)) -> DataFrame:
+def with_counts(docs: DataFrame, text="text", keep=("doc_id",), lengths=LENGTHS) -> DataFrame:
     """The ``keep`` columns of every row and the counts of its whole text (null counts as empty).
 
     One row per input row, repeated rows included. The counts describe bytes, characters, words and
     lines; a word's hash stands for it, so its case matters.
     """
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*keep, F.col(text).alias("_counted_text"))
     fields = [source.schema[k] for k in keep]
-    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in _COUNTS]])
+    names = count_names(lengths)
+    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in names]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for first, end, data, offsets in text_runs(batch.column(len(keep))):
-                found = text_counts(data, offsets, hasher)
+                found = text_counts(data, offsets, hasher, lengths)
                 part = batch.slice(first, end - first)
                 columns = [part.column(i) for i in range(len(keep))]
-                columns += [pa.array(np.asarray(found[c], np.int64)) for c in _COUNTS]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *_COUNTS])
+                columns += [pa.array(np.asarray(found[c], np.int64)) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(count, schema)
 
