@@ -48,21 +48,22 @@ def drop_boilerplate(pages: DataFrame, host="source", text="text", ratio=RATIO,
     them. Lines are equal if their text without blanks, tabs and returns at the ends is; lines without any
     other character are never dropped. A null text stays null with no lines; a row with a null host has
     no site and keeps its lines; a text that loses every line becomes empty. Repeated rows are pages of
-    their own. All other columns stay as they are.
+    their own. All other columns stay as they are, but for two of the names ``n_lines`` and ``n_dropped``.
     """
-    found = staged(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    size = found.agg(F.sum(F.size("_lines") * 8 + F.octet_length(F.col("_host").cast("string")) + 32)).first()[0] or 0
+    found = staged(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("lines").alias("bad"))
+    size = found.agg(F.sum(F.size("bad") * 8 + F.octet_length(F.col("_host").cast("string")) + 32)).first()[0] or 0
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
     if size <= BROADCAST_BYTES:
-        joined = pages.join(F.broadcast(found), F.col(host) == F.col("_host"), "left").drop("_host")
+        joined = rows.join(F.broadcast(found), F.col("host") == F.col("_host"), "left")
     else:
         salted = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = F.pmod(F.xxhash64(text, host), F.lit(SALTS)).cast("int")
-        joined = pages.withColumn("_own", own).join(salted, (F.col(host) == F.col("_host")) & (F.col("_own") == F.col("_part")), "left").drop("_host", "_part", "_own")
-    lines = _lines(text)
-    kept = F.filter(lines, lambda x: (line_key(x) == "") | ~F.array_contains("_lines", F.xxhash64(line_key(x))))
-    hit = F.col("_lines").isNotNull() & F.col(text).isNotNull()
-    kept = F.when(hit, kept).otherwise(lines)
-    parts = joined.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(F.when(F.col(text).isNotNull(), lines)).cast("long"), F.lit(0).cast("long")))
-    parts = parts.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-    return (parts.withColumn("n_dropped", F.when(F.col(text).isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"))
-            .withColumn(text, F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_kept", "_lines"))
+        part = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("part", part).join(salted, (F.col("host") == F.col("_host")) & (F.col("part") == F.col("_part")), "left")
+    lines = _lines("text")
+    clean = F.filter(lines, lambda x: (line_key(x) == "") | ~F.array_contains("bad", F.xxhash64(line_key(x))))
+    there = F.col("text").isNotNull()
+    parts = joined.select("row", "text", F.when(there, F.size(lines)).otherwise(0).cast("long").alias("n_lines"), F.when(there & F.col("bad").isNotNull(), clean).alias("clean"))
+    dropped = F.when(F.col("clean").isNotNull(), F.col("n_lines") - F.size("clean")).otherwise(0).cast("long")
+    new = F.when(F.col("clean").isNotNull(), F.array_join("clean", "\n")).otherwise(F.col("text"))
+    own = [new.alias(c) if c == text else F.col(f"row.`{c}`") for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return parts.select(*own, "n_lines", dropped.alias("n_dropped"))

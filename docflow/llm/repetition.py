@@ -18,9 +18,9 @@ from .text_bytes import Hasher, mix, segment_sums, shingles, text_runs, words
 
 LENGTHS = (2, 3, 5, 8)
 #: Largest fraction of word characters inside duplicated runs of that many words.
-RUN_LIMITS = {5: 0.30, 8: 0.25}
+RUN_LIMITS = {5: 0.50, 8: 0.50}
 #: Largest fraction of word characters inside repeated lines.
-LINE_LIMIT = 0.30
+LINE_LIMIT = 0.40
 #: Most symbols for a word.
 SYMBOL_LIMIT = 0.30
 MIN_WORDS = 50
@@ -108,7 +108,7 @@ def text_counts(data, offsets, hasher, lengths=LENGTHS) -> dict:
 def with_counts(docs: DataFrame, text="text", keep=("doc_id",), lengths=LENGTHS) -> DataFrame:
     """The ``keep`` columns of every row and the counts of its whole text (null counts as empty).
 
-    One row per input row, repeated rows included. The counts describe bytes, characters, words and
+    One row per input row, repeated rows included; a kept column may not have the name of a count. The counts describe bytes, characters, words and
     lines; a word's hash stands for it, so its case matters.
     """
     source = docs.select(*keep, F.col(text).alias("_counted_text"))

@@ -39,19 +39,24 @@ def _line(value) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(value))
 
 
-def record_bytes(kind: str, page, row: int, url, payload: bytes, digest: str, first, first_row, date: str) -> bytes:
-    """One record; a revisit has the HTTP head only and names the record it repeats."""
+def record_bytes(kind: str, page, url, payload: bytes, digest: str, first, shared: bool, date: str) -> bytes:
+    """One record; a revisit has the HTTP head only and names the record it repeats.
+
+    The response of several equal payloads is named after its page and digest, so that revisits written
+    by other tasks can refer to it; all other names are random.
+    """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if kind == "response" else head
-    name = lambda p, r: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{p}/{r}')}>"
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", name(page, row)), ("WARC-Date", date)]
+    common = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{first}/{digest}')}>"
+    name = common if shared and kind == "response" else f"<urn:uuid:{uuid.uuid4()}>"
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", _line(url)))
     if page is not None:
         fields.append(("WARC-Page-ID", page))
     fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Length", len(payload))]
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name(first, first_row))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", common)]
         if first is not None:
             fields.append(("WARC-Refers-To-Page-ID", first))
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
@@ -79,21 +84,26 @@ def write_archives(pages: DataFrame, folder: str, id_col="page_id", url="url", p
     """Writes a record for every row below ``folder`` and returns the written index.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest id is the
-    response (of several with that id, one of them; an id that is null counts last); the others are
-    revisits. A null payload is an empty one, a null url or id leaves its field out. Repeated rows are
-    records of their own, further columns are left out, an empty table gives an empty index. ``pages``
-    is read twice and must give the same rows in the same partitions, as a table does.
+    response (of several rows with that id one; an id that is null counts last); the others are revisits.
+    A null payload is an empty one, a null url or id leaves its field out. Repeated rows are
+    records of their own, further columns are left out, an empty table gives an empty index.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload")) \
-        .withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id())
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
-    first = rows.where(F.length("payload") >= min_bytes).select("digest", order.alias("first")).groupBy("digest").agg(
-        F.min("first").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = staged(first.select(F.col("digest").alias("_digest"), F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row")), "first")
-    marked = rows.join(first, F.col("digest") == F.col("_digest"), "left").select(
-        "page_id", "url", "payload", "row", "first", "first_row",
-        (F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))).alias("again"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
+    ids = rows.where(F.length("payload") >= min_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "n")
+    first = ids.groupBy(F.col("digest").alias("_digest")).agg(F.min(order).alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    first = staged(first.select("_digest", F.col("first.page_id").alias("first"), F.col("first.n").alias("ties")), "first")
+    same = F.col("digest") == F.col("_digest")
+    is_first = F.col("page_id").eqNullSafe(F.col("first"))
+    columns = ["page_id", "url", "payload", "first", F.col("_digest").isNotNull().alias("shared")]
+    marked = rows.join(first, same, "left").where(F.col("_digest").isNull() | ~is_first | (F.col("ties") == 1)).select(
+        *columns, (F.col("_digest").isNotNull() & ~is_first).alias("again"))
+    repeated = first.where("ties > 1")
+    if not repeated.isEmpty():  # rows that repeat the smallest id: the written table numbers them, one is the response
+        ties = staged(rows.join(repeated, same).where(is_first).withColumn("row", F.monotonically_increasing_id()), "ties")
+        chosen = staged(ties.groupBy(F.col("_digest").alias("_of")).agg(F.min("row").alias("chosen")), "chosen")
+        marked = marked.unionByName(ties.join(chosen, F.col("_digest") == F.col("_of")).select(*columns, (F.col("row") != F.col("chosen")).alias("again")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _file_system(folder)
@@ -107,10 +117,10 @@ def write_archives(pages: DataFrame, folder: str, id_col="page_id", url="url", p
 
         for batch in batches:
             for k in range(len(batch)):
-                page, link, raw, row, first_, first_row, again = (batch.column(c)[k].as_py() for c in range(7))
+                page, link, raw, first_, shared, again = (batch.column(c)[k].as_py() for c in range(6))
                 digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
                 kind = "revisit" if again else "response"
-                record = record_bytes(kind, page, row, link, raw, digest, first_, first_row, date)
+                record = record_bytes(kind, page, link, raw, digest, first_, shared, date)
                 press = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = press.compress(record) + press.flush()
                 if out is None:
