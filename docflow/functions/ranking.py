@@ -43,8 +43,6 @@ def top_per_key(df: DataFrame, keys, order, n: int, salts: int = 256) -> DataFra
 def newest(df: DataFrame, ts: str, tie: str, n: int) -> DataFrame:
     """Newest ``n`` rows, newest first."""
     order = [F.col(ts).desc(), F.col(tie).desc()]
-    if n <= 1000:
-        return df.orderBy(*order).limit(n)
     return top_per_key(df, [], order, n).orderBy(*order)
 
 

@@ -59,14 +59,12 @@ def check_permissions(requests: DataFrame, users: DataFrame, role_permissions: D
 # --- rate limit ---------------------------------------------------------------
 #
 # A window opens at a key's first request and the next one opens at the first request later than
-# its end, so each window depends on the one before. Keys of ordinary size are walked in time
-# order by one task each, with constant memory. A key with more than ``hot_rows`` requests is cut
-# into time chunks:
+# its end, so each window depends on the one before. Every key is cut into time chunks:
 #   1. each chunk says, for every possible end of the window that is open when it begins, which
 #      window is open when it ends (a short step function, because walks soon fall together);
 #   2. these functions are chained per key - a few rows per chunk;
 #   3. every chunk is walked on its own from the window it inherits.
-# The result is the same as that of one walk.
+# The result is the same as that of one walk, and a hot key's requests are spread over its chunks.
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -175,32 +173,19 @@ def _walk(window: int, kept):
     return work
 
 
-def rate_limit(requests: DataFrame, limit=60, window_seconds=60, key="key", ident="request_id",
-               hot_rows=1_000_000, chunk_seconds=None) -> DataFrame:
+def rate_limit(requests: DataFrame, limit=60, window_seconds=60, key="key", ident="request_id", chunk_seconds=None) -> DataFrame:
     """Adds ``allowed``, ``remaining`` and ``reset_at`` to each request of (key, ts, ident).
 
     A request exactly at a window's end still belongs to it; refused requests are not counted.
+    ``chunk_seconds`` is the stretch of a key's time that one task walks, an hour or ten windows if not given.
     """
     window = int(window_seconds * 1_000_000)
-    length = int((chunk_seconds or 10 * window_seconds) * 1_000_000)
-    base = requests.select(
-        F.col(key).alias("key"), F.col(ident).alias("ident"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
-    )
-    # At most (all requests / hot_rows) keys are hot, so this list may be broadcast.
-    counts = base.groupBy("key").count()
-    hot = F.broadcast(counts.where(F.col("count") > hot_rows).select("key", F.lit(True).alias("_hot")))
-    chunk = F.floor(F.col("t") / length).cast("bigint")
-    placed = base.join(hot, "key", "left").select(
-        "key", "ident", "t", F.when(F.col("_hot"), chunk).otherwise(F.lit(0).cast("bigint")).alias("chunk"))
-    steps = (
-        base.join(hot, "key", "left_semi").select("key", "t", chunk.alias("chunk"))
-        .repartition("key", "chunk").sortWithinPartitions("key", "chunk", "t")
-        .mapInPandas(_summaries(window, length), STEPS)
-    )
-    inherited = (
-        steps.repartition("key").sortWithinPartitions("key", "chunk").mapInPandas(_chain(window), INHERITED)
-    )
+    length = int((chunk_seconds or max(3600, 10 * window_seconds)) * 1_000_000)
+    placed = requests.select(
+        F.col(key).alias("key"), F.col(ident).alias("ident"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+    ).withColumn("chunk", F.floor(F.col("t") / length).cast("bigint"))
+    steps = placed.select("key", "t", "chunk").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "t").mapInPandas(_summaries(window, length), STEPS)
+    inherited = steps.repartition("key").sortWithinPartitions("key", "chunk").mapInPandas(_chain(window), INHERITED)
     # The inherited windows join the rows as one more row per chunk, sorted first by its null time.
     ready = placed.unionByName(inherited, allowMissingColumns=True)
     kinds = dict(ready.dtypes)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import newest, top_per_key
+from ..functions.ranking import newest
 
-REPORT_LIMIT = 10000
 
-
-def keep_last(audit: DataFrame, n=10000) -> DataFrame:
+def keep_last(audit: DataFrame, n: int) -> DataFrame:
     """Only the newest ``n`` entries."""
     return newest(audit, "ts", "entry_id", n)
 
@@ -27,23 +25,18 @@ def _matching(audit: DataFrame, start=None, end=None, success_only=False, **equa
     return out.where("success") if success_only else out
 
 
-def query_audit(audit: DataFrame, tenant_id=None, user_id=None, action=None, resource_type=None,
-                start=None, end=None, success_only=False, limit=100) -> DataFrame:
+def query_audit(audit: DataFrame, limit: int, tenant_id=None, user_id=None, action=None, resource_type=None,
+                start=None, end=None, success_only=False) -> DataFrame:
     """Newest matching entries; both time bounds are inclusive."""
     hits = _matching(audit, start, end, success_only, tenant_id=tenant_id, user_id=user_id,
                      action=action, resource_type=resource_type)
     return newest(hits, "ts", "entry_id", limit)
 
 
-def _reported(audit: DataFrame, tenant_id, start, end) -> DataFrame:
-    hits = _matching(audit, start, end, tenant_id=tenant_id).select("tenant_id", "ts", "entry_id", "user_id", "success", "action")
-    return top_per_key(hits, ["tenant_id"], [F.col("ts").desc(), F.col("entry_id").desc()], REPORT_LIMIT)
-
-
 def compliance_report(audit: DataFrame, tenant_id=None, start=None, end=None) -> DataFrame:
-    """Per tenant: events, distinct users (empty ones aside) and failures among its newest
-    10000 entries of the period; all tenants when none is named."""
-    return _reported(audit, tenant_id, start, end).groupBy("tenant_id").agg(
+    """Per tenant: events, distinct users (empty ones aside) and failures among all entries of the
+    period; all tenants when none is named."""
+    return _matching(audit, start, end, tenant_id=tenant_id).groupBy("tenant_id").agg(
         F.count("*").alias("total_events"),
         F.count_distinct(F.nullif("user_id", F.lit(""))).alias("unique_users"),
         F.count_if(~F.col("success")).alias("failed_actions"),
@@ -51,4 +44,5 @@ def compliance_report(audit: DataFrame, tenant_id=None, start=None, end=None) ->
 
 
 def action_breakdown(audit: DataFrame, tenant_id=None, start=None, end=None) -> DataFrame:
-    return _reported(audit, tenant_id, start, end).groupBy("tenant_id", "action").agg(F.count("*").alias("n"))
+    """Entries of the period per tenant and action."""
+    return _matching(audit, start, end, tenant_id=tenant_id).groupBy("tenant_id", "action").agg(F.count("*").alias("n"))

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import top_per_key
+from ..functions.ranking import bucketed_running_sum, top_per_key
 
-KEPT = 1000
 # Reported percentiles.
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -41,27 +40,32 @@ def gauges(obs: DataFrame) -> DataFrame:
     return _of(obs, "gauge").groupBy("key").agg(F.max_by("value", F.struct("ts", "obs_id")).alias("value"))
 
 
-def last_1000(obs: DataFrame, n=KEPT) -> DataFrame:
+def last_1000(obs: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` histogram observations of each key."""
     rows = _of(obs, "histogram").select("key", "name", "ts", "obs_id", "value")
     return top_per_key(rows, ["key"], [F.col("ts").desc(), F.col("obs_id").desc()], n)
 
 
 def histogram_stats(obs: DataFrame) -> DataFrame:
-    """Count, sum, mean, extremes and rank-picked percentiles per key, over its last 1000.
+    """Count, sum, mean, extremes and rank-picked percentiles per key, over all its observations.
 
-    At most 1000 values per key are left, so they fit one sorted array; the percentile is the
-    element at position int(n * p), without interpolation.
+    The percentile is the value at position int(n * p) of the sorted values, without interpolation.
+    Observations are first counted per key and value; the counts are then added up in buckets that
+    rise with the value, so a key with very many observations is spread over many tasks.
     """
-    per_key = last_1000(obs).groupBy("key").agg(
-        F.count("value").alias("count"), F.sum("value").alias("sum"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.sort_array(F.collect_list("value")).alias("_v"),
-    )
-    picks = [
-        F.get("_v", F.floor(F.col("count") * F.lit(float(p))).cast("int")).alias(n) for n, p in PERCENTILES.items()
-    ]
-    return per_key.select("key", "count", "sum", (F.col("sum") / F.col("count")).alias("avg"), "min", "max", *picks)
+    rows = _of(obs, "histogram").select("key", "value")
+    counted = rows.groupBy("key", "value").agg(F.count("value").alias("n")).where("value IS NOT NULL")
+    size = F.log1p(F.abs(F.col("value").cast("double")))
+    bucket = F.floor(F.signum(F.col("value").cast("double")) * size * 64)
+    ranked = bucketed_running_sum(counted, "key", bucket, "value", F.col("n"), "upto")
+    totals = rows.groupBy("key").agg(
+        F.count("value").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"))
+    places = totals.select(F.col("key").alias("_key"), *[F.floor(F.col("count") * F.lit(float(p))).alias(f"_{n}") for n, p in PERCENTILES.items()])
+    here = lambda n: (F.col(f"_{n}") >= F.col("upto") - F.col("n")) & (F.col(f"_{n}") < F.col("upto"))
+    picked = ranked.join(places, F.col("key") == F.col("_key")).groupBy(F.col("key").alias("_of")).agg(
+        *[F.max(F.when(here(n), F.col("value"))).alias(n) for n in PERCENTILES])
+    return totals.join(picked, F.col("key").eqNullSafe(F.col("_of")), "left").select(
+        "key", "count", "sum", (F.col("sum") / F.col("count")).alias("avg"), "min", "max", *PERCENTILES)
 
 
 def all_metrics(obs: DataFrame) -> DataFrame:

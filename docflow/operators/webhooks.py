@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import newest, salted_join
 
-BODY_LIMIT = 1000
-
 
 def subscriptions_state(changes: DataFrame) -> DataFrame:
     """Current subscriptions from register/unregister events (webhook_id, seq, event, ...):
@@ -66,12 +64,13 @@ def delivery_state(attempts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """State of each delivery from its attempts (delivery_id, webhook_id, attempt_no, ts, code,
     body, error).
 
-    Attempts beyond the subscription's retry count are not made. The first success (code 2xx)
-    ends the delivery; with all tries used up it failed; otherwise it is pending and the wait is
-    delay times the number of the last attempt.
+    The first success (code 2xx) ends the delivery; with all tries used up it failed; otherwise it
+    is pending and the wait is delay times the number of the last attempt. Attempts beyond the
+    subscription's retry count count like any other, and ``over_limit`` marks their delivery. A
+    delivery whose subscription is gone has no limit and no wait, and is pending until a success.
     """
     limits = subscriptions.select("webhook_id", "retry_count", "retry_delay_seconds")
-    tried = attempts.join(limits, "webhook_id").where(F.col("attempt_no") <= F.col("retry_count"))
+    tried = attempts.join(limits, "webhook_id", "left")
     success = F.coalesce(F.col("code").between(200, 299), F.lit(False))
     first = tried.groupBy("delivery_id", "webhook_id").agg(
         F.min(F.when(success, F.col("attempt_no"))).alias("_won"),
@@ -89,12 +88,13 @@ def delivery_state(attempts: DataFrame, subscriptions: DataFrame) -> DataFrame:
         F.when(won, F.col("_won")).otherwise(F.col("_last")).alias("attempts"),
         F.when(won, F.col("_win.ts")).otherwise(F.col("_end.ts")).alias("last_attempt"),
         F.when(won, F.col("_win.code")).otherwise(F.col("_answer.code")).alias("response_code"),
-        F.substring(F.when(won, F.col("_win.body")).otherwise(F.col("_answer.body")), 1, BODY_LIMIT).alias("response_body"),
+        F.when(won, F.col("_win.body")).otherwise(F.col("_answer.body")).alias("response_body"),
         F.when(status == "pending", F.col("_delay") * F.col("_last")).alias("next_wait_seconds"),
+        F.coalesce(F.when(won, F.col("_won")).otherwise(F.col("_last")) > F.col("_tries"), F.lit(False)).alias("over_limit"),
     )
 
 
-def delivery_history(deliveries: DataFrame, webhook_id=None, status=None, limit=100, ts="last_attempt") -> DataFrame:
+def delivery_history(deliveries: DataFrame, limit: int, webhook_id=None, status=None, ts="last_attempt") -> DataFrame:
     """The last ``limit`` matching deliveries, oldest first."""
     out = deliveries
     if webhook_id:

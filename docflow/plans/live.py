@@ -43,7 +43,7 @@ _STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'proces
 
 @query("job_progress_stream", f"""
 WITH last AS (
-  SELECT user_id % 20 AS job, user_id AS item, arg_max({_STATUS}, ts) AS status FROM events GROUP BY 1, 2)
+  SELECT user_id % 20 AS job, user_id AS item, arg_max({_STATUS}, (ts, event_id)) AS status FROM events GROUP BY 1, 2)
 SELECT CAST(job AS VARCHAR) AS job_id, count(*) AS total_items, count(*) FILTER (status IN ('completed', 'failed')) AS processed_items,
        count(*) FILTER (status = 'failed') AS failed_items,
        CAST(count(*) FILTER (status IN ('completed', 'failed')) AS DOUBLE) / count(*) * 100 AS progress
@@ -53,7 +53,7 @@ def job_progress_stream(spark, sf):
     states = dict(zip(("signup", "view", "click", "purchase", "error"), ("pending", "processing", "processing", "completed", "failed")))
     e = event_stream(spark, sf)
     items = e.select(I.text(F.col("user_id") % 20).alias("job_id"), I.text(F.col("user_id")).alias("item_id"),
-                     I._mapped("event_type", states).alias("status"), "ts")
+                     I._mapped("event_type", states).alias("status"), "ts", F.col("event_id").alias("seq"))
     _finish(jobs.job_progress_stream(items, path, check, available_now=True))
     return jobs.live_progress(spark, path)
 
@@ -76,7 +76,6 @@ def rate_limit_stream(spark, sf):
     e = event_stream(spark, sf)
     asked = e.select(F.concat(F.lit("key-"), I.text(F.col("user_id"))).alias("key"), F.col("event_id").alias("request_id"), "ts")
     _finish(jobs.rate_limit_stream(asked, path, check, L.LIMIT, L.WINDOW, available_now=True))
-    judged = spark.read.schema(jobs.LIMITED).parquet(path)
-    return judged.select("request_id", "allowed", "remaining", L.iso("reset_at").alias("reset_at"))
+    return jobs.live_limits(spark, path).select("request_id", "allowed", "remaining", L.iso("reset_at").alias("reset_at"))
 
 

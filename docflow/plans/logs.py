@@ -46,17 +46,14 @@ WHERE tenant_id = '3' AND resource_type = 'document' AND ts >= '2024-01-05' AND
 ORDER BY ts DESC, entry_id DESC LIMIT 100""")
 def query_audit(spark, sf):
     found = audit.query_audit(
-        I.audit(spark, sf), tenant_id="3", user_id="", resource_type="document",
+        I.audit(spark, sf), limit=100, tenant_id="3", user_id="", resource_type="document",
         start="2024-01-05", end="2024-01-25", success_only=True)
     return found.select("entry_id", "action", "user_id", "resource_id")
 
 
 REPORTED = f"""
 WITH {AUDIT},
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, entry_id DESC) AS rn FROM audit
-  WHERE ts >= '2024-01-03' AND ts <= '2024-01-28'),
-kept AS (SELECT * FROM ranked WHERE rn <= 10000)
+kept AS (SELECT * FROM audit WHERE ts >= '2024-01-03' AND ts <= '2024-01-28')
 """
 
 
@@ -102,7 +99,7 @@ last_1000 AS (
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) <= 1000),
 ranked AS (
   SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value) - 1 AS place,
-         count(*) OVER (PARTITION BY key) AS n FROM last_1000),
+         count(*) OVER (PARTITION BY key) AS n FROM obs WHERE kind = 'histogram'),
 stats AS (
   SELECT key, count(*) AS count, CAST(sum(value) AS DOUBLE) AS sum,
          CAST(sum(value) AS DOUBLE) / count(*) AS avg, CAST(min(value) AS DOUBLE) AS min, CAST(max(value) AS DOUBLE) AS max,
@@ -142,7 +139,7 @@ def gauges(spark, sf):
 
 @query("last_1000", f"WITH {OBS} SELECT key, event_id AS obs_id FROM last_1000")
 def last_1000(spark, sf):
-    return metrics.last_1000(I.observations(spark, sf)).select("key", "obs_id")
+    return metrics.last_1000(I.observations(spark, sf), 1000).select("key", "obs_id")
 
 
 @query("histogram_stats", f"WITH {OBS} SELECT * FROM stats")
@@ -437,7 +434,7 @@ def rate_limit(spark, sf):
 @query("rate_limit_hot_keys", RATE)
 def rate_limit_hot_keys(spark, sf):
     """Every key takes the way of a hot one: chunks, step functions, chain."""
-    return _limited(spark, sf, hot_rows=1, chunk_seconds=3 * WINDOW)
+    return _limited(spark, sf, chunk_seconds=3 * WINDOW)
 
 
 # --- webhooks -------------------------------------------------------------------
@@ -496,7 +493,7 @@ def sign_payloads(spark, sf):
 ATTEMPTS = """
 tries AS (
   SELECT event_id, user_id % 25 AS hook, ts, CAST(t AS BIGINT) AS t, (event_id * 7 + t * 3) % 8 AS mark
-  FROM events, unnest(range(1, CAST(event_id % 4 + 2 AS BIGINT))) AS u(t) WHERE t <= 3),
+  FROM events, unnest(range(1, CAST(event_id % 4 + 2 AS BIGINT))) AS u(t)),
 last AS (
   SELECT event_id, hook, ts, max(t) AS t, min(t) FILTER (mark = 0) AS won,
          arg_max(mark, t) FILTER (mark < 6) AS answered FROM tries GROUP BY event_id, hook, ts),
@@ -506,7 +503,8 @@ deliveries AS (
          CAST(coalesce(won, t) AS INTEGER) AS attempts, ts + to_seconds(5 * coalesce(won, t)) AS last_attempt,
          CASE WHEN won IS NOT NULL THEN 200 WHEN answered IS NOT NULL THEN 500 END AS response_code,
          CASE WHEN won IS NOT NULL THEN 'answer 0' WHEN answered IS NOT NULL THEN 'answer ' || answered END AS response_body,
-         CASE WHEN won IS NULL AND t < 3 THEN CAST(5 * t AS INTEGER) END AS next_wait_seconds
+         CASE WHEN won IS NULL AND t < 3 THEN CAST(5 * t AS INTEGER) END AS next_wait_seconds,
+         coalesce(won, t) > 3 AS over_limit
   FROM last)
 """
 
@@ -525,7 +523,7 @@ def delivery_state(spark, sf):
 WITH {ATTEMPTS} SELECT delivery_id, attempts FROM deliveries WHERE webhook_id = '7' AND status = 'failed'
 ORDER BY last_attempt DESC, delivery_id DESC LIMIT 100""")
 def delivery_history(spark, sf):
-    return webhooks.delivery_history(_deliveries(spark, sf), "7", "failed").select("delivery_id", "attempts")
+    return webhooks.delivery_history(_deliveries(spark, sf), 100, "7", "failed").select("delivery_id", "attempts")
 
 
 @query("subscriptions_state", """

@@ -197,7 +197,7 @@ SELECT 'r-' || o_orderkey AS result_id, strftime(o_orderdate, '%Y-%m-%d') AS day
 WHERE o_orderkey % 8 = 2 AND o_orderdate >= '1995-03-01' AND o_orderdate <= '1997-06-30'
 ORDER BY o_orderdate DESC, 'r-' || o_orderkey DESC LIMIT 100""")
 def query_results(spark, sf):
-    found = results.query_results(_results(spark, sf), "table", "1995-03-01", "1997-06-30")
+    found = results.query_results(_results(spark, sf), 100, "table", "1995-03-01", "1997-06-30")
     return found.select("result_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
 
 

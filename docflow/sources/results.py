@@ -33,7 +33,7 @@ def get_result(results: DataFrame, result_id) -> DataFrame:
     return results.where(F.col("result_id") == result_id)
 
 
-def query_results(results: DataFrame, task_type=None, start=None, end=None, limit=100) -> DataFrame:
+def query_results(results: DataFrame, limit: int, task_type=None, start=None, end=None) -> DataFrame:
     """Newest results; both time bounds are inclusive. The task filter prunes partitions."""
     out = results
     if task_type:

@@ -1,18 +1,18 @@
 """Live versions of the log jobs.
 
-Every job takes a streaming DataFrame and keeps only state that a watermark or an expiry bounds.
-Lateness is a parameter: rows older than the watermark no longer change a result.
+Every job takes a streaming DataFrame and stores what each micro-batch adds under the batch's number,
+so a batch that is replayed replaces its own rows. The streams themselves hold no state and drop no
+late row: readers put the batches together, and late rows change results like any others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batch
+from ..operators import access, batch
 
 
 def _start(stream: DataFrame, checkpoint: str, available_now: bool, mode="append"):
@@ -20,6 +20,11 @@ def _start(stream: DataFrame, checkpoint: str, available_now: bool, mode="append
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
 
 
+def _store(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 # --- audit ----------------------------------------------------------------------
 
 
@@ -34,24 +39,26 @@ def audit_entries(stream: DataFrame) -> DataFrame:
 
 def ingest_audit(stream: DataFrame, path: str, checkpoint: str, available_now=False,
                  callbacks: Iterable[Callable[[DataFrame], None]] = ()):
-    """Appends audit events to a Parquet table by day.
+    """Appends audit events to a Parquet table, a folder per micro-batch.
 
-    Each callback sees every micro-batch; its errors never stop the log. A batch that is
-    replayed after a failure replaces its own files, so entries are stored once.
+    Each callback sees every micro-batch; its errors never stop the log, but are stored as
+    (batch_id, callback, error) in the table ``path`` + "-errors". A batch that is replayed after a
+    failure replaces its own files, so entries are stored once.
     """
     callbacks = list(callbacks)
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id", "day").parquet(path)
+        _store(rows, path, batch_id)
         if not callbacks:
             return
-        stored = rows.sparkSession.read.parquet(f"{path}/batch_id={batch_id}")
+        stored, errors = rows.sparkSession.read.parquet(f"{path}/batch_id={batch_id}"), []
         for callback in callbacks:
             try:
                 callback(stored)
-            except Exception:  # noqa: BLE001 - observers must not break the log
-                pass
+            except Exception as e:  # noqa: BLE001 - observers must not break the log
+                errors.append((getattr(callback, "__name__", str(callback)), f"{type(e).__name__}: {e}"))
+        if errors:
+            _store(rows.sparkSession.createDataFrame(errors, "callback string, error string"), f"{path}-errors", batch_id)
 
     return _start(audit_entries(stream), checkpoint, available_now).foreachBatch(store).start()
 
@@ -59,25 +66,26 @@ def ingest_audit(stream: DataFrame, path: str, checkpoint: str, available_now=Fa
 # --- batch jobs -----------------------------------------------------------------
 
 
-def latest_item_states(stream: DataFrame) -> DataFrame:
-    """Latest status per item of (job_id, item_id, status, ts)."""
-    return stream.groupBy("job_id", "item_id").agg(
-        F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+def latest_item_states(rows: DataFrame) -> DataFrame:
+    """Latest status per item of (job_id, item_id, status, ts, seq); ``seq`` orders equal times."""
+    last = F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("_s")
+    return rows.groupBy("job_id", "item_id").agg(last).select("job_id", "item_id", "_s.*")
 
 
 def job_progress_stream(stream: DataFrame, path: str, checkpoint: str, available_now=False):
-    """Keeps the changed item states of each micro-batch; read with :func:`live_progress`.
-
-    The state per item lives in the table, not in the stream, so the stream itself is stateless.
-    """
+    """Keeps the changed item states of each micro-batch; read with :func:`live_progress`."""
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        latest_item_states(rows).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        _store(latest_item_states(rows), path, batch_id)
 
     return _start(stream, checkpoint, available_now).foreachBatch(store).start()
 
 
+def compact_progress(spark: SparkSession, path: str, target: str) -> None:
+    """Writes one state per item of the table at ``path`` to a new table, as batch -1 of it."""
+    _store(latest_item_states(spark.read.parquet(path)), target, -1)
+
+
 def live_progress(spark: SparkSession, path: str) -> DataFrame:
     """Progress of all jobs as of the last finished micro-batch."""
     return batch.job_progress(latest_item_states(spark.read.parquet(path)))
@@ -88,28 +96,32 @@ def live_progress(spark: SparkSession, path: str) -> DataFrame:
 USAGE = ("request_count", "document_count", "processing_time_ms", "tokens_used")
 
 
-def daily_usage(stream: DataFrame, late="1 day") -> DataFrame:
-    """Sums per tenant and UTC day; a day is final once the watermark has passed it."""
-    day = F.window("ts", "1 day")
-    sums = stream.withWatermark("ts", late).groupBy("tenant_id", day).agg(*[F.sum(c).alias(c) for c in USAGE])
-    return sums.select("tenant_id", F.to_date("window.start").alias("day"), *USAGE)
+def daily_usage(rows: DataFrame) -> DataFrame:
+    """Sums per tenant and UTC day."""
+    return rows.groupBy("tenant_id", F.to_date("ts").alias("day")).agg(*[F.sum(c).alias(c) for c in USAGE])
 
 
-def daily_usage_stream(stream: DataFrame, path: str, checkpoint: str, late="1 day", available_now=False):
-    """Writes the changed days of each micro-batch; read with :func:`live_usage`."""
+def daily_usage_stream(stream: DataFrame, path: str, checkpoint: str, available_now=False):
+    """Writes the sums of each micro-batch; read with :func:`live_usage`."""
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        _store(daily_usage(rows), path, batch_id)
+
+    return _start(stream, checkpoint, available_now).foreachBatch(store).start()
 
-    return _start(daily_usage(stream, late), checkpoint, available_now, "update").foreachBatch(store).start()
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tenant_id", "day").agg(*[F.sum(c).alias(c) for c in USAGE])
+
+
+def compact_usage(spark: SparkSession, path: str, target: str) -> None:
+    """Writes one row per tenant and day of the table at ``path`` to a new table, as batch -1 of it."""
+    _store(_added_up(spark.read.parquet(path)), target, -1)
 
 
 def live_usage(spark: SparkSession, path: str) -> DataFrame:
-    """The last written sums of each tenant and day."""
-    rows = spark.read.parquet(path)
-    last = F.max_by(F.struct(*USAGE), "batch_id").alias("_u")
-    return rows.groupBy("tenant_id", "day").agg(last).select("tenant_id", "day", "_u.*")
+    """Each tenant's sums per day, over all batches."""
+    return _added_up(spark.read.parquet(path))
 
 
 # --- rate limit -----------------------------------------------------------------
@@ -119,41 +131,36 @@ LIMITED = (
 )
 
 
-def rate_limit(stream: DataFrame, limit=60, window_seconds=60, late="1 minute") -> DataFrame:
-    """The batch rate limit on a stream of (key, request_id, ts).
+def rate_limit_stream(stream: DataFrame, path: str, checkpoint: str, limit=60, window_seconds=60, available_now=False):
+    """The batch rate limit on a stream of (key, request_id, ts); read with :func:`live_limits`.
 
-    The state of a key is the start and count of its open window. It is dropped once the
-    watermark is past the window: the next request would open a new one anyway.
+    Each micro-batch is added to the log of requests. Of every key in it, the requests from the window
+    on that was open at the batch's first one are judged anew, so a late request gets its verdict and
+    corrects those behind it.
     """
-    span = pd.Timedelta(seconds=window_seconds)
+    log, verdicts = f"{path}/requests", f"{path}/verdicts"
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def store(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        _store(rows.select("key", "request_id", "ts"), log, batch_id)
+        if rows.isEmpty():
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        start, used = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, 0)
-        out = []
-        for ident, ts in zip(rows["request_id"], rows["ts"]):
-            if start is None or ts > start + span:
-                start, used = ts, 0
-            granted = used < limit
-            used += granted
-            out.append((key[0], ident, ts, granted, limit - used if granted else 0, start + span))
-        micros = start.value // 1000
-        state.update((micros, int(used)))
-        end_ms = micros // 1000 + int(window_seconds * 1000) + 1
-        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "request_id", "ts", "allowed", "remaining", "reset_at"])
+        logged = spark.read.schema("key string, request_id bigint, ts timestamp, batch_id bigint").parquet(log).where(F.col("batch_id") <= batch_id)
+        new = logged.where(F.col("batch_id") == batch_id).groupBy("key").agg(F.min("ts").alias("_from"))
+        if batch_id:
+            before = live_limits(spark, path, batch_id).join(new, "key").where(F.col("ts") < F.col("_from"))
+            opened = before.groupBy("key").agg((F.max("reset_at") - F.make_dt_interval(secs=F.lit(window_seconds))).alias("_opened"))
+            new = new.join(opened, "key", "left").select("key", F.least("_from", "_opened").alias("_from"))
+        again = logged.join(new, "key").where(F.col("ts") >= F.col("_from")).select("key", "request_id", "ts")
+        judged = access.rate_limit(again, limit, window_seconds)
+        _store(judged.select("key", "request_id", "ts", "allowed", F.col("remaining").cast("int").alias("remaining"), "reset_at"), verdicts, batch_id)
 
-    return (
-        stream.withWatermark("ts", late)
-        .groupBy("key")
-        .applyInPandasWithState(judge, LIMITED, "start bigint, used int", "append", "EventTimeTimeout")
-    )
+    return _start(stream, checkpoint, available_now).foreachBatch(store).start()
 
 
-def rate_limit_stream(stream: DataFrame, path: str, checkpoint: str, limit=60, window_seconds=60,
-                      late="1 minute", available_now=False):
-    judged = rate_limit(stream, limit, window_seconds, late)
-    return _start(judged, checkpoint, available_now).format("parquet").option("path", path).start()
+def live_limits(spark: SparkSession, path: str, before=None) -> DataFrame:
+    """The latest verdict on each request, of all batches or of those with a number below ``before``."""
+    rows = spark.read.schema(f"{LIMITED}, batch_id bigint").parquet(f"{path}/verdicts")
+    rows = rows if before is None else rows.where(F.col("batch_id") < before)
+    last = F.max_by(F.struct("ts", "allowed", "remaining", "reset_at"), "batch_id").alias("_v")
+    return rows.groupBy("key", "request_id").agg(last).select("key", "request_id", "_v.*")

@@ -72,11 +72,11 @@ def entries(spark):
 def test_audit_queries(entries):
     assert [r["entry_id"] for r in audit.keep_last(entries, 3).collect()] == ["059", "058", "057"]
     assert [r["entry_id"] for r in audit.keep_last(entries, 2000).collect()][:2] == ["059", "058"]
-    found = audit.query_audit(entries, tenant_id="t0", user_id="", start=at(3), end=at(9)).collect()
+    found = audit.query_audit(entries, 100, tenant_id="t0", user_id="", start=at(3), end=at(9)).collect()
     assert [r["entry_id"] for r in found] == ["009", "006", "003"]
     assert audit.query_audit(entries, success_only=True, limit=1000).count() == 48
-    assert audit.query_audit(entries, action="auth.login", resource_type="x").count() == 0
-    assert audit.query_audit(entries).count() == 60 and audit.query_audit(entries, limit=7).count() == 7
+    assert audit.query_audit(entries, 100, action="auth.login", resource_type="x").count() == 0
+    assert audit.query_audit(entries, 100).count() == 60 and audit.query_audit(entries, limit=7).count() == 7
 
 
 def test_compliance(entries):
@@ -105,13 +105,13 @@ def test_counters_gauges_and_keys(spark):
     assert len(filled) == 9 and filled["errors_total"] == 0.0
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 1000, 1001])
+@pytest.mark.parametrize("n", [1, 2, 5, 1000, 5000])
 def test_histograms(spark, n):
     rng = random.Random(n)
     values = [float(rng.randint(0, 10**6)) for _ in range(n)]
     obs = observe(spark, [("ms", {"k": "v"}, "histogram", at(i), i, v) for i, v in enumerate(values)]).repartition(3)
     row = metrics.histogram_stats(obs).collect()
-    kept = sorted(values[-1000:])
+    kept = sorted(values)
     size = len(kept)
     pick = lambda p: kept[min(int(size * p), size - 1)]
     assert len(row) == 1 and row[0]["key"] == 'ms{k="v"}'
@@ -119,6 +119,22 @@ def test_histograms(spark, n):
     assert (row[0]["p50"], row[0]["p95"], row[0]["p99"]) == (pick(0.5), pick(0.95), pick(0.99))
     assert math.isclose(row[0]["sum"], sum(kept)) and math.isclose(row[0]["avg"], sum(kept) / size)
     assert metrics.histogram_stats(obs.where("false")).count() == 0
+    assert metrics.last_1000(obs, 1000).count() == min(n, 1000)
+
+
+def test_histogram_of_equal_and_negative_values(spark):
+    values = [1.0] * 3000 + [-2.5, -2.5, 0.0, 1e12]
+    row = metrics.histogram_stats(observe(spark, [("ms", {}, "histogram", at(i), i, v) for i, v in enumerate(values)])).first()
+    assert (row["count"], row["min"], row["p50"], row["p99"], row["max"]) == (3004, -2.5, 1.0, 1.0, 1e12)
+
+
+def test_reports_count_every_entry(spark):
+    rows = spark.range(25_000).select(
+        F.lit("t").alias("tenant_id"), F.col("id").cast("string").alias("entry_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").cast("string").alias("user_id"),
+        (F.col("id") % 2 == 0).alias("success"), F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("action"))
+    report = audit.compliance_report(rows).first()
+    assert (report["total_events"], report["unique_users"], report["failed_actions"]) == (25_000, 25_000, 12_500)
+    assert {r["action"]: r["n"] for r in audit.action_breakdown(rows).collect()} == {"a": 5000, "b": 20_000}
 
 
 def test_timer(spark):
@@ -210,8 +226,8 @@ def walk(times, limit, window):
     return out
 
 
-@pytest.mark.parametrize("hot_rows, chunk", [(10**9, None), (1, 7), (40, 25), (1, 3)])
-def test_rate_limit(spark, hot_rows, chunk):
+@pytest.mark.parametrize("chunk", [None, 7, 25, 3])
+def test_rate_limit(spark, chunk):
     rng = random.Random(5)
     rows, want = [], {}
     for key, n, step in (("busy", 300, 3), ("calm", 40, 30), ("edge", 30, 5), ("once", 1, 1)):
@@ -224,7 +240,7 @@ def test_rate_limit(spark, hot_rows, chunk):
             rows.append((ident, key, at(t)))
             want[ident] = (verdict[0], verdict[1], at(verdict[2]))
     df = spark.createDataFrame(rows, "request_id long, key string, ts timestamp").repartition(6)
-    got = access.rate_limit(df, 3, 10, hot_rows=hot_rows, chunk_seconds=chunk)
+    got = access.rate_limit(df, 3, 10, chunk_seconds=chunk)
     assert {r["request_id"]: (r["allowed"], r["remaining"], r["reset_at"]) for r in got.collect()} == want
 
 
@@ -234,7 +250,7 @@ def test_rate_limit_survives_small_arrow_batches(spark):
     want = walk([3 * i for i in range(500)], 2, 60)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
     try:
-        for how in ({}, {"hot_rows": 1, "chunk_seconds": 100}):
+        for how in ({}, {"chunk_seconds": 100}):
             got = access.rate_limit(df, 2, 60, **how).orderBy("request_id").collect()
             assert [(r["allowed"], r["remaining"]) for r in got] == [w[:2] for w in want]
     finally:
@@ -295,15 +311,16 @@ def test_deliveries(spark):
     subs = spark.createDataFrame([("w", 3, 5)], "webhook_id string, retry_count int, retry_delay_seconds int")
     rows = [
         ("ok", 1, 500, "x", None), ("ok", 2, 201, "y" * 1500, None), ("bad", 1, 500, "a", None), ("bad", 2, None, None, "timeout"), ("bad", 3, None, None, "timeout"),
-        ("wait", 1, 503, "b", None), ("wait", 2, None, None, "e"), ("extra", 1, 400, "", None), ("extra", 2, 400, "", None), ("extra", 3, 400, "", None), ("extra", 4, 200, "", None)]
-    attempts = spark.createDataFrame([(d, "w", n, at(n), c, b, e) for d, n, c, b, e in rows],
+        ("wait", 1, 503, "b", None), ("wait", 2, None, None, "e"), ("extra", 1, 400, "", None), ("extra", 2, 400, "", None), ("extra", 3, 400, "", None), ("extra", 4, 200, "", None), ("gone", 1, 500, "", None)]
+    attempts = spark.createDataFrame([(d, "removed" if d == "gone" else "w", n, at(n), c, b, e) for d, n, c, b, e in rows],
                                      "delivery_id string, webhook_id string, attempt_no int, ts timestamp, code int, body string, error string")
     state = webhooks.delivery_state(attempts, subs)
     got = {r["delivery_id"]: (r["status"], r["attempts"], r["response_code"], r["next_wait_seconds"]) for r in state.collect()}
-    assert got == {"ok": ("success", 2, 201, None), "bad": ("failed", 3, 500, None), "wait": ("pending", 2, 503, 10), "extra": ("failed", 3, 400, None)}
-    assert len(state.where("delivery_id = 'ok'").first()["response_body"]) == 1000
-    assert [r["delivery_id"] for r in webhooks.delivery_history(state, status="failed").collect()] == ["bad", "extra"]
-    assert [r["delivery_id"] for r in webhooks.delivery_history(state, "w", limit=2).collect()] == ["bad", "extra"]
+    assert got == {"ok": ("success", 2, 201, None), "bad": ("failed", 3, 500, None), "wait": ("pending", 2, 503, 10), "extra": ("success", 4, 200, None), "gone": ("pending", 1, 500, None)}
+    assert [r["delivery_id"] for r in state.where("over_limit").collect()] == ["extra"]
+    assert len(state.where("delivery_id = 'ok'").first()["response_body"]) == 1500
+    assert [r["delivery_id"] for r in webhooks.delivery_history(state, 100, status="failed").collect()] == ["bad"]
+    assert [r["delivery_id"] for r in webhooks.delivery_history(state, 2, "w").collect()] == ["bad", "extra"]
 
 
 # --- frames -------------------------------------------------------------------------

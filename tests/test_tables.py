@@ -176,9 +176,9 @@ def test_result_store(spark, tmp_path):
     one = stored.first()["result_id"]
     assert results.get_result(stored, one).count() == 1 and results.get_result(stored, "x").count() == 0
     made = spark.createDataFrame([(f"r{i}", "ocr" if i % 2 else "ner", at(i)) for i in range(10)], "result_id string, task_type string, created_at timestamp")
-    assert [r["result_id"] for r in results.query_results(made, "ocr", at(1), at(7), 3).collect()] == ["r7", "r5", "r3"]
-    assert results.query_results(made).count() == 10
-    plan = results.query_results(stored, "ocr")._jdf.queryExecution().executedPlan().toString()
+    assert [r["result_id"] for r in results.query_results(made, 3, "ocr", at(1), at(7)).collect()] == ["r7", "r5", "r3"]
+    assert results.query_results(made, 100).count() == 10
+    plan = results.query_results(stored, 100, "ocr")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "task_type" in plan.split("PartitionFilters")[1]
 
 
@@ -261,6 +261,7 @@ def test_audit_stream_keeps_going_when_a_callback_fails(spark, tmp_path):
     run()
     stored = spark.read.parquet(str(tmp_path / "out"))
     assert seen == [5, 1] and stored.count() == 6 and stored.select("entry_id").distinct().count() == 6
+    assert [r["error"] for r in spark.read.parquet(str(tmp_path / "out-errors")).collect()] == ["RuntimeError: observer"] * 2
     assert stored.where("not success").count() == 1 and stored.select("day").distinct().count() == 2
 
 
@@ -276,7 +277,7 @@ def test_streams_equal_batch_jobs(spark, tmp_path):
 
     want = access.rate_limit(spark.read.parquet(src), 2, 60)
     cols = ["request_id", "allowed", "remaining", "reset_at"]
-    got = spark.read.schema(jobs.LIMITED).parquet(str(tmp_path / "r"))
+    got = jobs.live_limits(spark, str(tmp_path / "r"))
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
     usage = stream.select(F.col("key").alias("tenant_id"), "ts", F.lit(1).alias("request_count"), F.lit(2).alias("document_count"),
@@ -286,7 +287,31 @@ def test_streams_equal_batch_jobs(spark, tmp_path):
     assert live == {(f"k{i}", "2024-01-01"): 40 for i in range(3)}
 
     states = stream.select(F.col("key").alias("job_id"), (F.col("request_id") % 30).cast("string").alias("item_id"),
-                           F.when(F.col("request_id") < 90, "pending").otherwise("completed").alias("status"), "ts")
+                           F.when(F.col("request_id") < 90, "pending").otherwise("completed").alias("status"), "ts", F.col("request_id").alias("seq"))
     jobs.job_progress_stream(states, str(tmp_path / "p"), str(tmp_path / "pc"), available_now=True).awaitTermination()
     assert {r["job_id"]: (r["total_items"], r["progress"]) for r in jobs.live_progress(spark, str(tmp_path / "p")).collect()} == {
         f"k{i}": (10, 100.0) for i in range(3)}
+
+
+def test_streams_keep_late_rows(spark, tmp_path):
+    """Unsorted micro-batches give every request a verdict and every row its share of the sums."""
+    import random
+
+    from docflow.operators import access
+
+    src, pick = str(tmp_path / "in"), random.Random(3)
+    rows = [(f"k{pick.randrange(5)}", i, at(pick.randrange(200_000))) for i in range(10_000)]
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], "key string, request_id long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("key string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    jobs.rate_limit_stream(stream, str(tmp_path / "r"), str(tmp_path / "rc"), 3, 600, available_now=True).awaitTermination()
+    cols = ["request_id", "allowed", "remaining", "reset_at"]
+    want = access.rate_limit(spark.read.parquet(src), 3, 600).select(cols).collect()
+    got = jobs.live_limits(spark, str(tmp_path / "r")).select(cols).collect()
+    assert len(got) == 10_000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    usage = stream.select(F.col("key").alias("tenant_id"), "ts", *[F.lit(k).alias(c) for k, c in enumerate(jobs.USAGE, 1)])
+    jobs.daily_usage_stream(usage, str(tmp_path / "u"), str(tmp_path / "uc"), available_now=True).awaitTermination()
+    total = jobs.live_usage(spark, str(tmp_path / "u")).agg(F.sum("request_count"), F.sum("tokens_used")).first()
+    assert tuple(total) == (10_000, 40_000)
+    jobs.compact_usage(spark, str(tmp_path / "u"), str(tmp_path / "u2"))
+    assert sorted(map(tuple, jobs.live_usage(spark, str(tmp_path / "u2")).collect())) == sorted(map(tuple, jobs.live_usage(spark, str(tmp_path / "u")).collect()))
