@@ -5,7 +5,9 @@ Everything in this file is a fixed value the results depend on.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # --- task and event names ---------------------------------------------------
 
@@ -189,11 +191,22 @@ MAX_IMAGE_BYTES = 20 * 1024 * 1024
 MAX_VIDEO_BYTES = 100 * 1024 * 1024
 
 
-# --- as DataFrames (a few dozen rows each, so they are safe to broadcast) -------
+# --- as DataFrames (a few dozen rows each; Spark sees their size) ---------------
+
+
+_ARROW = {
+    "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
+    "array<string>": pa.list_(pa.string()),
+}
 
 
 def _frame(spark: SparkSession, rows, schema) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A table of known size: from Arrow, Spark makes a local relation and sees how small it is."""
+    rows = list(rows)
+    kind = T._parse_datatype_string(schema)
+    columns = zip(*rows) if rows else [()] * len(kind)
+    arrays = [pa.array(list(c), _ARROW[f.dataType.simpleString()]) for c, f in zip(columns, kind)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=kind.names), kind)
 
 
 def preset_specs(spark) -> DataFrame:

@@ -41,7 +41,7 @@ def users_permissions(users: DataFrame, role_permissions: DataFrame) -> DataFram
     granted = role_permissions.groupBy("role").agg(F.collect_list("permission").alias("_by_role"))
     empty = F.array().cast("array<string>")
     every = F.array_distinct(F.concat(F.coalesce("permissions", empty), F.coalesce("_by_role", empty)))
-    return users.join(F.broadcast(granted), "role", "left").select(
+    return users.join(granted, "role", "left").select(
         "user_id", "role", F.explode(every).alias("permission"))
 
 
@@ -49,7 +49,7 @@ def check_permissions(requests: DataFrame, users: DataFrame, role_permissions: D
     """Adds ``permitted`` to (user_id, permission) requests; unknown users are refused, and
     whether a user is active plays no part."""
     granted = role_permissions.groupBy("role").agg(F.collect_list("permission").alias("_by_role"))
-    known = users.select("user_id", "role", "permissions").join(F.broadcast(granted), "role", "left")
+    known = users.select("user_id", "role", "permissions").join(granted, "role", "left")
     joined = requests.join(known.drop("role"), "user_id", "left")
     by_hand = F.coalesce(F.array_contains("permissions", F.col("permission")), F.lit(False))
     by_role = F.coalesce(F.array_contains("_by_role", F.col("permission")), F.lit(False))

@@ -1,9 +1,8 @@
 """Pages to documents.
 
-A document may have any number of pages, so merged texts come in parts of at most
-``pages_per_part`` pages: (document, part_no, text). The parts of a document, joined by a blank
-line in order, are the merged text; documents up to that length have exactly one part. Parts
-follow from the page number alone, so no task ever holds more than one part.
+A document may have any number of pages, so merged texts come in parts of the page range that the
+caller gives: (document, part_no, text). The parts of a document, joined by a blank line in order, are
+the merged text. Parts follow from the page number alone, so no task ever holds more than one part.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import json_text as J
 from ..functions.ranking import bucketed_running_sum
 
-PAGES_PER_PART = 1000
 JOIN = "\n\n"
 
 
@@ -32,14 +30,14 @@ def _merge(pages: DataFrame, piece: Column, doc: str, pages_per_part: int, strat
     )
 
 
-def merge_concatenate(pages: DataFrame, doc="doc_id", pages_per_part=PAGES_PER_PART) -> DataFrame:
+def merge_concatenate(pages: DataFrame, pages_per_part: int, doc="doc_id") -> DataFrame:
     """Text of all pages, each below a page marker."""
     marked = F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---" + JOIN),
                       F.coalesce("text", F.lit("")))
     return _merge(pages, marked, doc, pages_per_part, "concatenate")
 
 
-def merge_plain(pages: DataFrame, doc="doc_id", pages_per_part=PAGES_PER_PART, strategy="plain") -> DataFrame:
+def merge_plain(pages: DataFrame, pages_per_part: int, doc="doc_id", strategy="plain") -> DataFrame:
     """Text of all pages without markers and without data."""
     return _merge(pages, F.coalesce("text", F.lit("")), doc, pages_per_part, strategy)
 
@@ -61,7 +59,7 @@ def merge_structured(pages: DataFrame, doc="doc_id", data="data") -> DataFrame:
     return entries.select(doc, "key", "page_no", F.posexplode(values).alias("pos", "value"))
 
 
-def merged_lists(rows: DataFrame, doc="doc_id", pages_per_part=PAGES_PER_PART) -> DataFrame:
+def merged_lists(rows: DataFrame, pages_per_part: int, doc="doc_id") -> DataFrame:
     """:func:`merge_structured` as arrays, in parts of bounded page range."""
     item = F.struct("page_no", "pos", "value")
     return rows.groupBy(doc, "key", _part(pages_per_part)).agg(
@@ -73,11 +71,12 @@ def page_totals(pages: DataFrame, doc="doc_id", strategy="concatenate") -> DataF
     return pages.groupBy(doc).agg(F.count("*").alias("total_pages")).withColumn("merge_strategy", F.lit(strategy))
 
 
-def document_groups(pages: DataFrame, stack="doc_id", starts: Column | None = None, pages_per_part=PAGES_PER_PART) -> DataFrame:
+def document_groups(pages: DataFrame, stack="doc_id", starts: Column | None = None, pages_per_task=1000) -> DataFrame:
     """Number of the document each page of a stack belongs to, from 1.
 
-    ``starts`` marks first pages; without it every page is a document of its own.
+    ``starts`` marks first pages; without it every page is a document of its own. ``pages_per_task``
+    spreads a long stack over tasks and does not change the result.
     """
     flag = F.lit(1) if starts is None else F.coalesce(starts, F.lit(False)).cast("int")
-    bucket = F.floor((F.col("page_no") - 1) / pages_per_part)
+    bucket = F.floor((F.col("page_no") - 1) / pages_per_task)
     return bucketed_running_sum(pages, [stack], bucket, ["page_no"], flag, "group_no")

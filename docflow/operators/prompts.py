@@ -293,7 +293,7 @@ def build_prompts(docs: DataFrame, prompts: DataFrame) -> DataFrame:
     """
     preset = F.when(F.col("preset").isin(*dims.PRESETS), F.col("preset")).otherwise(F.lit("invoice"))
     known = prompts.select(F.col("preset").alias("_preset"), "schema_prompt")
-    staged = docs.join(F.broadcast(known), preset == F.col("_preset"), "left")
+    staged = docs.join(known, preset == F.col("_preset"), "left")
     task = F.col("task_type")
     kind = F.when(F.col("document_type") == "invoice", F.lit("invoice")).otherwise(F.lit("receipt"))
     default = (

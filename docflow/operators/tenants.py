@@ -14,7 +14,7 @@ def tenant_quota(tenants: DataFrame, quotas: DataFrame) -> DataFrame:
 
     ``quotas`` is the four-row tier table.
     """
-    joined = tenants.join(F.broadcast(quotas), "tier", "left")
+    joined = tenants.join(quotas, "tier", "left")
     filled = []
     for name, value in zip(dims.QUOTA_COLUMNS, dims.DEFAULT_QUOTA):
         default = F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value).cast("bigint")

@@ -516,7 +516,7 @@ def field_specs(spark, sf):
     """How often each field of the invoice preset is filled."""
     found = shape.fields_long(field_responses(spark, sf))
     specs = dims.preset_specs(spark).where(F.col("preset") == "invoice")
-    joined = found.join(F.broadcast(specs), found["field"] == specs["name"])
+    joined = found.join(specs, found["field"] == specs["name"])
     return joined.groupBy("preset", "name", "type").agg(F.count("value").alias("filled"))
 
 
@@ -527,7 +527,7 @@ SELECT o_orderkey AS doc_id, f AS name, CASE f WHEN 'total' THEN 'currency' ELSE
 def normalise_specs(spark, sf):
     specs = shape.normalise_specs(dims.template_specs(spark)).where(F.col("preset") == "invoice").drop("preset", "pos")
     found = shape.fields_long(field_responses(spark, sf)).select("doc_id", "field")
-    return found.join(F.broadcast(specs), F.col("field") == F.col("name")).drop("field")
+    return found.join(specs, F.col("field") == F.col("name")).drop("field")
 
 
 ENTITY_NAMES = ("PERSON", "DATE", "MONEY", "SHAPE")

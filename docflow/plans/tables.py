@@ -208,7 +208,7 @@ def query_results(spark, sf):
 SELECT conv_id AS doc_id, 0 AS part_no, string_agg('--- Page ' || (turn + 1) || E' ---\n\n' || text, E'\n\n' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""")
 def merge_concatenate(spark, sf):
-    return pages.merge_concatenate(I.pages(spark, sf)).select("doc_id", "part_no", "text")
+    return pages.merge_concatenate(I.pages(spark, sf), 1000).select("doc_id", "part_no", "text")
 
 
 @query("merge_plain", r"""
@@ -231,10 +231,18 @@ def merge_structured(spark, sf):
 SELECT conv_id AS doc_id, 'sizes' AS key, string_agg(length(text) || ',' || turn, ',' ORDER BY turn) AS list FROM conversations WHERE role <> 'system' GROUP BY conv_id
 UNION ALL SELECT conv_id, 'role', string_agg('"' || role || '"', ',' ORDER BY turn) FROM conversations WHERE role <> 'system' GROUP BY conv_id""")
 def merged_lists(spark, sf):
-    lists = pages.merged_lists(pages.merge_structured(I.pages(spark, sf)))
+    lists = pages.merged_lists(pages.merge_structured(I.pages(spark, sf)), 1000)
     return lists.select("doc_id", "key", F.array_join("values", ",").alias("list"))
 
 
+@query("page_data", """
+SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, '"' || role || '"' AS role,
+       '[' || length(text) || ',' || turn || ']' AS sizes
+FROM conversations WHERE role <> 'system'""")
+def page_data(spark, sf):
+    return pages.page_data(I.pages(spark, sf)).select("doc_id", "page", F.col("data.role").alias("role"), F.col("data.sizes").alias("sizes"))
+
+
 @query("page_totals", "SELECT conv_id AS doc_id, count(*) AS total_pages, 'concatenate' AS merge_strategy FROM conversations GROUP BY conv_id")
 def page_totals(spark, sf):
     return pages.page_totals(I.pages(spark, sf))
@@ -246,7 +254,7 @@ SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_no,
 def document_groups(spark, sf):
     """Every user turn starts a document; buckets of two pages."""
     starts = F.coalesce(F.element_at("data", F.lit("role")), F.lit("")) == '"user"'
-    grouped = pages.document_groups(I.pages(spark, sf), "doc_id", starts, pages_per_part=2)
+    grouped = pages.document_groups(I.pages(spark, sf), "doc_id", starts, pages_per_task=2)
     return grouped.select("doc_id", "page_no", "group_no")
 
 
@@ -380,7 +388,7 @@ def video_tokens(spark, sf):
 SELECT conv_id, 0 AS part_no, CAST(count(*) AS INTEGER) AS message_count, string_agg(role || ':' || length(text), ' ' ORDER BY turn) AS outline
 FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
 def chat_histories(spark, sf):
-    h = chat.chat_histories(I.chat(spark, sf))
+    h = chat.chat_histories(I.chat(spark, sf), 1000)
     outline = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.length(m["content"]).cast("string"))), " ")
     return h.select("conv_id", F.col("part_no").cast("int").alias("part_no"), "message_count", outline.alias("outline"))
 
@@ -392,7 +400,7 @@ FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_rol
 WHERE role = 'user'""")
 def pair_turns(spark, sf):
     """In buckets of two turns, so that pairs cross a bucket's edge."""
-    return chat.pair_turns(I.chat(spark, sf), turns_per_part=2)
+    return chat.pair_turns(I.chat(spark, sf), turns_per_task=2)
 
 
 def _prompt_case():

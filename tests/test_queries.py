@@ -82,3 +82,11 @@ def test_python_only_where_needed(spark):
         n for n in ("check_quota", "histogram_stats", "sign_payloads", "resolve_keys", "sample_evenly", "pair_turns", "check_totals", "rate_limit", "decode_points")
         if any(mark in plan(entry_points.queries()[n](spark, SF)) for mark in ("MapInArrow", "ArrowEvalPython", "BatchEvalPython"))}
     assert with_python == {"rate_limit", "decode_points"}
+
+
+def test_dimension_tables_are_the_small_side(spark):
+    """Rules and types are sent to the facts; no fact table is dealt out by a field name."""
+    text = plan(entry_points.queries()["date_consistency"](spark, SF))
+    assert "BuildRight" in text and "BuildLeft" not in text and "hashpartitioning(field" not in text
+    text = plan(entry_points.queries()["validate_fields"](spark, SF))
+    assert "BuildRight" in text and "hashpartitioning(field" not in text

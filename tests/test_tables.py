@@ -28,7 +28,7 @@ def book(spark):
 
 
 def test_merged_texts(book):
-    parts = {r["doc_id"]: r["text"] for r in pages.merge_concatenate(book).collect()}
+    parts = {r["doc_id"]: r["text"] for r in pages.merge_concatenate(book, 1000).collect()}
     assert parts["d"] == "\n\n".join(f"--- Page {n} ---\n\ntext {n}" for n in range(1, 13))
     assert parts["e"] == "--- Page 1 ---\n\n"
     split = pages.merge_plain(book.where("doc_id = 'd'"), pages_per_part=5).orderBy("part_no").collect()
@@ -38,7 +38,7 @@ def test_merged_texts(book):
 
 def test_merged_data(book):
     rows = pages.merge_structured(book)
-    lists = {(r["doc_id"], r["key"]): r["values"] for r in pages.merged_lists(rows).collect()}
+    lists = {(r["doc_id"], r["key"]): r["values"] for r in pages.merged_lists(rows, 1000).collect()}
     numbers = [n for n in range(1, 13) if n != 2]
     assert lists == {("d", "items"): [str(x) for n in numbers for x in (n, n + 100)], ("d", "kind"): ['"k"'] * 11}
     assert pages.page_data(book).count() == 11
@@ -49,7 +49,7 @@ def test_document_groups(book):
     alone = pages.document_groups(book).where("doc_id = 'd'").orderBy("page_no").collect()
     assert [r["group_no"] for r in alone] == list(range(1, 13))
     starts = F.col("page_no") % 4 == 1
-    grouped = pages.document_groups(book, starts=starts, pages_per_part=3).where("doc_id = 'd'").orderBy("page_no").collect()
+    grouped = pages.document_groups(book, starts=starts, pages_per_task=3).where("doc_id = 'd'").orderBy("page_no").collect()
     assert [r["group_no"] for r in grouped] == [1] * 4 + [2] * 4 + [3] * 4
 
 
