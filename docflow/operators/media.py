@@ -3,28 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucketed_rank
-
 
 def sample_evenly(rows: DataFrame, group: str, order, bucket: Column, n=128) -> DataFrame:
     """``n`` rows per group at even steps from the first to the last, repeated when the group is
-    smaller; ``sample_no`` runs from 0.
+    smaller; ``sample_no`` runs from 0. ``bucket`` must rise with ``order``.
 
-    Rows are numbered through buckets and meet the wanted numbers in an equi-join on
-    (group, number), so a large group is never in one task.
+    The buckets' sizes alone say which places of which buckets are wanted; only those buckets are read
+    and ranked, each by itself, so a large group is never in one task.
     """
-    ranked = bucketed_rank(rows, [group], bucket, order, "_rank").withColumn("_index", F.col("_rank") - 1)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_total"))
+    order = list(order) if isinstance(order, (list, tuple)) else [order]
+    keyed = rows.withColumn("_bucket", bucket)
+    sizes = keyed.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_bucket")) - F.col("_n")
+    spans = sizes.select(group, "_bucket", "_n", before.alias("_before"), F.sum("_n").over(W.partitionBy(group)).alias("_total"))
     step = (F.col("_total") - 1) / F.lit(float(max(n - 1, 1)))
-    at = F.when(F.col("sample_no") == n - 1, F.col("_total") - 1 if n > 1 else F.lit(0)).otherwise(
-        F.floor(F.col("sample_no") * step))
-    wanted = (
-        sizes.select(group, "_total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_no"))
-        .select(group, "sample_no", at.cast("bigint").alias("_index"))
-    )
-    return ranked.join(wanted, [group, "_index"]).withColumnRenamed("_index", "frame_index").drop("_rank")
+    last = F.col("_total") - 1 if n > 1 else F.lit(0)
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(
+        k.alias("sample_no"), F.when(k == n - 1, last).otherwise(F.floor(k * step)).cast("bigint").alias("frame_index")))
+    here = F.filter(places, lambda x: (x["frame_index"] >= F.col("_before")) & (x["frame_index"] < F.col("_before") + F.col("_n")))
+    wanted = spans.withColumn("_wanted", here).where(F.size("_wanted") > 0).select(
+        F.col(group).alias("_g"), F.col("_bucket").alias("_b"), "_before", "_total", "_wanted")
+    found = keyed.join(wanted, F.col(group).eqNullSafe(F.col("_g")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order)) - 1
+    hits = F.filter("_wanted", lambda x: x["frame_index"] == F.col("_place"))
+    return found.withColumn("_place", place).select(*rows.columns, "_total", F.explode(hits).alias("_hit")).select(
+        *rows.columns, "_total", F.col("_hit.sample_no").alias("sample_no"), F.col("_hit.frame_index").alias("frame_index"))
 
 
 def grid_positions(frames: DataFrame, number="sample_no", cols=8, width="width", height="height") -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.ranking import bucketed_rank
 
 
 def tenant_quota(tenants: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -74,20 +74,32 @@ def check_quota(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     """Verdict per request: the first rule it breaks gives the reason.
 
     ``requests``: request_id, ts, tenant_id, task_type, document_count; ``tenants`` as given by
-    :func:`tenant_quota`. Only granted requests use up the day, so the daily rule is a rank
-    among the day's otherwise eligible requests; the rank is built from hourly counts, so a
-    busy tenant is spread over many tasks.
+    :func:`tenant_quota`. Only granted requests use up the day. Eligible requests are counted per minute;
+    the sums say in which minute a day's limit falls. Earlier minutes are granted, later ones refused, and
+    only the requests of that minute are ranked.
     """
     limits = tenants.select(
         "tenant_id", F.col("tenant_id").alias("_name"), "tier", "is_active", "allowed_tasks",
         "max_documents_per_batch", "max_requests_per_day",
     )
-    judged = requests.join(limits, "tenant_id", "left").withColumn("_early", _reason(F.lit(False)))
-    day = judged.withColumn("_day", F.to_date("ts")).withColumn("_ok", F.col("_early").isNull())
-    ranked = bucketed_rank(day, ["tenant_id", "_day", "_ok"], F.hour("ts"), ["ts", "request_id"], "_rank")
-    over = F.col("_ok") & (F.col("_rank") > F.col("max_requests_per_day"))
-    out = ranked.withColumn("reason", F.coalesce("_early", F.when(over, _reason(F.lit(True)))))
-    return out.select(*requests.columns, F.col("reason").isNull().alias("allowed"), "reason")
+    judged = requests.join(limits, "tenant_id", "left").select(
+        *requests.columns, "max_requests_per_day", _reason(F.lit(False)).alias("_early"), _reason(F.lit(True)).alias("_late"),
+        F.to_date("ts").alias("_day"), (F.hour("ts") * 60 + F.minute("ts")).alias("_minute"))
+    key = ["tenant_id", "_day"]
+    counted = judged.where(F.col("_early").isNull()).groupBy(*key, "_minute").agg(
+        F.count("*").alias("_n"), F.max("max_requests_per_day").alias("_limit"))
+    before = F.sum("_n").over(W.partitionBy(*key).orderBy("_minute")) - F.col("_n")
+    full = counted.withColumn("_before", before).where((F.col("_before") <= F.col("_limit")) & (F.col("_before") + F.col("_n") > F.col("_limit"))).select(
+        F.col("tenant_id").alias("_t"), F.col("_day").alias("_d"), F.col("_minute").alias("_m"), "_before", "_limit")
+    same_day = (F.col("tenant_id") == F.col("_t")) & (F.col("_day") == F.col("_d"))
+    verdict = lambda over: F.coalesce("_early", F.when(over, F.col("_late"))).alias("reason")
+    on_edge = F.col("_early").isNull() & (F.col("_minute") == F.col("_m"))
+    clear = judged.join(full, same_day, "left").where(~F.coalesce(on_edge, F.lit(False))).select(
+        *requests.columns, verdict(F.coalesce(F.col("_minute") > F.col("_m"), F.lit(False))))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*key, "_minute").orderBy("ts", "request_id"))
+    edge = judged.join(full, same_day & (F.col("_minute") == F.col("_m"))).where(F.col("_early").isNull()).select(
+        *requests.columns, verdict(place > F.col("_limit")))
+    return clear.unionByName(edge).select(*requests.columns, F.col("reason").isNull().alias("allowed"), "reason")
 
 
 def daily_usage(usage: DataFrame) -> DataFrame:
