@@ -112,7 +112,7 @@ def bucketed_lead(df: DataFrame, keys, bucket: Column, order: str, values, prefi
     return out.drop("_bucket", "_before", "_next")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int, how: str = "inner") -> DataFrame:
     """Equi-join on a column with few, heavy values.
 
     Each value is split over ``salts`` tasks: left rows go to one of them by a hash of their own

@@ -17,14 +17,16 @@ def subscriptions_state(changes: DataFrame) -> DataFrame:
     return last.where(F.col("_r.event") == "register").select("webhook_id", *[F.col("_r")[c].alias(c) for c in kept])
 
 
-def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+def fan_out(events: DataFrame, subscriptions: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per event and active subscription listing its type.
 
     The subscriptions are unfolded to (type, webhook), so this is an equi-join. There are only
-    seven types, so the join is salted: no type ends up in a single task.
+    seven types, so the join is salted: no type ends up in a single task. ``salts`` is the number of
+    tasks per type, as many as there are shuffle partitions if not given.
     """
     listed = subscriptions.where("active").withColumn("event_type", F.explode(F.array_distinct("events"))).drop("events", "active")
-    return salted_join(events, listed, "event_type")
+    salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return salted_join(events, listed, "event_type", salts)
 
 
 def payloads(events: DataFrame, out="payload") -> DataFrame:
