@@ -6,9 +6,11 @@ most ``2 * chunks - 1`` of them, but for a chance that ``chunks_for`` keeps belo
 is filed under every part with any one value left out, and all pairs under the distance meet in a file.
 
 No file is ever expanded into its pairs. First all members are compared with the file's smallest one;
-components of the confirmed links follow. Only files that still hold several components are looked
-into, in blocks, and only pairs of different components below the distance leave a block. Equal sets
-count as one class throughout, so copies cost nothing after the first aggregation.
+components of the confirmed links follow. In files that still hold several components, the members
+outside the largest are compared with a few members of it. Only files that are parted even then are
+looked into, in blocks; only pairs of different components below the distance leave a block, each from
+the first of the files that it shares, and only if signatures of FINE more values of 8 bits agree too. Equal sets count as one class throughout, so copies cost nothing
+after the first aggregation.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .components import components
 from .staging import staged
 from .text_bytes import Hasher, lower_ascii, mix, shingles, text_runs, words
 
-VALUES, MISS, BLOCK = 64, 2e-5, 512
+VALUES, FINE, MISS, BLOCK, PIVOTS = 64, 448, 2e-5, 512, 8
 
 
 def chunks_for(similarity: float, values=VALUES, miss=MISS) -> int:
@@ -40,8 +42,21 @@ def chunks_for(similarity: float, values=VALUES, miss=MISS) -> int:
     raise ValueError("the similarity is too low for this signature")
 
 
+def fine_distance(similarity: float, values=FINE, miss=MISS) -> int:
+    """The distance of fine signatures that a pair at the limit exceeds with a chance below ``miss``."""
+    p, tail = (1 - similarity) * 255 / 256, 1.0
+    for d in range(values + 1):
+        tail -= comb(values, d) * p**d * (1 - p) ** (values - d)
+        if tail <= miss:
+            return d
+    return values
+
+
 def patterns(chunks: int, values=VALUES) -> list[np.ndarray]:
-    """The signature positions that stay of each part with each one value left out."""
+    """The signature positions that stay of each part with each one value left out.
+
+    Pattern number k leaves out value k, so there are as many patterns as values.
+    """
     parts = np.array_split(np.arange(values), chunks)
     return [np.delete(part, k) for part in parts for k in range(len(part))]
 
@@ -55,11 +70,11 @@ def text_sets(data, offsets, hasher, size):
     return (np.concatenate(sets) if sets else runs), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
-def signatures(sets, at, values=VALUES):
+def signatures(sets, at, values=VALUES, first=0):
     """A row of 16-bit values for each set that is not empty: low bits of the least hash under each of many maps."""
     some = np.flatnonzero(np.diff(at))
     starts = at[:-1][some]
-    odd = mix(np.arange(1, values + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    odd = mix(np.arange(first + 1, first + values + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     plus = mix(odd)
     out = np.zeros((len(at) - 1, values), np.uint16)
     if len(some):
@@ -93,15 +108,14 @@ def profiles(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind=np.uint16, values=VALUES) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint16)
-    return raw.reshape(len(column), VALUES)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), values)
 
 
 def filed(classes: DataFrame, chunks: int) -> DataFrame:
-    """(file, node): every class under each of its patterns."""
+    """(file, node): every class under each of its patterns; a file's last bits are its pattern's number."""
     plan = patterns(chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +128,7 @@ def filed(classes: DataFrame, chunks: int) -> DataFrame:
                     key = np.full(len(signs), k + 1, np.uint64)
                     for place in places:
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, place])
-                    keys[:, k] = key
+                    keys[:, k] = (key & ~np.uint64(VALUES - 1)) | np.uint64(k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes[a : a + 8192], len(plan)))], names=["file", "node"])
 
@@ -141,12 +155,22 @@ def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, name: str) -> DataFrame:
+def _fine(texts: DataFrame, size: int) -> DataFrame:
+    """(node, fine): the fine signature of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for first, end, data, offsets in text_runs(batch.column(1)):
+                found = signatures(*text_sets(data, offsets, hasher, size), FINE, VALUES).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([r.tobytes() for r in found], pa.binary())], names=["node", "fine"])
+
+    return texts.select("id", "text").mapInArrow(run, "node long, fine binary")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs whose full sets have the similarity; both texts are read and compared whole."""
     pairs = staged(pairs, f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    texts = staged(own.join(ids, F.col("id") == F.col("_id"), "left_semi"), f"{name}-texts")
     left = texts.select(F.col("id").alias("_a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("id").alias("_b"), F.col("text").alias("b_text"))
     both = pairs.join(left, F.col("a") == F.col("_a")).drop("_a").join(right, F.col("b") == F.col("_b")).drop("_b")
@@ -175,30 +199,44 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, size:
     return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
 
 
-def _across(members: DataFrame, distance: int, percent: int) -> DataFrame:
+def _first_shared(equal, part_starts):
+    """The number of the first pattern in which signatures agree, given which of their values are equal."""
+    wrong = np.add.reduceat(~equal, part_starts, axis=1)
+    part = (wrong <= 1).argmax(1)
+    inside = np.arange(equal.shape[1])[None, :] >= part_starts[part][:, None]
+    left_out = (~equal & inside).argmax(1)
+    return np.where(wrong[np.arange(len(part)), part] == 1, left_out, part_starts[part])
+
+
+def _across(members: DataFrame, chunks: int, distance: int, fine: int, percent: int) -> DataFrame:
     """Pairs of different components that share a file and are near enough.
 
-    ``members`` has file, node, component, n_shingles, signature, the file's largest component ``main``
+    ``members`` has file, node, component, n_shingles, signature, fine, the file's largest component ``main``
     and its numbers of ``blocks`` and of ``rest_blocks`` for members outside ``main``. Every block of the
     rest meets every block of the file, so no task holds a whole file, and ``main`` never meets itself.
     """
     spot = F.xxhash64("node")
-    columns = ["node", "component", "n_shingles", "signature"]
+    columns = ["node", "component", "n_shingles", "signature", "fine"]
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     every = members.select("file", F.pmod(spot, F.col("blocks")).alias("block"), upto("rest_blocks").alias("rest_block"), F.lit(False).alias("rest"), *columns)
     rest = members.where("component != main").select(
         "file", upto("blocks").alias("block"), F.pmod(spot, F.col("rest_blocks")).alias("rest_block"), F.lit(True).alias("rest"), *columns)
     keys = ["file", "block", "rest_block"]
+    part_starts = np.array([p[0] for p in np.array_split(np.arange(VALUES), chunks)])
 
     def pairs(rows: pa.Table, out_a: list, out_b: list) -> None:
         node, comp, n, rest_ = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "rest"))
-        signs = _matrix(rows.column("signature"))
+        signs, fines = _matrix(rows.column("signature")), _matrix(rows.column("fine"), np.uint8, FINE)
         left, right = np.flatnonzero(rest_), np.flatnonzero(~rest_)
+        pattern = rows.column("file")[0].as_py() & (VALUES - 1)
         for k in range(0, len(left), 64):
             i, j = (x.ravel() for x in np.meshgrid(left[k : k + 64], right, indexing="ij"))
             fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[fit], j[fit]
-            near = (signs[i] != signs[j]).sum(1) <= distance
+            equal = signs[i] == signs[j]
+            near = (~equal).sum(1) <= distance
+            near[near] = _first_shared(equal[near], part_starts) == pattern
+            near[near] = (fines[i[near]] != fines[j[near]]).sum(1) <= fine
             out_a.append(np.maximum(node[i[near]], node[j[near]]))
             out_b.append(np.minimum(node[i[near]], node[j[near]]))
 
@@ -224,6 +262,23 @@ def _across(members: DataFrame, distance: int, percent: int) -> DataFrame:
     return every.unionByName(rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
+def _unlike(pairs: DataFrame, others: DataFrame) -> DataFrame:
+    other = others.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return pairs.join(other, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+
+
+def _parted(members: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """The members (file, node, n) of files with several components, with their own and the file's largest one,
+    and the number of blocks of members outside that one."""
+    parts = staged(parts.withColumnRenamed("node", "_node"), f"{name}-parts")
+    placed = staged(members.join(parts, F.col("node") == F.col("_node"), "left").select(
+        "file", "node", "n", F.coalesce("component", "node").alias("component")), f"{name}-placed")
+    counted = placed.groupBy("file", "component").agg(F.count("*").alias("k")).groupBy(F.col("file").alias("_file")).agg(
+        F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
+    mixed = staged(counted.where("rest > 0").withColumn("rest_blocks", F.ceil(F.col("rest") / BLOCK).cast("long")), f"{name}-mixed")
+    return staged(placed.join(mixed, F.col("file") == F.col("_file")).drop("_file"), f"{name}-open")
+
+
 def _with_end(batches):
     yield from batches
     yield None
@@ -254,22 +309,27 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
     files = filed(classes, chunks)
     shared = staged(files.groupBy("file").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "files")
     members = staged(files.join(shared.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file")).drop("_file"), "members")
+    near = staged(members.select(F.col("node").alias("_id")).distinct(), "near")
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    texts = staged(whole.join(near, F.col("id") == F.col("_id"), "left_semi"), "texts")
     stars = staged(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    links = _confirmed(_close(_with_signatures(stars, classes), distance, percent), docs, id_col, text, size, percent, "star")
-    parts = staged(components(links), "parts")
+    links = _confirmed(_close(_with_signatures(stars, classes), distance, percent), texts, size, percent, "star")
     # Files of three and more members may still part what belongs together.
-    placed = staged(
-        members.where("n > 2").join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-        .select("file", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
-    counted = placed.groupBy("file", "component").agg(F.count("*").alias("k")).groupBy(F.col("file").alias("_file")).agg(
-        F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
-    mixed = staged(counted.where("rest > 0").withColumn("rest_blocks", F.ceil(F.col("rest") / BLOCK).cast("long")), "mixed")
-    open_ = placed.join(mixed, F.col("file") == F.col("_file")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    own = classes.select(F.col("node").alias("_node"), "n_shingles", "signature")
-    across = staged(_across(open_.join(own, F.col("node") == F.col("_node")).drop("_node"), distance, percent), "across")
-    fresh = across.join(stars.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-    more = _confirmed(fresh, docs, id_col, text, size, percent, "across")
-    parts = staged(components(links.unionByName(more)), "parts")
+    open_ = _parted(members.where("n > 2").select("file", "node", "n"), components(links), "first")
+    outside = open_.where("component != main").select("file", "node")
+    inside = open_.where("component = main").groupBy(F.col("file").alias("_file")).agg(
+        *[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("node"))).alias(f"p{k}") for k in range(PIVOTS)])
+    tried = outside.join(staged(inside, "pivots"), F.col("file") == F.col("_file")).select("node", F.explode(F.array(*[f"p{k}.node" for k in range(PIVOTS)])).alias("other"))
+    tried = staged(_unlike(tried.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), stars), "tried")
+    links = links.unionByName(_confirmed(_close(_with_signatures(tried, classes), distance, percent), texts, size, percent, "pivot"))
+    open_ = _parted(open_.select("file", "node", "n"), components(links), "second").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    inside = staged(open_.select(F.col("node").alias("_id")).distinct(), "open-nodes")
+    fines = staged(_fine(texts.join(inside, F.col("id") == F.col("_id"), "left_semi"), size), "fine")
+    own = staged(classes.join(fines.withColumnRenamed("node", "_id"), F.col("node") == F.col("_id")).select(F.col("node").alias("_node"), "n_shingles", "signature", "fine"), "open-classes")
+    across = _across(open_.join(own, F.col("node") == F.col("_node")).drop("_node"), chunks, distance, fine_distance(percent / 100), percent)
+    fresh = _unlike(_unlike(staged(across, "across"), stars), tried)
+    links = links.unionByName(_confirmed(fresh, texts, size, percent, "across"))
+    parts = staged(components(links), "parts")
     linked = named.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = rows.where(~some | F.col("id").isNull()).select("id", "n_shingles", F.col("id").cast("long").alias("component_id"))
