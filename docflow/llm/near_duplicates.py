@@ -29,7 +29,7 @@ from .components import components
 from .staging import staged
 from .text_bytes import Hasher, lower_ascii, mix, shingles, text_runs, words
 
-VALUES, FINE, MISS, BLOCK, PIVOTS = 64, 448, 2e-5, 512, 8
+VALUES, FINE, MISS, BLOCK, PIVOTS = 64, 1024, 2e-5, 512, 4
 
 
 def chunks_for(similarity: float, values=VALUES, miss=MISS) -> int:
