@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .text_bytes import Hasher, Known, Lists, lower_ascii, text_runs
 
 WINDOW = 4096
-RUN = 4 << 20
+RUN = 2 << 20
 
 
 def pieces(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -63,7 +63,7 @@ class StretchIds:
         kind[97:123] = 2
         kind[[b for b in range(33, 127) if not (chr(b).isalnum() or b == 39)]] = 3
         self.kind = kind
-        self.hasher, self.known, self.ids = Hasher(3), Known(), Lists()
+        self.hasher, self.known, self.ids = Hasher(3), Known(1 << 19), Lists()
 
     def _direct(self, word: str) -> list[int]:
         """Ids of a run of plain Latin letters: lower-cased, its bytes in the vocabulary's letters, then merged."""

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .text_bytes import _M3, Hasher, Known, Lists, mix, ragged, text_runs
 
 BLANK = "▁".encode()
-RUN = 4 << 20
+RUN = 2 << 20
 
 
 class Pieces:
@@ -237,7 +237,7 @@ class Segmenter:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.known = Known()
+        self.known = Known(1 << 19)
         self._forget()
 
     def _forget(self):

@@ -28,6 +28,7 @@ from .staging import staged
 from .text_bytes import Hasher, lower_ascii, ragged, segment_sums, text_runs, words
 
 ORDER, BLOCK_BYTES, BUCKETS, CHUNK, SYMBOLS, ESCAPE = 5, 16 << 20, 251, 1024, 256, 0.5
+RUN = 1 << 20
 #: Ends a text, and fills the contexts of its first bytes; no word holds it.
 END = 10
 #: Grams are below this, the numbers of words at or above it.
@@ -93,16 +94,16 @@ def corpus_counts(docs: DataFrame, text: str, learns: str) -> DataFrame:
 
         for batch in batches:
             marks = np.asarray(batch.column(1).to_pylist(), bool)
-            for first, end, data, offsets in text_runs(batch.column(0)):
+            for first, end, data, offsets in text_runs(batch.column(0), RUN):
                 line, at, (low, starts, ends, word_at) = byte_lines(data, offsets)
                 found, gram_at = grams(line, at)
                 mine = marks[first:end].astype(np.int64)
                 held.append(_sums(found, np.repeat(mine, np.diff(gram_at))))
                 held.append(_sums(word_numbers(hasher, low, starts, ends), np.repeat(mine, np.diff(word_at))))
                 size += len(held[-1][0]) + len(held[-2][0])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     keys, counts = merged()
-                    if len(keys) > 1_000_000:
+                    if len(keys) > 800_000:
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
                         held, size = [], 0
                     else:
@@ -235,9 +236,11 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
     def ask(rows: pa.Table) -> pa.Table:
         """The distinct keys of a block, sorted, a row for each bucket that has some."""
         hasher, held = Hasher(), []
-        for _, _, data, offsets in text_runs(rows.column("_text")):
+        for _, _, data, offsets in text_runs(rows.column("_text"), RUN):
             line, at, (low, starts, ends_, _) = byte_lines(data, offsets)
             held += [np.unique(grams(line, at)[0]), np.unique(word_numbers(hasher, low, starts, ends_))]
+            if len(held) > 8:
+                held = [np.unique(np.concatenate(held))]
         keys = np.unique(np.concatenate(held))
         of = keys % BUCKETS
         keys = keys[np.argsort(of, kind="stable")]
@@ -274,7 +277,7 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
         def look(wanted):
             return values[np.searchsorted(keys, wanted)]
 
-        for first, end, data, offsets in text_runs(left.column("_text")):
+        for first, end, data, offsets in text_runs(left.column("_text"), RUN):
             line, at, (low, starts, ends_, word_at) = byte_lines(data, offsets)
             found, gram_at = grams(line, at)
             n = look(word_numbers(hasher, low, starts, ends_))

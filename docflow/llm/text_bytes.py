@@ -7,6 +7,8 @@ Words are maximal runs of bytes other than blank and tab to carriage return.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,14 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def give_back():
+    """Returns freed memory to the system; a worker that is used again would else keep its largest run's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
+
+
 def text_runs(column, run_bytes=RUN_BYTES):
     """(first row, end row, bytes, offsets) for consecutive rows; nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -41,6 +51,7 @@ def text_runs(column, run_bytes=RUN_BYTES):
         end = max(first + 1, int(np.searchsorted(at, at[first] + run_bytes, "right")) - 1)
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
+        give_back()
 
 
 def lower_ascii(data):
