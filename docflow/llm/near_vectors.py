@@ -1,9 +1,10 @@
 """Near-duplicate embeddings: a small-world graph per shard, every shard queried, links checked exactly.
 
 Vectors of a label are dealt into shards of about SHARD_ROWS. Each pair of shards of a label is one
-task: the vectors of one query the graph of the other, with beams that widen until an audit against
-exact comparison passes. A vector whose widest beam still holds only links is compared with the whole
-shard. A task returns counts and a spanning forest of its links, never the links themselves, so a
+task: the vectors of each query the graph of the other, with beams that widen until an audit against
+exact comparison passes. The audit grows until it has seen enough rows with links; where there are too
+few to judge a beam by, the shards are compared exactly. A vector whose widest beam still holds only
+links is compared with the whole shard. A task returns counts and a spanning forest of its links, never the links themselves, so a
 cluster of any size gives as many rows as it has vectors.
 """
 
@@ -22,6 +23,7 @@ from .hnsw import Graph
 from .staging import staged
 
 SHARD_ROWS, BEAM, WIDEST, AUDIT_ROWS, RECALL = 8192, 32, 256, 128, 0.999
+EVIDENCE = 1000  # audited rows with true links that a beam is judged by, at least
 _SLACK = 1e-4  # float32 similarities this far below the limit are still checked
 
 
@@ -48,23 +50,40 @@ def _beam_links(graph, unit_a, unit_b, rows, beam, limit, same):
     return np.stack([a[good], b[good]], 1), rows[full]
 
 
-def find_links(graph, unit_a, unit_b, limit, same, beam=BEAM, widest=WIDEST, recall=RECALL, audit_rows=AUDIT_ROWS):
+def _audit(unit_a, unit_b, limit, same, count, evidence):
+    """(rows, true links of every audited row): as many rows as show ``evidence`` rows with links, or none
+    if half of all rows do not."""
+    n = len(unit_a)
+    order, truth, done = np.random.default_rng(0).permutation(n), np.zeros(n, np.int64), 0
+    while count <= n // 2:
+        for part, mask in _exact(unit_a, unit_b, order[done:count], limit, same):
+            truth[part] = mask.sum(1)
+        if np.count_nonzero(truth) >= evidence:
+            return order[:count], truth
+        done, count = count, 2 * count
+    return order[:0], truth
+
+
+def find_links(graph, unit_a, unit_b, limit, same, beam=BEAM, widest=WIDEST, recall=RECALL, audit_rows=AUDIT_ROWS, evidence=EVIDENCE):
     """(links, full rows): all rows of side a queried against side b's graph.
 
     Every row is either searched by beam, or listed as full: its links are too many for the widest beam
-    or the audit did not pass, and it is to be compared exactly.
+    or the audit did not pass, and it is to be compared exactly. An audit passes if ``evidence`` rows with
+    links were seen, and the beam found ``recall`` of their links and all links of ``recall`` of them.
     """
     n = len(unit_a)
-    audit = np.unique(np.linspace(0, n - 1, min(n, audit_rows)).astype(np.int64))
-    truth = {int(r): np.flatnonzero(m) for part, mask in _exact(unit_a, unit_b, audit, limit, same) for r, m in zip(part, mask, strict=True)}
     rows, links, width = np.arange(n), [], beam
+    audit, truth = _audit(unit_a, unit_b, limit, same, audit_rows, evidence)
     while len(rows) and width <= widest:
+        checked = np.intersect1d(audit, rows)
+        if np.count_nonzero(truth[checked]) < evidence:
+            break
         found, full = _beam_links(graph, unit_a, unit_b, rows, width, limit, same)
-        checked = np.setdiff1d(np.intersect1d(audit, rows), full)
-        wanted = sum(len(truth[int(r)]) for r in checked)
-        got = int(np.isin(found[:, 0], checked).sum())
+        checked = np.setdiff1d(checked, full)
+        checked = checked[truth[checked] > 0]
+        wanted, got = truth[checked], np.bincount(found[:, 0], minlength=n)[checked]
         width *= 2
-        if got >= recall * wanted:
+        if len(checked) >= evidence and got.sum() >= recall * wanted.sum() and (got >= wanted).sum() >= recall * len(checked):
             links.append(found)
             rows = full
     return (np.concatenate(links) if links else np.zeros((0, 2), np.int64)), rows
@@ -82,10 +101,17 @@ class Forest:
             self.root[np.isin(self.root, roots[1:])] = roots[0]
 
 
-def pair_links(graph, unit_a, unit_b, copies_a, copies_b, limit, same, **search):
-    """Weighted numbers of links of both sides, and the forest over side a's and then side b's places."""
+def pair_links(graph, unit_a, unit_b, copies_a, copies_b, limit, same, back=None, **search):
+    """Weighted numbers of links of both sides, and the forest over side a's and then side b's places.
+
+    With side a's graph as ``back``, side b's rows query it too, and a link needs to be found from one side.
+    """
     n = len(unit_a)
     links, full = find_links(graph, unit_a, unit_b, limit, same, **search)
+    full_b = full[:0]
+    if back is not None and len(full) < n:
+        more, full_b = find_links(back, unit_b, unit_a, limit, False, **search)
+        links = np.unique(np.concatenate([links, more[:, ::-1]]), axis=0)
     count_a, count_b = np.zeros(n, np.int64), np.zeros(len(unit_b), np.int64)
     forest = Forest(n if same else n + len(unit_b))
     off = 0 if same else n
@@ -95,7 +121,7 @@ def pair_links(graph, unit_a, unit_b, copies_a, copies_b, limit, same, **search)
         links = links[~isfull[links[:, 0]] & ~isfull[links[:, 1]]]
         links = np.unique(np.sort(links, 1), axis=0) if len(links) else links
     else:
-        links = links[~isfull[links[:, 0]]]
+        links = links[~isfull[links[:, 0]] & ~np.isin(links[:, 1], full_b)]
     a, b = links[:, 0], links[:, 1]
     np.add.at(count_a, a, copies_b[b])
     np.add.at(count_a if same else count_b, b, copies_a[a])
@@ -112,6 +138,14 @@ def pair_links(graph, unit_a, unit_b, copies_a, copies_b, limit, same, **search)
             others = np.flatnonzero(line) + off
             if len(others):
                 forest.join(np.append(others, r))
+    for part, mask in _exact(unit_b, unit_a, full_b, limit, False):
+        mask &= ~isfull  # those are counted
+        count_b[part] += mask @ copies_a
+        count_a += copies_b[part] @ mask
+        for r, line in zip(part.tolist(), mask, strict=True):
+            others = np.flatnonzero(line)
+            if len(others):
+                forest.join(np.append(others, r + off))
     return count_a, count_b, forest.root
 
 
@@ -128,7 +162,7 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector="embedding", label=
     Vectors that are null, empty, zero, or hold null or non-finite numbers, rows without label or id, and
     vectors of unequal lengths link with nothing; such a row is its own component. Equal vectors of a
     label are one class in the graph and link with each other. Links are those that the audited search
-    finds, none below the limit. Rows that share an id share a node. An empty table gives an empty result;
+    finds, none below the limit; all of them where too few rows have links for an audit. Rows that share an id share a node. An empty table gives an empty result;
     further columns are left out. A label may be of any type that groups.
     """
     size = F.size("vector")
@@ -170,15 +204,17 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector="embedding", label=
 
     def link(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("shard").to_pylist()
-        first, last = rows[0], rows[-1]
+        first = rows[0]
         same = len(rows) == 1
         width = first["width"]
         side = [(np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["copies"], np.int64), _unit(r["vectors"], width)) for r in rows]
-        graph = Graph.__new__(Graph)
-        graph.level, graph.near, graph.entry = pickle.loads(last["graph"])
+        graphs = []
+        for row, (_, _, unit) in zip(rows, side, strict=True):
+            graphs.append(Graph.__new__(Graph))
+            graphs[-1].level, graphs[-1].near, graphs[-1].entry = pickle.loads(row["graph"])
+            graphs[-1].vectors = unit.astype(np.float32)
         (node_a, copies_a, unit_a), (node_b, copies_b, unit_b) = side[0], side[-1]
-        graph.vectors = unit_b.astype(np.float32)
-        count_a, count_b, root = pair_links(graph, unit_a, unit_b, copies_a, copies_b, limit, same)
+        count_a, count_b, root = pair_links(graphs[-1], unit_a, unit_b, copies_a, copies_b, limit, same, None if same else graphs[0])
         nodes = node_a if same else np.concatenate([node_a, node_b])
         counts = count_a if same else np.concatenate([count_a, count_b])
         return pa.table({"node": pa.array(nodes), "links": pa.array(counts), "joined": pa.array(nodes[root])})

@@ -172,6 +172,45 @@ def test_a_failing_audit_ends_in_exact_comparison():
     assert (count == (unit @ unit.T >= 0.5).sum(1) - 1).all()
 
 
+def sparse_sides(seed, n, links, dims=24):
+    """Two sides of unit vectors, and the rows of each that were made near copies of each other."""
+    pick = np.random.default_rng(seed)
+    a, b = (v / np.linalg.norm(v, axis=1)[:, None] for v in pick.normal(size=(2, n, dims)))
+    at, to = pick.choice(n, links, False), pick.choice(n, links, False)
+    aside = pick.normal(size=(links, dims))
+    aside -= (aside * b[to]).sum(1)[:, None] * b[to]
+    a[at] = 0.981 * b[to] + math.sqrt(1 - 0.981**2) * aside / np.linalg.norm(aside, axis=1)[:, None]
+    return a, b, at, to
+
+
+def test_an_audit_without_links_accepts_no_beam():
+    a, b, at, to = sparse_sides(7, 2000, 12)
+    graph = hnsw.Graph(b)
+    graph.near = [np.full_like(n, -1) for n in graph.near]
+    ones = np.ones(2000, np.int64)
+    count_a, count_b, root = near_vectors.pair_links(graph, a, b, ones, ones, 0.98, False)
+    assert np.flatnonzero(count_a).tolist() == sorted(at) and np.flatnonzero(count_b).tolist() == sorted(to)
+    assert (root[2000 + to] == at).all()
+    links, full = near_vectors.find_links(graph, a, b, 0.98, False)
+    assert len(links) == 0 and len(full) == 2000
+
+
+def test_links_across_shards_are_found_from_either_side():
+    a, b, at, to = sparse_sides(8, 3000, 2500)
+    ahead, back = hnsw.Graph(b), hnsw.Graph(a)
+    links, full = near_vectors.find_links(ahead, a, b, 0.98, False, evidence=200)
+    assert len(full) == 0 and len(links) > 2400  # enough evidence: the beam is accepted
+    lost = to[:20]  # nodes without in-links
+    for near in ahead.near:
+        near[np.isin(near, lost)] = -1
+    weight_a, weight_b = np.arange(3000) % 3 + 1, np.arange(3000) % 2 + 1
+    mask = a @ b.T >= 0.98
+    for recall in (0.9, 2.0):  # accepted beams, and none
+        count_a, count_b, root = near_vectors.pair_links(ahead, a, b, weight_a, weight_b, 0.98, False, back, evidence=200, recall=recall)
+        assert (count_a == mask @ weight_b).all() and (count_b == weight_a @ mask).all()
+        assert (root[3000 + to] == root[at]).all()
+
+
 # --- archives ---------------------------------------------------------------------------
 
 
