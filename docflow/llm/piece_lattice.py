@@ -311,6 +311,42 @@ class Segmenter:
         return out
 
 
+    def each(self, found, n):
+        """For each rank of the ``n``, from the results of the call: which texts have a segmentation of that
+        rank, all texts' ids of it end to end (none for the others), and where each text begins."""
+        details = [f[2] for f in found]
+        text_at = np.concatenate([[0], np.cumsum([len(mine) for mine, _, _ in details])]).astype(np.int64)
+        flat, flat_at = self.ids.take(np.concatenate([mine for mine, _, _ in details]))
+        for rank in range(n):
+            starts, lengths = flat_at[:-1].copy(), np.diff(flat_at)
+            there = np.array([len(picks) > rank for _, _, picks in details])
+            parts, size = [flat], len(flat)
+            for t, (mine, spot, picks) in enumerate(details):
+                if not there[t]:
+                    lengths[text_at[t] : text_at[t + 1]] = 0
+                    continue
+                for k, i in spot.items():
+                    ids = self.lists[int(mine[k])][picks[rank][1][i]][1]
+                    starts[text_at[t] + k], lengths[text_at[t] + k] = size, len(ids)
+                    parts.append(np.array(ids, np.int64))
+                    size += len(ids)
+            places, at = ragged(starts, lengths)
+            yield there, np.concatenate(parts)[places], at[text_at]
+
+
+class Checksums:
+    """CRC of the ids of a segmentation, and of the text that they decode to."""
+
+    def __init__(self, pieces_bytes: list[bytes]):
+        self.size = np.array([len(x) for x in pieces_bytes])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.flat = np.frombuffer(b"".join(pieces_bytes), np.uint8)
+
+    def __call__(self, ids) -> tuple[int, int]:
+        raw = self.flat[ragged(self.at[ids], self.size[ids])[0]].tobytes()
+        return zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(raw.removeprefix(b" "))
+
+
 def _prepared(text):
     """The model's form of a text: a leading blank and blanks for blank marks; empty texts stay empty."""
     text = F.coalesce(F.col(text), F.lit(""))
@@ -373,21 +409,41 @@ def digests(encoded: DataFrame, model: str, keep=("doc_id",)) -> DataFrame:
                            source.schema["scores"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Pieces(model).bytes_of
-        size = np.array([len(x) for x in of])
-        at = np.concatenate([[0], np.cumsum(size)])
-        flat = np.frombuffer(b"".join(of), np.uint8)
+        sums = Checksums(Pieces(model).bytes_of)
         for batch in batches:
             column = batch.column(len(keep))
             values, cuts = column.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
-            ids_crc, text_crc = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                mine = values[a:b]
-                ids_crc.append(zlib.crc32(mine.astype("<u4").tobytes()))
-                raw = flat[ragged(at[mine], size[mine])[0]].tobytes()
-                text_crc.append(zlib.crc32(raw.removeprefix(b" ")))
+            crcs = np.array([sums(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
-                *[batch.column(i) for i in range(len(keep))], pa.array(np.diff(cuts)), pa.array(ids_crc, pa.int64()), pa.array(text_crc, pa.int64()),
+                *[batch.column(i) for i in range(len(keep))], pa.array(np.diff(cuts)), pa.array(crcs[:, 0]), pa.array(crcs[:, 1]),
                 batch.column(len(keep) + 1)], names=schema.names)
 
     return source.mapInArrow(run, schema)
+
+
+def n_best_digests(docs: DataFrame, model: str, n: int, text="text", keep=("doc_id",)) -> DataFrame:
+    """Per row, for each of the ``n`` best segmentations, best first: number and CRC of its ids, CRC of the
+    text that they decode to, and its score. What ``n_best`` tells of a row holds here; the ids are built
+    and decoded in the task and do not leave it."""
+    source = docs.select(*keep, _prepared(text).alias("_text"))
+    schema = T.StructType([*[source.schema[k] for k in keep], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("n_pieces", "ids_crc32", "text_crc32")],
+                           T.StructField("scores", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = Segmenter(model)
+        sums = Checksums(segment.pieces.bytes_of)
+        for batch in batches:
+            for first, end, data, offsets in text_runs(batch.column(len(keep)), RUN):
+                found = segment(data, offsets, n)
+                told = [([], [], []) for _ in found]
+                for there, ids, at in segment.each(found, n):
+                    for t in np.flatnonzero(there).tolist():
+                        mine = ids[at[t] : at[t + 1]]
+                        for out, value in zip(told[t], (len(mine), *sums(mine)), strict=True):
+                            out.append(value)
+                part = batch.slice(first, end - first)
+                columns = [*[part.column(i) for i in range(len(keep))], *[pa.array([x[i] for x in told], pa.list_(pa.int64())) for i in range(3)],
+                           pa.array([f[1] for f in found], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return source.mapInArrow(run, schema)

@@ -13,11 +13,10 @@ __all__ = ["ORACLE", "QUERIES"]
 
 @query("op1_piece_lattice")
 def op1(spark, sf):
-    """Four best segmentations of every text; the best one decodes to the text."""
+    """Four best segmentations of every text: ids, decoded text and score of each."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = piece_lattice.n_best(docs, model, 4, keep=("doc_id",), all_ids=False)
-    return piece_lattice.digests(found, model)
+    return piece_lattice.n_best_digests(docs, model, 4)
 
 
 @query("op2_near_duplicates")

@@ -148,6 +148,23 @@ def test_decoding_gives_the_text_back(docs, empty):
     assert told[0]["n_pieces"] == 0 and list(told[0]["scores"]) == [0.0]
 
 
+def test_digests_describe_all_segmentations(spark, docs, empty, tmp_path):
+    want, n = by_id(piece_lattice.n_best(docs, MODEL, 4))
+    found, m = by_id(piece_lattice.n_best_digests(docs, MODEL, 4))
+    assert n == m and piece_lattice.n_best_digests(empty, MODEL, 4).collect() == []
+    for i, text in enumerate(TEXTS):
+        if i != 4:
+            assert found[i]["scores"] == want[i]["scores"] and found[i]["n_pieces"] == [len(ids) for ids in want[i]["all_ids"]]
+            assert found[i]["ids_crc32"] == [zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in want[i]["all_ids"]]
+            assert set(found[i]["text_crc32"]) == {zlib.crc32((text or "").replace("▁", " ").encode())}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    from docflow.llm.queries import QUERIES
+
+    asked, _ = by_id(QUERIES["op1_piece_lattice"](spark, str(tmp_path)))
+    assert all(asked[i]["ids_crc32"] == found[i]["ids_crc32"] for i in range(len(TEXTS)) if i != 4)
+    assert len(set(asked[5]["ids_crc32"])) == 4
+
+
 def test_a_text_has_the_same_list_wherever_it_occurs(spark):
     rows = [(i, "same old text, the same") for i in range(4)] + [(9, "other words entirely")]
     found = piece_lattice.n_best(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), MODEL, 6).collect()
