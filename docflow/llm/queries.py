@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, near_duplicates, near_vectors, packing, piece_lattice, ppm, repetition, rules, warc
+from . import fill_in_middle, language, line_dedup, near_duplicates, near_vectors, packing, piece_lattice, ppm, repetition, rules, warc
 from .catalog import ORACLE, QUERIES, query, share_of, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -150,3 +150,37 @@ def op9(spark, sf):
 def op10(spark, sf):
     packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+OP13_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM drawn),
+cut AS (
+  SELECT doc_id, text, CAST(len(units) AS BIGINT) AS n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(h1 % (len(units) + 1), h2 % (len(units) + 1))], '') AS prefix,
+         array_to_string(units[1:greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))], '') AS until
+  FROM numbers),
+parts AS (
+  SELECT doc_id, text, n, form, prefix, substr(until, length(prefix) + 1) AS middle, substr(text, length(until) + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13(spark, sf):
+    made = fill_in_middle.fill_in_middle(table(spark, sf, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fill_in_middle.restore()).alias("restored_sha256"))
