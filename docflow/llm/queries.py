@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import fill_in_middle, language, line_dedup, near_duplicates, near_vectors, packing, piece_lattice, ppm, repetition, rules, warc
+from . import decontamination, fill_in_middle, language, line_dedup, near_duplicates, near_vectors, packing, piece_lattice, ppm, repetition, rules, warc
 from .catalog import ORACLE, QUERIES, query, share_of, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -184,3 +184,35 @@ def op13(spark, sf):
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
                        digest(fill_in_middle.restore()).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH low AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(words), 10) AS size, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS run
+  FROM (SELECT item, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i FROM items WHERE len(words) > 0)),
+places AS (
+  SELECT row_no, size, i, array_to_string(words[i:i + size - 1], ' ') AS run
+  FROM (SELECT row_no, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM low, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+hits AS (SELECT row_no, p.size, i, item FROM places p JOIN windows w ON p.size = w.size AND p.run = w.run),
+words_hit AS (SELECT row_no, count(DISTINCT j) AS n FROM (SELECT row_no, unnest(range(i, i + size)) AS j FROM hits) GROUP BY row_no),
+named AS (SELECT row_no, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row_no, item FROM hits) GROUP BY row_no)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM low LEFT JOIN words_hit h USING (row_no) LEFT JOIN named i USING (row_no)
+"""
+
+
+@query("op12_decontamination", OP12_SQL)
+def op12(spark, sf):
+    found = decontamination.find_benchmark_text(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    names = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return decontamination.report(found).select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), "contaminated")
