@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, language, line_dedup, near_duplicates, near_vectors, packing, piece_lattice, ppm, repetition, rules, warc
+from . import decontamination, fill_in_middle, language, line_dedup, near_duplicates, near_vectors, packing, piece_lattice, ppm, prefix_trie, repetition, rules, warc
 from .catalog import ORACLE, QUERIES, query, share_of, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -186,6 +186,42 @@ def op13(spark, sf):
                        digest(fill_in_middle.restore()).alias("restored_sha256"))
 
 
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS seq
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+marked AS (  -- crc32 of the id as text, a bit at a time
+  SELECT conv_id, seq, (4294967295 - list_reduce(
+    list_prepend(4294967295::BIGINT, range(8 * length(CAST(conv_id AS VARCHAR)))),
+    lambda c, i: xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(conv_id AS VARCHAR), CAST(i // 8 + 1 AS INT), 1))::BIGINT ELSE 0::BIGINT END) >> 1,
+      CASE WHEN (c + CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(conv_id AS VARCHAR), CAST(i // 8 + 1 AS INT), 1)) ELSE 0 END) % 2 = 1
+           THEN 3988292384 ELSE 0::BIGINT END))) % 4 AS h
+  FROM turns),
+rebuilt AS (
+  SELECT m.conv_id, list_concat(coalesce(b.seq[1:h], []), m.seq[h + 1:]) AS seq
+  FROM marked m LEFT JOIN turns b ON b.conv_id = m.conv_id - m.conv_id % 20),
+steps AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT seq[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(len(regexp_extract_all(any_value(seq[depth].text), '[^\x20\x09-\x0D]+')), 0) * (count(*) - 1) AS saved,
+         bool_and(len(seq) = depth) AS leaf, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(seq) = depth), '')) AS ends_sha256
+  FROM steps GROUP BY ALL),
+totals AS (
+  SELECT path[1:k] AS path, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves, count(*) FILTER (k = depth - 1) AS n_children
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, t.n_children, t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON t.path = n.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1] AND p.depth = n.depth - 1
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf):
+    """The trie of all conversations, rebuilt so that they share openings."""
+    turns, convs = prefix_trie.with_borrowed_openings(prefix_trie.numbered_turns(table(spark, sf, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 OP12_SQL = r"""
 WITH low AS (
   SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(
