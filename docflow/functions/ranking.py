@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 
 def _as_list(x):
     return list(x) if isinstance(x, (list, tuple)) else [x]
@@ -123,3 +125,24 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int, how: str
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [on, "_salt"], how).drop("_salt")
+
+
+def in_ranges(df: DataFrame, order, name: str) -> DataFrame:
+    """The rows, written in ranges of ``order``, with ``_range`` (rising) and the place ``_at`` in it, from 0.
+
+    Spark samples the rows to find ranges of about equal size, so one key or a bulk of close values is spread
+    over as many ranges as it needs. Rows equal in all of ``order`` share a range.
+    """
+    order = _as_list(order)
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = cut.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    return written(numbered, name)
+
+
+def numbered(df: DataFrame, order, name="rank") -> DataFrame:
+    """All rows with their number in ``order``, from 1: places in ranges, plus the rows of earlier ranges."""
+    ranged = in_ranges(df, order, "numbered")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_range").alias("_of"), before.alias("_before"))
+    return ranged.join(offsets, F.col("_range") == F.col("_of")).withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_of", "_before")

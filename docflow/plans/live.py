@@ -32,7 +32,7 @@ def ingest_audit(spark, sf):
     entries = e.select("ts", I._mapped("event_type", I.ACTIONS).alias("action"), I.text(F.col("user_id") % 10).alias("tenant_id"),
                        (F.col("event_type") != "error").alias("success"))
     _finish(jobs.ingest_audit(entries, path, check, available_now=True))
-    stored = spark.read.parquet(path)
+    stored = jobs.live_audit(spark, path)
     return stored.groupBy("action", "tenant_id", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("n"), F.count_if(~F.col("success")).alias("failed"),
         (F.count_distinct("entry_id") == F.count("*")).alias("all_ids"))

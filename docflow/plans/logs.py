@@ -421,20 +421,21 @@ SELECT event_id AS request_id, allowed, CASE WHEN allowed THEN {LIMIT} - used EL
 FROM walk"""
 
 
-def _limited(spark, sf, **how):
-    out = access.rate_limit(I.requests(spark, sf), LIMIT, WINDOW, **how)
+def _limited(requests, ranges=None):
+    out = access.rate_limit(requests, LIMIT, WINDOW, ranges=ranges)
     return out.select("request_id", "allowed", "remaining", iso("reset_at").alias("reset_at"))
 
 
 @query("rate_limit", RATE)
 def rate_limit(spark, sf):
-    return _limited(spark, sf)
+    return _limited(I.requests(spark, sf))
 
 
-@query("rate_limit_hot_keys", RATE)
+@query("rate_limit_hot_keys", RATE.replace("user_id", "hot").replace("FROM events)", "FROM (SELECT *, user_id % 2 AS hot FROM events))"))
 def rate_limit_hot_keys(spark, sf):
-    """Every key takes the way of a hot one: chunks, step functions, chain."""
-    return _limited(spark, sf, chunk_seconds=3 * WINDOW)
+    """Two keys with half of all requests each, so that a key lies in many ranges."""
+    hot = F.concat(F.lit("key-"), I.text(F.col("user_id").cast("bigint") % 2))
+    return _limited(I.requests(spark, sf).withColumn("key", hot), 24)
 
 
 # --- webhooks -------------------------------------------------------------------

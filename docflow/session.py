@@ -31,16 +31,29 @@ def build_session(app="docflow", master=None, **extra):
     return builder.getOrCreate()
 
 
+_LOCAL: list[str] = []
+
+
 def scratch_dir(spark, name):
     """A fresh folder below ``spark.checkpoint.dir``, which all executors can reach.
 
-    A private temporary folder is used only when that setting is missing and the
-    session is local; on a cluster the setting is required.
+    Only a local session may do without that setting; its folders lie in one temporary folder of the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="docflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="docflow-"))
+        base = _LOCAL[0]
     return os.path.join(base, "docflow", f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df, name):
+    """The rows of ``df``, written once to a fresh shared folder and read from there.
+
+    What follows neither repeats the steps before nor loses them with an executor.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

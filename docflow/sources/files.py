@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.ranking import bucketed_rank
+from ..functions.ranking import numbered
 
 LISTED = "path string, modificationTime timestamp, length bigint"
 
@@ -32,16 +30,11 @@ def list_files(spark: SparkSession, path: str, patterns=("*",), recursive=False)
 def scan_folder(spark: SparkSession, path: str, patterns=dims.IMAGE_PATTERNS, sort_by="name") -> DataFrame:
     """Files of one folder as pages: file name, path and page number from 1.
 
-    ``sort_by`` is ``name`` or ``modified``. Numbering goes through buckets (the two characters
-    after the names' common beginning, or the hour), so a huge folder is not sorted by one task.
+    ``sort_by`` is ``name`` or ``modified`` (then by name). Names are numbered in sampled ranges, so a huge
+    folder is not sorted by one task, whatever its names look like.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    files = list_files(spark, path, patterns).withColumn("name", name)
-    if sort_by == "modified":
-        return bucketed_rank(files, [], F.date_trunc("hour", "modificationTime"), ["modificationTime", "name"], "page_no")
-    ends = files.agg(F.min("name"), F.max("name")).first()
-    shared = len(os.path.commonprefix([n or "" for n in ends]))
-    return bucketed_rank(files, [], F.substring("name", 1, shared + 2), ["name"], "page_no")
+    files = list_files(spark, path, patterns).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return numbered(files, ["modificationTime", "name"] if sort_by == "modified" else ["name"], "page_no")
 
 
 def batch_files(spark: SparkSession, path: str, patterns=dims.BATCH_PATTERNS) -> DataFrame:

@@ -226,7 +226,7 @@ def walk(times, limit, window):
     return out
 
 
-@pytest.mark.parametrize("chunk", [None, 7, 25, 3])
+@pytest.mark.parametrize("chunk", [None, 3, 40])
 def test_rate_limit(spark, chunk):
     rng = random.Random(5)
     rows, want = [], {}
@@ -240,7 +240,7 @@ def test_rate_limit(spark, chunk):
             rows.append((ident, key, at(t)))
             want[ident] = (verdict[0], verdict[1], at(verdict[2]))
     df = spark.createDataFrame(rows, "request_id long, key string, ts timestamp").repartition(6)
-    got = access.rate_limit(df, 3, 10, chunk_seconds=chunk)
+    got = access.rate_limit(df, 3, 10, ranges=chunk)
     assert {r["request_id"]: (r["allowed"], r["remaining"], r["reset_at"]) for r in got.collect()} == want
 
 
@@ -250,7 +250,7 @@ def test_rate_limit_survives_small_arrow_batches(spark):
     want = walk([3 * i for i in range(500)], 2, 60)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
     try:
-        for how in ({}, {"chunk_seconds": 100}):
+        for how in ({}, {"ranges": 9}):
             got = access.rate_limit(df, 2, 60, **how).orderBy("request_id").collect()
             assert [(r["allowed"], r["remaining"]) for r in got] == [w[:2] for w in want]
     finally:
@@ -262,21 +262,41 @@ def test_chunk_steps_cover_every_inherited_window():
     for _ in range(200):
         window, begin = int(rng.integers(1, 30)), 100
         times = np.sort(rng.integers(begin, begin + 60, size=rng.integers(1, 25)))
-        bounds, exits, counts = access.chunk_steps(times, window, begin)
-        for start in range(begin - window, begin):
-            end = start + window
-            i = int(np.searchsorted(bounds, end, side="right"))
+        weights = rng.integers(1, 4, size=len(times))
+        bounds, exits, counts = access.chunk_steps(times, weights, window)
+        for start in range(begin - window - 5, int(times[0]) + 1):
+            i = int(np.searchsorted(bounds, start + window, side="right"))
             open_at, n = start, 0
-            for t in times.tolist():
+            for t, w in zip(times.tolist(), weights.tolist()):
                 if t > open_at + window:
                     open_at, n = t, 0
-                n += 1
+                n += w
             if i < len(bounds):
                 assert (exits[i], counts[i]) == (open_at, n)
             else:
                 assert open_at == start
 
 
+def test_window_places_equal_a_walk():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        window, sizes = int(rng.integers(1, 40)), rng.integers(1, 30, size=rng.integers(1, 6))
+        runs = [np.sort(rng.integers(0, 120, size=n)) for n in sizes]
+        weights = rng.integers(1, 3, size=sizes.sum())
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        inherited = {k: (int(runs[k][0] - rng.integers(0, 60)), int(rng.integers(1, 9))) for k in range(len(runs)) if rng.random() < 0.5}
+        begin, place = access.window_places(np.concatenate(runs), weights, starts, inherited, window)
+        at_row = 0
+        for k, times in enumerate(runs):
+            opened, n = inherited.get(k, (None, 0))
+            for t in times.tolist():
+                if opened is None or t > opened + window:
+                    opened, n = t, 0
+                n += int(weights[at_row])
+                assert (begin[at_row], place[at_row]) == (opened, n)
+                at_row += 1
+
+
 # --- webhooks -----------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from docflow import dims
 from docflow.operators import batch, chat, pages
 from docflow.sources import files, logs, results, sinks
 from docflow.streaming import jobs
+from docflow.streaming.live_table import LiveTable
 
 T0 = datetime(2024, 1, 1)
 
@@ -259,9 +260,9 @@ def test_audit_stream_keeps_going_when_a_callback_fails(spark, tmp_path):
     run()
     spark.createDataFrame([(at(100000), "auth.logout", True)], schema).write.mode("append").parquet(src)
     run()
-    stored = spark.read.parquet(str(tmp_path / "out"))
+    stored = jobs.live_audit(spark, str(tmp_path / "out"))
     assert seen == [5, 1] and stored.count() == 6 and stored.select("entry_id").distinct().count() == 6
-    assert [r["error"] for r in spark.read.parquet(str(tmp_path / "out-errors")).collect()] == ["RuntimeError: observer"] * 2
+    assert [r["error"] for r in LiveTable(spark, str(tmp_path / "out-errors")).read().collect()] == ["RuntimeError: observer"] * 2
     assert stored.where("not success").count() == 1 and stored.select("day").distinct().count() == 2
 
 
@@ -293,25 +294,80 @@ def test_streams_equal_batch_jobs(spark, tmp_path):
         f"k{i}": (10, 100.0) for i in range(3)}
 
 
-def test_streams_keep_late_rows(spark, tmp_path):
-    """Unsorted micro-batches give every request a verdict and every row its share of the sums."""
+def test_streams_keep_late_rows(spark, tmp_path, monkeypatch):
+    """Unsorted micro-batches, compacted on the way, give every request its verdict and every row its share of the sums."""
     import random
 
     from docflow.operators import access
 
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 4)
     src, pick = str(tmp_path / "in"), random.Random(3)
-    rows = [(f"k{pick.randrange(5)}", i, at(pick.randrange(200_000))) for i in range(10_000)]
-    for k in range(4):
-        spark.createDataFrame(rows[k::4], "key string, request_id long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+    # Half of all requests belong to one key; two keys come in order, the others anyhow.
+    rows = [(None if i % 17 == 0 else f"k{pick.randrange(5) * (i % 2)}", i, at(pick.randrange(400_000))) for i in range(6_000)]
+    rows += [(f"in order {i % 2}", 10_000 + i, at(i * 100 + pick.randrange(90))) for i in range(1_300)]
+    rows[6_000:] = sorted(rows[6_000:], key=lambda r: r[2])
+    parts = [rows[k:6_000:13] + rows[6_000 + 100 * k : 6_100 + 100 * k] for k in range(13)]
+    for part in parts:
+        spark.createDataFrame(part, "key string, request_id long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("key string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
-    jobs.rate_limit_stream(stream, str(tmp_path / "r"), str(tmp_path / "rc"), 3, 600, available_now=True).awaitTermination()
+    path = str(tmp_path / "r")
+    jobs.rate_limit_stream(stream, path, str(tmp_path / "rc"), 3, 600, available_now=True).awaitTermination()
     cols = ["request_id", "allowed", "remaining", "reset_at"]
     want = access.rate_limit(spark.read.parquet(src), 3, 600).select(cols).collect()
-    got = jobs.live_limits(spark, str(tmp_path / "r")).select(cols).collect()
-    assert len(got) == 10_000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    got = jobs.live_limits(spark, path).select(cols).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    # A batch that is replayed after a failure changes nothing.
+    jobs.judge_batch(spark.read.schema("key string, request_id long, ts timestamp").parquet(*_files_of(tmp_path / "rc", 12)), 12, path, 3, 600)
+    assert sorted(map(tuple, jobs.live_limits(spark, path).select(cols).collect())) == sorted(map(tuple, want))
+    jobs.compact(jobs.verdict_table(spark, path), jobs.window_table(spark, path))
+    assert jobs.window_table(spark, path).version() == 11
+    assert sorted(map(tuple, jobs.live_limits(spark, path).select(cols).collect())) == sorted(map(tuple, want))
     usage = stream.select(F.col("key").alias("tenant_id"), "ts", *[F.lit(k).alias(c) for k, c in enumerate(jobs.USAGE, 1)])
     jobs.daily_usage_stream(usage, str(tmp_path / "u"), str(tmp_path / "uc"), available_now=True).awaitTermination()
     total = jobs.live_usage(spark, str(tmp_path / "u")).agg(F.sum("request_count"), F.sum("tokens_used")).first()
-    assert tuple(total) == (10_000, 40_000)
-    jobs.compact_usage(spark, str(tmp_path / "u"), str(tmp_path / "u2"))
-    assert sorted(map(tuple, jobs.live_usage(spark, str(tmp_path / "u2")).collect())) == sorted(map(tuple, jobs.live_usage(spark, str(tmp_path / "u")).collect()))
+    assert tuple(total) == (len(rows), 4 * len(rows)) and jobs.usage_table(spark, str(tmp_path / "u")).version() == 10
+
+
+def _files_of(checkpoint, batch_id):
+    """The files of a micro-batch, from the stream's own log of its source."""
+    import json
+
+    lines = (checkpoint / "sources" / "0" / str(batch_id)).read_text().splitlines()[1:]
+    return [json.loads(x)["path"] for x in lines]
+
+
+def test_live_table_is_compacted_under_a_stream(spark, tmp_path):
+    """Store, compact, store, read; a reader that has planned before keeps its rows; the number of folders is bounded."""
+    path = str(tmp_path / "t")
+    table = jobs.usage_table(spark, path)
+    batch = lambda n: spark.createDataFrame([(f"t{n % 3}", at(n * 20_000))] * 5, "tenant_id string, ts timestamp").select(
+        "tenant_id", "ts", *[F.lit(k).alias(c) for k, c in enumerate(jobs.USAGE, 1)])
+    assert table.read() is None and table.compact() == -1
+    for n in range(23):
+        table.store(jobs.daily_usage(batch(n)), n)
+        if n == 1:
+            early = table.read()
+        if n == 2:
+            assert table.compact() == 1  # the newest batch may still be replayed
+            table.store(jobs.daily_usage(batch(2)), 2)
+            assert early.agg(F.sum("request_count")).first()[0] == 10
+        if n % 5 == 4:
+            assert table.compact() == n - 1
+        folders = [len(list((tmp_path / "t" / f).glob("*=*"))) for f in ("batches", "snapshots", "versions") if (tmp_path / "t" / f).exists()]
+        assert sum(folders) <= 15
+    want = jobs.daily_usage(spark.createDataFrame([r for n in range(23) for r in batch(n).collect()])).collect()
+    assert sorted(map(str, jobs.live_usage(spark, path).select("tenant_id", "day", *jobs.USAGE).collect())) == sorted(map(str, want))
+    with pytest.raises(ValueError):
+        table.rows(before=3)
+
+
+def test_audit_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 3)
+    src = str(tmp_path / "in")
+    for n in range(8):
+        spark.createDataFrame([(at(n * 9000 + i), "auth.login", None) for i in range(4)], "ts timestamp, action string, success boolean").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("ts timestamp, action string, success boolean").option("maxFilesPerTrigger", 1).parquet(src)
+    jobs.ingest_audit(stream, str(tmp_path / "out"), str(tmp_path / "check"), True).awaitTermination()
+    stored = jobs.live_audit(spark, str(tmp_path / "out"))
+    assert stored.count() == 32 and stored.select("entry_id").distinct().count() == 32
+    assert len(list((tmp_path / "out" / "batches").glob("batch_id=*"))) < 8
