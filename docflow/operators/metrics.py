@@ -7,9 +7,10 @@ order observations of the same time.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucketed_running_sum, top_per_key
+from ..functions.ranking import in_ranges, top_per_key
 
 # Reported percentiles.
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -46,34 +47,64 @@ def last_1000(obs: DataFrame, n: int) -> DataFrame:
     return top_per_key(rows, ["key"], [F.col("ts").desc(), F.col("obs_id").desc()], n)
 
 
+def _counted(obs: DataFrame, kinds) -> DataFrame:
+    """Observations counted per kind, key and, in a histogram, value; written in ranges of these, so that a
+    histogram of very many values lies in many of them."""
+    keyed = add_metric_key(obs.where(F.col("kind").isin(*kinds))).select("kind", "key", "value")
+    value = F.when(F.col("kind") == "histogram", F.col("value"))
+    counted = keyed.groupBy("kind", "key", value.alias("_value")).agg(F.count("value").alias("n"), F.sum("value").alias("_sum"))
+    return in_ranges(counted, ["kind", "key", "_value"], "metrics")
+
+
+def _statistics(counted: DataFrame, kind) -> DataFrame:
+    """Totals and percentiles of the histograms in :func:`_counted`.
+
+    Values lie in ranges, so a range's counts tell which ranges hold the wanted places; only these are looked into.
+    """
+    rows = counted.where(F.col("kind") == "histogram")
+    parts = rows.groupBy("key", "_range").agg(
+        F.sum("n").alias("n"), F.sum("_sum").alias("s"), F.min("_value").alias("lo"), F.max("_value").alias("hi"))
+    of_key = W.partitionBy("key")
+    parts = parts.select(
+        "key", "_range", "n", F.sum("n").over(of_key).alias("count"), F.sum("s").over(of_key).cast(kind).alias("sum"),
+        F.min("lo").over(of_key).alias("min"), F.max("hi").over(of_key).alias("max"),
+        F.coalesce(F.sum("n").over(of_key.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = lambda p: F.floor(F.col("count") * F.lit(float(p))) - F.col("before")
+    here = lambda p: (place(p) >= 0) & (place(p) < F.col("n"))
+    totals = parts.groupBy("key").agg(*[F.max(c).alias(c) for c in ("count", "sum", "min", "max")])
+    wanted = parts.select(F.col("key").alias("_key"), F.col("_range").alias("_of"), *[F.when(here(p), place(p)).alias(f"_{n}") for n, p in PERCENTILES.items()])
+    wanted = wanted.where(F.coalesce(*[f"_{n}" for n in PERCENTILES]).isNotNull())
+    inside = rows.where("n > 0").join(wanted, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    upto = F.sum("n").over(W.partitionBy("_range", "key").orderBy("_value").rowsBetween(W.unboundedPreceding, 0))
+    found = inside.withColumn("upto", upto)
+    at = lambda n: F.when((F.col(f"_{n}") >= F.col("upto") - F.col("n")) & (F.col(f"_{n}") < F.col("upto")), F.col("_value"))
+    picked = found.groupBy(F.col("key").alias("_key")).agg(*[F.max(at(n)).alias(n) for n in PERCENTILES])
+    return totals.join(picked, F.col("key").eqNullSafe(F.col("_key")), "left").select(
+        "key", "count", "sum", (F.col("sum") / F.col("count")).alias("avg"), "min", "max", *PERCENTILES)
+
+
+def _sum_type(obs: DataFrame):
+    return obs.agg(F.sum("value").alias("s")).schema["s"].dataType
+
+
 def histogram_stats(obs: DataFrame) -> DataFrame:
     """Count, sum, mean, extremes and rank-picked percentiles per key, over all its observations.
 
     The percentile is the value at position int(n * p) of the sorted values, without interpolation.
-    Observations are first counted per key and value; the counts are then added up in buckets that
-    rise with the value, so a key with very many observations is spread over many tasks.
     """
-    rows = _of(obs, "histogram").select("key", "value")
-    counted = rows.groupBy("key", "value").agg(F.count("value").alias("n")).where("value IS NOT NULL")
-    size = F.log1p(F.abs(F.col("value").cast("double")))
-    bucket = F.floor(F.signum(F.col("value").cast("double")) * size * 64)
-    ranked = bucketed_running_sum(counted, "key", bucket, "value", F.col("n"), "upto")
-    totals = rows.groupBy("key").agg(
-        F.count("value").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"))
-    places = totals.select(F.col("key").alias("_key"), *[F.floor(F.col("count") * F.lit(float(p))).alias(f"_{n}") for n, p in PERCENTILES.items()])
-    here = lambda n: (F.col(f"_{n}") >= F.col("upto") - F.col("n")) & (F.col(f"_{n}") < F.col("upto"))
-    picked = ranked.join(places, F.col("key") == F.col("_key")).groupBy(F.col("key").alias("_of")).agg(
-        *[F.max(F.when(here(n), F.col("value"))).alias(n) for n in PERCENTILES])
-    return totals.join(picked, F.col("key").eqNullSafe(F.col("_of")), "left").select(
-        "key", "count", "sum", (F.col("sum") / F.col("count")).alias("avg"), "min", "max", *PERCENTILES)
+    return _statistics(_counted(obs, ("histogram",)), _sum_type(obs))
 
 
 def all_metrics(obs: DataFrame) -> DataFrame:
-    """The three families together; histograms carry their statistics, the others a value."""
-    c = counters(obs).withColumn("family", F.lit("counter"))
+    """The three families together; histograms carry their statistics, the others a value.
+
+    Counters and histograms come from one pass over the observations, gauges from another over theirs.
+    """
+    counted = _counted(obs, ("counter", "histogram"))
+    c = counted.where(F.col("kind") == "counter").select("key", F.col("_sum").cast(_sum_type(obs)).alias("value"), F.lit("counter").alias("family"))
     g = gauges(obs).withColumn("family", F.lit("gauge"))
-    h = histogram_stats(obs).withColumn("family", F.lit("histogram"))
-    return c.unionByName(g).unionByName(h, allowMissingColumns=True)
+    h = _statistics(counted, _sum_type(obs)).withColumn("family", F.lit("histogram"))
+    return c.unionByName(g, allowMissingColumns=True).unionByName(h, allowMissingColumns=True)
 
 
 def default_metrics(values: DataFrame, defaults: DataFrame) -> DataFrame:

@@ -117,8 +117,8 @@ def _labelled(col: Column) -> Column:
     )
 
 
-def box_items(df: DataFrame, text="text", out="items") -> DataFrame:
-    """Adds the list of labelled boxes (JSON texts) of a response.
+def box_array(text) -> Column:
+    """The list of labelled boxes (JSON texts) of a response.
 
     A JSON object counts only when it is a box itself; JSON of another kind gives nothing; then
     a JSON array is taken as it is; last, ``label: [a, b, c, d]`` in the text.
@@ -132,7 +132,12 @@ def box_items(df: DataFrame, text="text", out="items") -> DataFrame:
     from_array = lambda arr: F.when(J.json_truthy(arr), J.list_items(arr)).otherwise(_labelled(col))
     pick = lambda obj: F.when(J.json_truthy(obj), from_object(obj)).otherwise(
         let(J.find_json_array(col), from_array))
-    return df.withColumn(out, let(J.find_json(col), pick))
+    return let(J.find_json(col), pick)
+
+
+def box_items(df: DataFrame, text="text", out="items") -> DataFrame:
+    """Adds the list of labelled boxes of a response."""
+    return df.withColumn(out, box_array(text))
 
 
 ITEM = (

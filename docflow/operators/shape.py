@@ -21,10 +21,14 @@ def _rest(df: DataFrame, *drop) -> list[str]:
     return [c for c in df.columns if c not in drop]
 
 
+def read_object(text, schema: str) -> Column:
+    """The JSON object in a response, read with a schema (null if none)."""
+    return let(J.find_json(text), lambda obj: F.from_json(F.when(J.is_object(obj), obj), schema))
+
+
 def _read(df: DataFrame, text: str, schema: str) -> DataFrame:
-    """Keys of the response plus ``_r``, its JSON object read with a schema (null if none)."""
-    read = let(J.find_json(text), lambda obj: F.from_json(F.when(J.is_object(obj), obj), schema))
-    return df.select(*_rest(df, text), read.alias("_r"))
+    """Keys of the response plus ``_r``, its JSON object."""
+    return df.select(*_rest(df, text), read_object(text, schema).alias("_r"))
 
 
 def _none(item: str) -> Column:
@@ -186,30 +190,35 @@ def table_frame(df: DataFrame, columns, index=0, text="text") -> DataFrame:
 # --- fields and entities ------------------------------------------------------
 
 
-def fields_long(df: DataFrame, text="text") -> DataFrame:
-    """One row per extracted field: value (as text), confidence, box, and the field count."""
-    keys = _rest(df, text)
+def field_map(text) -> Column:
+    """Extracted fields by name, as variants."""
 
     def inner(top):
         named = F.get(F.map_values(F.map_filter(top, lambda k, _: k == "fields")), F.lit(0))
         nested = let(named, lambda v: F.when(J.kind(v).startswith("OBJECT"), v.cast("map<string,variant>")))
         return F.when(F.map_contains_key(top, F.lit("fields")), nested).otherwise(top)
 
-    fields = let(let(J.find_json(text), J.object_items), inner)
-
-    def field(e):
-        v = e["value"]
-        boxed = J.kind(v).startswith("OBJECT")
-        shown = lambda x: F.when(~J.is_missing(x), J.show_value(x))
-        own = F.when(boxed, F.try_variant_get(v, "$.value", "variant")).otherwise(v)
-        return F.struct(
-            e["key"].alias("field"), let(own, shown).alias("value"),
-            F.when(boxed, F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
-            F.when(boxed, F.try_variant_get(v, "$.bbox", "string")).alias("bbox"),
-        )
-
-    read = df.select(*keys, fields.alias("_f")).select(
-        *keys, F.size("_f").alias("field_count"), F.transform(F.map_entries("_f"), field).alias("_f"))
+    return let(let(J.find_json(text), J.object_items), inner)
+
+
+def field_entry(e) -> Column:
+    """Name, value (as text), confidence and box (as text) of an entry of :func:`field_map`."""
+    v = e["value"]
+    boxed = J.kind(v).startswith("OBJECT")
+    shown = lambda x: F.when(~J.is_missing(x), J.show_value(x))
+    own = F.when(boxed, F.try_variant_get(v, "$.value", "variant")).otherwise(v)
+    return F.struct(
+        e["key"].alias("field"), let(own, shown).alias("value"),
+        F.when(boxed, F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
+        F.when(boxed, F.try_variant_get(v, "$.bbox", "string")).alias("bbox"),
+    )
+
+
+def fields_long(df: DataFrame, text="text") -> DataFrame:
+    """One row per extracted field: value (as text), confidence, box, and the field count."""
+    keys = _rest(df, text)
+    read = df.select(*keys, field_map(text).alias("_f")).select(
+        *keys, F.size("_f").alias("field_count"), F.transform(F.map_entries("_f"), field_entry).alias("_f"))
     rows = unfold(read, [*keys, "field_count"], "_f", "_n", "_x")
     box = F.from_json("_x.bbox", "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE").cast(BOX)
     return rows.select(*keys, "_x.field", "_x.value", "_x.confidence", box.alias("bbox"), "field_count")
@@ -233,14 +242,16 @@ def compact_specs(specs: DataFrame) -> DataFrame:
 ENTITY = "STRUCT<text STRING, type STRING, confidence DOUBLE, bbox STRING>"
 
 
+ENTITIES = f"STRUCT<entities ARRAY<{ENTITY}>>"
+
+
+def entity_items(r) -> Column:
+    """The entities of a parsed response; one without a type is ``UNKNOWN``."""
+    return F.transform(_or_empty(r["entities"], ENTITY), lambda e: e.withField("type", F.coalesce(e["type"], F.lit("UNKNOWN"))))
+
+
 def _entities(df: DataFrame, text: str) -> DataFrame:
-    typed = F.transform(
-        _or_empty(F.col("_r.entities"), ENTITY),
-        lambda e: e.withField("type", F.coalesce(e["type"], F.lit("UNKNOWN"))),
-    )
-    return _read(df, text, f"STRUCT<entities ARRAY<{ENTITY}>>").select(
-        *_rest(df, text), typed.alias("_entities")
-    )
+    return _read(df, text, ENTITIES).select(*_rest(df, text), entity_items(F.col("_r")).alias("_entities"))
 
 
 def entities_long(df: DataFrame, text="text") -> DataFrame:
@@ -288,13 +299,8 @@ FORM = (
 )
 
 
-def form_elements(df: DataFrame, text="text") -> DataFrame:
-    """Fields, checkboxes and signatures of a form in one table.
-
-    ``label`` and ``colour`` are what a drawing would show; both are null without a box.
-    """
-    keys = _rest(df, text)
-    r = F.col("_r")
+def form_items(r) -> Column:
+    """Fields, checkboxes and signatures of a parsed form as one list of (pos, e)."""
 
     def element(kind, name, value, checked, label, colour):
         def build(e):
@@ -320,17 +326,27 @@ def form_elements(df: DataFrame, text="text") -> DataFrame:
         ("signatures", element("signature", lambda e: e["name"], lambda e: e["type"], null,
                                lambda e: F.lit("Signature"), dims.SIGNATURE_COLOUR)),
     )
-    read = _read(df, text, FORM)
-    size = lambda name: F.coalesce(F.size(r[name]), F.lit(0))
     typed = [F.transform(r[name], build) for name, build in parts]
     numbered = [F.transform(t, lambda e, i: F.struct(i.alias("pos"), e.alias("e"))) for t in typed]
     item = (
         "struct<pos:int,e:struct<element:string,name:string,value:string,checked:boolean,"
         "label:string,colour:string,bbox:string>>"
     )
+    return F.concat(*[_or_empty(n, item) for n in numbered])
+
+
+def form_elements(df: DataFrame, text="text") -> DataFrame:
+    """Fields, checkboxes and signatures of a form in one table.
+
+    ``label`` and ``colour`` are what a drawing would show; both are null without a box.
+    """
+    keys = _rest(df, text)
+    r = F.col("_r")
+    read = _read(df, text, FORM)
+    size = lambda name: F.coalesce(F.size(r[name]), F.lit(0))
     counts = [size(n).alias(c) for n, c in (
         ("fields", "field_count"), ("checkboxes", "checkbox_count"), ("signatures", "signature_count"))]
-    rows = unfold(read, [*keys, *counts], F.concat(*[_or_empty(n, item) for n in numbered]), "_n", "_x")
+    rows = unfold(read, [*keys, *counts], form_items(r), "_n", "_x")
     return rows.select(*keys, "_x.e.element", F.col("_x.pos").alias("pos"), "_x.e.name", "_x.e.value",
                        "_x.e.checked", "_x.e.label", "_x.e.colour", "_x.e.bbox",
                        "field_count", "checkbox_count", "signature_count")
@@ -352,7 +368,7 @@ def _strings(names):
 
 
 INVOICE = (
-    f"STRUCT<header {_strings(HEADER_FIELDS)}, line_items ARRAY<{_strings(ITEM_FIELDS)}>, "
+    f"STRUCT<header {_strings(HEADER_FIELDS)}, line_items ARRAY<STRING>, "
     f"summary {_strings(SUMMARY_FIELDS)}, payment {_strings(PAYMENT_FIELDS)}>"
 )
 
@@ -376,12 +392,25 @@ def invoice_payment(df: DataFrame, text="text") -> DataFrame:
     return _invoice_part(df, text, "payment", PAYMENT_FIELDS)
 
 
+def invoice_lines(r) -> Column:
+    """The lines of a parsed invoice, each with whether it names a quantity."""
+    named = lambda t: F.coalesce(F.array_contains(F.json_object_keys(t), "quantity"), F.lit(False))
+    return F.transform(r["line_items"], lambda t: F.struct(F.from_json(t, _strings(ITEM_FIELDS)).alias("line"), named(t).alias("has_quantity")))
+
+
+def read_invoice(df: DataFrame, text="text") -> DataFrame:
+    """Keys of the response, its ``summary`` and ``lines``: the line objects with ``has_quantity``, in order.
+
+    A line without a quantity and one whose quantity is null are told apart by the names in the line.
+    """
+    return _read(df, text, INVOICE).select(*_rest(df, text), F.col("_r.summary").alias("summary"), invoice_lines(F.col("_r")).alias("lines"))
+
+
 def invoice_line_items(df: DataFrame, text="text") -> DataFrame:
     """One row per line, numbered from 1; amounts stay text so currency marks survive."""
-    rows = unfold(_read(df, text, INVOICE), _rest(df, text), "_r.line_items", "_p", "_l")
+    rows = unfold(read_invoice(df, text), _rest(df, text), "lines", "_p", "_l")
     return rows.select(
-        *_rest(df, text), (F.col("_p") + 1).alias("line_no"), *[F.col("_l")[n].alias(n) for n in ITEM_FIELDS]
-    )
+        *_rest(df, text), (F.col("_p") + 1).alias("line_no"), *[F.col("_l.line")[n].alias(n) for n in ITEM_FIELDS], "_l.has_quantity")
 
 
 # --- contracts --------------------------------------------------------------
@@ -393,13 +422,8 @@ CONTRACT = (
 PART_NAME = {"parties": "name", "clauses": "title", "obligations": "party"}
 
 
-def contract_parts(df: DataFrame, text="text") -> DataFrame:
-    """Parties, dates, clauses, obligations and key terms: ``part``, ``pos``, ``name``, ``value``.
-
-    For list parts the value is the element's JSON, for dates and terms the plain value.
-    """
-    keys = _rest(df, text)
-    r = F.col("_r")
+def contract_items(r) -> Column:
+    """All parts of a parsed contract as one list of (part, pos, name, value)."""
 
     def listed(part):
         build = lambda e, i: F.struct(
@@ -414,11 +438,20 @@ def contract_parts(df: DataFrame, text="text") -> DataFrame:
 
     item = "struct<part:string,pos:int,name:string,value:string>"
     parts = [listed("parties"), mapped("dates"), listed("clauses"), listed("obligations"), mapped("key_terms")]
+    return F.concat(*[_or_empty(p, item) for p in parts])
+
+
+def contract_parts(df: DataFrame, text="text") -> DataFrame:
+    """Parties, dates, clauses, obligations and key terms: ``part``, ``pos``, ``name``, ``value``.
+
+    For list parts the value is the element's JSON, for dates and terms the plain value.
+    """
+    keys = _rest(df, text)
+    r = F.col("_r")
     size = lambda n: F.coalesce(F.size(r[n]), F.lit(0))
     counts = [size(n).alias(c) for n, c in (
         ("parties", "party_count"), ("clauses", "clause_count"), ("obligations", "obligation_count"))]
-    every = F.concat(*[_or_empty(p, item) for p in parts])
-    rows = unfold(_read(df, text, CONTRACT), [*keys, *counts], every, "_n", "_x")
+    rows = unfold(_read(df, text, CONTRACT), [*keys, *counts], contract_items(r), "_n", "_x")
     return rows.select(*keys, "_x.part", "_x.pos", "_x.name", "_x.value",
                        "party_count", "clause_count", "obligation_count")
 

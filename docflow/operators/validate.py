@@ -11,6 +11,7 @@ from ..functions import formats
 from ..functions import json_text as J
 from ..functions.shared import let, unfold
 from ..functions.text import squeeze
+from . import shape
 
 
 # --- one field ----------------------------------------------------------------
@@ -87,9 +88,12 @@ def _money(c) -> Column:
 
 
 def _line_values(lines: DataFrame, default_quantity) -> DataFrame:
+    """Numbers of the lines; a line without a quantity has the default one, a null quantity is 0."""
+    quantity = formats.number_column(lines, "quantity") if "quantity" in lines.columns else F.lit(float(default_quantity))
+    if "has_quantity" in lines.columns:
+        quantity = F.when(F.coalesce("has_quantity", F.lit(True)), quantity).otherwise(F.lit(default_quantity).cast(lines.select(quantity).schema[0].dataType))
     return lines.withColumn("_amount", formats.number_column(lines, "amount")).withColumn(
-        "_qty", formats.number_column(lines, "quantity", default_quantity)
-    ).withColumn("_price", formats.number_column(lines, "unit_price"))
+        "_qty", quantity).withColumn("_price", formats.number_column(lines, "unit_price"))
 
 
 def _gap(a: Column, b: Column) -> Column:
@@ -149,9 +153,44 @@ def line_errors(lines: DataFrame, tolerance=0.01) -> DataFrame:
     """The lines of :func:`check_totals` whose quantity and price do not give the amount."""
     bad = _totals_line(lines, F.lit(tolerance)).where("_wrong")
     number = F.col("line_no").cast("string") if "line_no" in lines.columns else F.lit("?")
-    message = F.concat(F.lit("Line "), number, F.lit(": quantity * unit_price ("), _money(F.col("expected")),
-                       F.lit(") != amount ("), _money(F.col("reported")), F.lit(")"))
-    return bad.withColumn("error", message).drop("_wrong", "_counted")
+    return bad.withColumn("error", _line_message(number, F.col("expected"), F.col("reported"))).drop("_wrong", "_counted")
+
+
+def _line_message(number, expected, amount) -> Column:
+    return F.concat(F.lit("Line "), number, F.lit(": quantity * unit_price ("), _money(expected), F.lit(") != amount ("), _money(amount), F.lit(")"))
+
+
+def audit_invoices(df: DataFrame, text="text", tolerance=0.01) -> DataFrame:
+    """:func:`check_totals` of raw responses, each response by itself, with its error texts in order.
+
+    Lines and summary come from one parsed object, and the lines are folded in place: nothing is shuffled.
+    """
+    tol, keys = F.lit(tolerance), [c for c in df.columns if c != text]
+    number = lambda c: formats.to_number(c)
+    value = lambda x, i: F.struct(
+        (i + 1).cast("string").alias("no"), number(x["line"]["amount"]).alias("amount"), number(x["line"]["unit_price"]).alias("price"),
+        F.when(x["has_quantity"], number(x["line"]["quantity"])).otherwise(F.lit(1.0)).alias("qty"))
+    priced = lambda v: (v["qty"] > 0) & (v["price"] > 0)
+    wrong = lambda v: priced(v) & (v["amount"] > 0) & (_gap(v["qty"] * v["price"], v["amount"]) > tol)
+    counted = lambda v: F.when(v["amount"] > 0, v["amount"]).when(priced(v), v["qty"] * v["price"]).otherwise(F.lit(0.0))
+    folded = lambda all_: F.struct(
+        F.size(all_).cast("bigint").alias("n_lines"), F.aggregate(all_, F.lit(0.0), lambda a, v: a + counted(v)).alias("calculated_subtotal"),
+        F.transform(F.filter(all_, wrong), lambda v: _line_message(v["no"], v["qty"] * v["price"], v["amount"])).alias("texts"))
+    lines = F.coalesce(F.transform("lines", value), F.array().cast("array<struct<no:string,amount:double,price:double,qty:double>>"))
+    said = F.struct(*[formats.to_number(F.col("summary")[n]).alias(n) for n in ("subtotal", "tax", "discount", "total")])
+    read = shape.read_invoice(df, text).select(*keys, let(lines, folded).alias("f"), said.alias("s"))
+    calc, sub = F.col("f.calculated_subtotal"), F.col("s.subtotal")
+    base = F.when(sub > 0, sub).otherwise(calc)
+    expected = base + F.col("s.tax") - F.col("s.discount")
+    subtotal_error = (calc > 0) & (sub > 0) & (_gap(calc, sub) > tol)
+    total_error = (F.col("s.total") > 0) & (_gap(expected, F.col("s.total")) > tol)
+    subtotal_text = F.concat(F.lit("Subtotal mismatch: calculated "), _money(calc), F.lit(", reported "), _money(sub))
+    total_text = F.concat(F.lit("Total mismatch: subtotal ("), _money(base), F.lit(") + tax ("), _money(F.col("s.tax")), F.lit(") - discount ("),
+                          _money(F.col("s.discount")), F.lit(") = "), _money(expected), F.lit(", but total is "), _money(F.col("s.total")))
+    errors = F.concat("f.texts", F.array_compact(F.array(F.when(subtotal_error, subtotal_text), F.when(total_error, total_text))))
+    return read.select(
+        *keys, "f.n_lines", F.size("f.texts").cast("bigint").alias("n_line_errors"), calc.alias("calculated_subtotal"), expected.alias("expected_total"),
+        subtotal_error.alias("subtotal_error"), total_error.alias("total_error"), (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"))
 
 
 def check_invoice(lines: DataFrame, summary: DataFrame, keys=("doc_id",)) -> DataFrame:

@@ -16,13 +16,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table read by fewer tasks than there are cores, dealt out to all of them.
-
-    Row-by-row text work on one small file would otherwise run on one core. Tables with enough
-    splits, which is every large one, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table dealt out to as many tasks as shuffles have: costly row-by-row work that follows is shared evenly,
+    whatever files the table came in."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def text(c) -> F.Column:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import html, parse, prompts, route, shape
+from ..operators import html, parse, prompts, route, shape, validate
 from . import inputs as I
-from .catalog import query
+from .catalog import ORACLE, query
 
 def K():
     """The order key all derived values follow from."""
@@ -113,17 +113,20 @@ WITH lines AS (
          o_orderkey % 100 + CAST(0.25 AS DOUBLE) AS price, CAST(1000 + o_orderkey % 1000 AS DOUBLE) AS tax, {READABLE} AS ok FROM orders),
 sums AS (
   SELECT *, price * n * (n + 1) / 2 AS subtotal, CASE WHEN ok THEN price ELSE 0 END AS reported,
-         CASE WHEN ok THEN tax ELSE 0 END AS t, CASE WHEN ok THEN CAST(doc_id AS DOUBLE) ELSE 0 END AS total FROM lines)
-SELECT doc_id, CAST(n AS BIGINT) AS n_lines, subtotal AS calculated_subtotal, reported + t AS expected_total,
-       subtotal > 0 AND reported > 0 AND abs(subtotal - reported) > 0.01 AS subtotal_error,
-       total > 0 AND abs(reported + t - total) > 0.01 AS total_error FROM sums""")
+         CASE WHEN ok THEN tax ELSE 0 END AS t, CASE WHEN ok THEN CAST(doc_id AS DOUBLE) ELSE 0 END AS total FROM lines),
+flags AS (
+  SELECT *, subtotal > 0 AND reported > 0 AND abs(subtotal - reported) > 0.01 AS subtotal_error,
+         total > 0 AND abs(reported + t - total) > 0.01 AS total_error FROM sums)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS n_line_errors, subtotal AS calculated_subtotal, reported + t AS expected_total,
+       subtotal_error, total_error, NOT subtotal_error AND NOT total_error AS is_valid,
+       list_filter([CASE WHEN subtotal_error THEN format('Subtotal mismatch: calculated {{:.2f}}, reported {{:.2f}}', subtotal, reported) END,
+                    CASE WHEN total_error THEN format('Total mismatch: subtotal ({{:.2f}}) + tax ({{:.2f}}) - discount (0.00) = {{:.2f}}, but total is {{:.2f}}',
+                                                      CASE WHEN reported > 0 THEN reported ELSE subtotal END, t, reported + t, total) END],
+                   lambda x: x IS NOT NULL) AS errors
+FROM flags""")
 def audit_responses(spark, sf):
-    """The way from raw text to verdict: parse, split, check the totals."""
-    from ..operators import validate
-
-    raw = invoices(spark, sf).select("doc_id", "text")
-    checked = validate.check_totals(shape.invoice_line_items(raw), shape.invoice_summary(raw))
-    return checked.select("doc_id", "n_lines", "calculated_subtotal", "expected_total", "subtotal_error", "total_error")
+    """The way from raw text to verdict, every response in place."""
+    return validate.audit_invoices(invoices(spark, sf).select("doc_id", "text"))
 
 
 # --- boxes ------------------------------------------------------------------------
@@ -704,10 +707,29 @@ def build_prompts(spark, sf):
         F.get(message(1)["content"], F.lit(0))["image"].alias("image"))
 
 
-@query("route_by_task", f"""
-SELECT 'ocr' AS task_type, count(*) AS n {_OCR}
-UNION ALL SELECT 'ner', count(*) FROM {items_sql('o_orderkey % 5 + 1')} WHERE {READABLE}
-UNION ALL SELECT 'invoice', count(*) FROM {items_sql('o_orderkey % 4 + 1')} WHERE {READABLE} AND o_orderkey % 5 <> 0""")
+_ROUTED = ("line_no", "entity_no", "text", "type", "quantity", "amount", "y2", "box_count")
+
+
+def _routed_sql(task, given):
+    """The rows of one task's own SQL, with null for what it does not have."""
+    have = {**{n: n for n in _ROUTED}, **given}
+    kinds = dict(zip(_ROUTED, ("INTEGER", "INTEGER", "VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR", "BIGINT", "INTEGER")))
+    cols = ", ".join(f"CAST({have[n] or 'NULL'} AS {kinds[n]}) AS {n}" for n in _ROUTED)
+    return f"SELECT doc_id, '{task}' AS task_type, {cols} FROM ({ORACLE[given['from']]})"
+
+
+_ROUTE_SQL = " UNION ALL ".join((
+    _routed_sql("ocr", {"from": "ocr_lines", "y2": "(line_no + 1) * 20", "entity_no": None, "type": None, "quantity": None, "amount": None}),
+    _routed_sql("ner", {"from": "entities_long", "line_no": None, "quantity": None, "amount": None, "box_count": None}),
+    _routed_sql("invoice", {"from": "invoice_line_items", "entity_no": None, "text": None, "type": None, "y2": None, "box_count": None})))
+
+
+@query("route_by_task", _ROUTE_SQL)
 def route_by_task(spark, sf):
-    mixed = ocr(spark, sf).unionByName(entity_responses(spark, sf)).unionByName(invoices(spark, sf))
-    return route.route_by_task(mixed, ["ocr", "ner", "invoice"]).groupBy("task_type").agg(F.count("*").alias("n"))
+    """Three kinds of responses in one table, read in one pass."""
+    o = I.spread(I.table(spark, sf, "orders"))
+    kinds = {"ocr": ocr_body(), "ner": entities_body(), "invoice": invoice_body()}
+    bodies = F.array(*[F.struct(F.lit(t).alias("task_type"), b.alias("_b")) for t, b in kinds.items()])
+    mixed = o.select("o_orderkey", F.explode(bodies).alias("x")).select("o_orderkey", "x.*").select(
+        F.col("o_orderkey").alias("doc_id"), "task_type", I.fenced(F.col("_b"), F.col("o_orderkey")).alias("text"))
+    return route.route_by_task(mixed, list(kinds)).select("doc_id", "task_type", *[F.col("bbox.y2").alias("y2") if n == "y2" else n for n in _ROUTED])

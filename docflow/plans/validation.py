@@ -56,6 +56,20 @@ def check_invoice(spark, sf):
     return _doubles(V.check_invoice(I.line_items(spark, sf), I.summary(spark, sf)))
 
 
+@query("invoice_messages", f"""
+WITH {LINES},
+sums AS (
+  SELECT doc_id, CAST(amount AS DOUBLE) AS calculated, CAST(amount + off_sub AS DOUBLE) AS reported, n_lines, off_sub, off_total,
+         CAST(amount + off_sub + tax - discount AS DECIMAL(38, 4)) AS expected, CAST(amount + off_sub + tax - discount + off_total AS DECIMAL(38, 4)) AS total
+  FROM reported)
+SELECT doc_id, format('Subtotal mismatch: calculated {{:.2f}}, reported {{:.2f}}', calculated, reported) AS error FROM sums WHERE n_lines > 0 AND off_sub > 0
+UNION ALL
+SELECT doc_id, 'Total mismatch: expected ' || CAST(round(expected, 2)::DECIMAL(38, 2) AS VARCHAR) || ', reported ' || CAST(round(total, 2)::DECIMAL(38, 2) AS VARCHAR)
+FROM sums WHERE off_total > 0""")
+def invoice_messages(spark, sf):
+    return V.invoice_messages(V.check_invoice(I.line_items(spark, sf), I.summary(spark, sf)))
+
+
 @query("check_totals", f"""
 WITH {LINES}
 SELECT doc_id, n_lines, CAST(n_wrong AS BIGINT) AS n_line_errors, CAST(amount AS DOUBLE) AS calculated_subtotal,

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow import dims
 from docflow.operators import prompts, route, shape
@@ -147,6 +148,36 @@ def test_labels(spark):
     assert [r["draw_label"] for r in shape.region_labels(df, kind="type").collect()] == ["DATE: " + "x" * 15, ": " + "y" * 15]
 
 
+JOBS = {
+    "ocr": shape.ocr_lines, "layout": shape.layout_elements, "table": shape.table_cells, "field_extraction": shape.fields_long,
+    "ner": shape.entities_long, "form": shape.form_elements, "invoice": shape.invoice_line_items, "contract": shape.contract_parts}
+
+
+def test_routing_equals_every_job_in_one_scan(spark, tmp_path):
+    box = {"x1": 1, "y1": 2, "x2": 3, "y2": 4}
+    bodies = {
+        "ocr": [{"text": "a", "bbox": [4, 3, 2, 1]}, {"text_content": "b"}], "layout": [{"type": "h", "level": 1, "bbox": box}, {"label": "x"}],
+        "table": TABLES, "field_extraction": {"fields": {"n": {"value": "v", "confidence": 0.5, "bbox": box}, "m": 3, "z": None}},
+        "ner": {"entities": [{"text": "a", "confidence": 1, "bbox": box}, {"type": "DATE"}]},
+        "form": {"fields": [{"key": "k", "value": 1, "bbox": box}], "checkboxes": [{"label": "l", "checked": True, "group": "g", "bbox": box}], "signatures": [{"name": "s"}]},
+        "invoice": {"line_items": [{"quantity": None, "amount": "$1"}, {"amount": 2}], "summary": {}},
+        "contract": {"parties": [{"name": "p"}], "dates": {"d": "2024"}, "obligations": [{"party": "q"}], "key_terms": {"t": 1}}}
+    rows = [(i, t, fence(b)) for i, (t, b) in enumerate(bodies.items())]
+    rows += [(100 + i, t, text) for t in bodies for i, text in enumerate([None, "", "no json", "{}", "[]", fence([1]), '{"a": '])] + [(900, "other", "x"), (901, None, "y")]
+    spark.createDataFrame(rows, "doc_id int, task_type string, text string").write.parquet(str(tmp_path / "r"))
+    df = spark.read.parquet(str(tmp_path / "r"))
+    out = route.route_by_task(df, list(JOBS))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = out.collect()
+    for task, job in JOBS.items():
+        want = job(df.where(F.col("task_type") == task))
+        names = want.columns
+        plain = lambda v, name: json.dumps(v.asDict(), separators=(",", ":")) if hasattr(v, "asDict") and isinstance(out.schema[name].dataType, T.StringType) else v
+        mine = sorted(str([r[n] for n in names]) for r in got if r["task_type"] == task)
+        assert mine == sorted(str([plain(r[n], n) for n in names]) for r in want.collect()), task
+        assert all(r[n] is None for r in got if r["task_type"] == task for n in out.columns if n not in names)
+
+
 def test_routing(spark):
     df = spark.createDataFrame(
         [(1, "ner", fence({"entities": [{"text": "a"}]})), (2, "table", fence(TABLES)), (3, "other", "x")],
@@ -155,9 +186,9 @@ def test_routing(spark):
     assert {r["task_type"]: r["count"] for r in out.groupBy("task_type").count().collect()} == {"ner": 1, "table": 6}
     with pytest.raises(ValueError, match="No handler"):
         route.route_by_task(df, ["other"])
-    route.register("other", lambda part: part.drop("text"))
-    assert route.route_by_task(df, ["other"]).count() == 1
-    del route.JOBS["other"]
+    route.register("other", lambda text: F.array(F.struct(F.upper(text).alias("shout"))))
+    assert [r["shout"] for r in route.route_by_task(df, ["other"]).collect()] == ["X"]
+    del route.TASKS["other"]
 
 
 def test_prompts(spark):

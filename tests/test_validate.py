@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docflow import dims
 from docflow.functions import formats
+from docflow.operators import shape
 from docflow.operators import validate as V
 
 VERDICTS = {
@@ -107,7 +108,7 @@ def test_totals(spark):
         (2, 1, None, None, "10"), (2, 2, None, None, "20"),             # subtotal off
         (3, 1, None, None, "100"),                                      # total off
         (4, 1, "5", "10", "40"),                                        # line off
-        (5, 1, "3", "7", "0"), (5, 2, None, "4", None),                 # no amounts: 21, and quantity defaults to 1
+        (5, 1, "3", "7", "0"), (5, 2, None, "4", None),                 # no amounts: 21, and a null quantity is 0
         (6, 1, None, None, "33.33"), (6, 2, None, None, "33.33"), (6, 3, None, None, "33.34"),
         (8, 1, None, None, "9"),                                        # no summary
     ]
@@ -120,11 +121,33 @@ def test_totals(spark):
     assert flags == {
         1: (0, False, False, True), 2: (0, True, False, False), 3: (0, False, True, False), 4: (1, False, False, False),
         5: (0, False, False, True), 6: (0, False, False, True), 7: (0, False, False, True), 8: (0, False, False, True)}
-    assert got[5]["calculated_subtotal"] == 25.0 and got[5]["expected_total"] == 25.0 and got[7]["expected_total"] == 11.0
+    assert got[5]["calculated_subtotal"] == 21.0 and got[5]["expected_total"] == 21.0 and got[7]["expected_total"] == 11.0
     errors = V.line_errors(spark.createDataFrame(lines, LINES)).collect()
     assert [(r["doc_id"], r["error"]) for r in errors] == [(4, "Line 1: quantity * unit_price (50.00) != amount (40.00)")]
 
 
+def test_audit_in_place_equals_the_tables(spark):
+    bodies = [
+        '{"line_items": [{"quantity": 2, "unit_price": "$10", "amount": 25}, {"unit_price": 4}, {"quantity": null, "unit_price": 5}, null, 7],'
+        ' "summary": {"subtotal": "30", "tax": "1,000.5", "discount": 2, "total": 12}}',
+        '{"line_items": [], "summary": {"subtotal": 3, "total": 3}}', '{"line_items": [{"amount": "9"}]}', "no object", None, "",
+        '{"line_items": "x", "summary": {"total": 5, "tax": 6}}', '{"line_items": [{"quantity": 1, "unit_price": 2, "amount": 2}], "summary": {"subtotal": 2, "total": 2}}']
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(bodies)], "doc_id int, text string, errors int").drop("errors")
+    got = {r["doc_id"]: r for r in V.audit_invoices(df).collect()}
+    assert len(got) == len(bodies)
+    assert got[0]["errors"] == [
+        "Line 1: quantity * unit_price (20.00) != amount (25.00)", "Subtotal mismatch: calculated 29.00, reported 30.00",
+        "Total mismatch: subtotal (30.00) + tax (1000.50) - discount (2.00) = 1028.50, but total is 12.00"]
+    assert not got[0]["is_valid"] and got[7]["is_valid"] and got[2]["calculated_subtotal"] == 9.0
+    assert got[6]["errors"] == ["Total mismatch: subtotal (0.00) + tax (6.00) - discount (0.00) = 6.00, but total is 5.00"]
+    tables = V.check_totals(shape.invoice_line_items(df), shape.invoice_summary(df))
+    for r in tables.collect():
+        same = ("n_lines", "n_line_errors", "calculated_subtotal", "expected_total", "subtotal_error", "total_error", "is_valid")
+        assert [r[c] for c in same] == [got[r["doc_id"]][c] for c in same], r
+    plan = V.audit_invoices(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+
+
 def test_invoice(spark):
     lines = [
         (1, 1, "2", "10", "20"), (2, 1, "2", "10", "25"), (3, 1, None, None, "30"), (5, 1, "1", "9.99", "10"), (6, 1, None, None, None)]
