@@ -12,22 +12,7 @@ from pyspark.sql import types as T
 # --- task and event names ---------------------------------------------------
 
 TASKS = ("ocr", "layout", "table", "field_extraction", "ner", "form", "invoice", "contract")
-MEDIA_TASKS = (
-    "computer_agent", "document_parsing", "mobile_agent", "ocr", "recognition",
-    "spatial_understanding", "video_inference", "video_understanding",
-)
 JOB_STATES = ("pending", "processing", "completed", "failed", "cancelled")
-AUDIT_ACTIONS = (
-    "auth.login", "auth.logout", "auth.token_created", "auth.token_revoked",
-    "document.uploaded", "document.processed", "document.deleted", "document.exported",
-    "config.changed", "quota.updated",
-    "admin.user_created", "admin.user_updated", "admin.user_deleted",
-    "admin.tenant_created", "admin.tenant_updated",
-)
-WEBHOOK_EVENTS = (
-    "extraction.started", "extraction.completed", "extraction.failed",
-    "batch.started", "batch.progress", "batch.completed", "batch.failed",
-)
 
 # --- extraction schemas: (preset, [(field, type, description)]) --------------
 

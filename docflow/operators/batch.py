@@ -8,18 +8,46 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranking import in_ranges
+
 DONE = ("completed", "failed")
 
 
-def run_batch(items: DataFrame, make_handler: Callable, keys=("job_id", "item_id", "file_path")) -> DataFrame:
+def spread_by_cost(items: DataFrame, cost: str, tasks: int) -> DataFrame:
+    """The items dealt to ``tasks`` tasks so that each has about the same share of the cost.
+
+    An item weighs its cost and the mean cost, so that many small ones are spread too. Ordered from the heaviest, items
+    go to the task that their place on the line of all weights falls into; one heavier than a task's share
+    is alone in its task, and the tasks it covers beyond that stay empty. Missing costs count as 0.
+    """
+    price = F.greatest(F.coalesce(F.col(cost).cast("double"), F.lit(0.0)), F.lit(0.0))
+    total, count = items.agg(F.sum(price), F.count("*")).first()
+    mean = max((total or 0.0) / max(count, 1), 1.0)
+    share = ((total or 0.0) + mean * count) / tasks or 1.0
+    ties = [c for c, kind in items.dtypes if kind in ("string", "bigint", "int")]
+    ranged = in_ranges(items.withColumn("_weight", price + mean), [F.col("_weight").desc(), *ties], "batch-items")
+    sizes = ranged.groupBy("_range").agg(F.sum("_weight").alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    offsets = sizes.select(F.col("_range").alias("_of"), earlier.alias("_before"))
+    inside = F.coalesce(F.sum("_weight").over(W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    placed = ranged.withColumn("_inside", inside).join(offsets, F.col("_range") == F.col("_of"))
+    task = F.least(F.floor((F.col("_before") + F.col("_inside")) / share), F.lit(tasks - 1)).cast("int")
+    return placed.withColumn("_task", task).repartitionById(tasks, "_task").select(*items.columns)
+
+
+def run_batch(items: DataFrame, make_handler: Callable, keys=("job_id", "item_id", "file_path"), cost: str | None = None, tasks: int | None = None) -> DataFrame:
     """Applies a handler to every item; an exception marks only its own item as failed.
 
-    ``make_handler()`` is called once per partition and returns ``item: dict -> dict``. Items are
-    spread evenly first, since a handler's time has nothing to do with how the table was split.
+    ``make_handler()`` is called once per partition and returns ``item: dict -> dict``. With ``cost``, a column such
+    as the file's size, items are dealt out by it first (:func:`spread_by_cost`); ``tasks`` is the number of shuffle
+    partitions if not given. Without it they stay where they are.
     """
     keys = list(keys)
+    if cost is not None:
+        items = spread_by_cost(items, cost, tasks or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
     schema += ", status string, result string, error string, processing_time_ms int"

@@ -111,6 +111,13 @@ def daily_usage(usage: DataFrame) -> DataFrame:
     )
 
 
+def usage_on(tenants: DataFrame, usage: DataFrame, day) -> DataFrame:
+    """Each tenant's usage of one UTC day, zeros for a tenant without any."""
+    wanted = F.lit(day).cast("date")
+    sums = daily_usage(usage.where(F.to_date("ts") == wanted)).drop("day")
+    return tenants.select("tenant_id").join(sums, "tenant_id", "left").na.fill(0).withColumn("day", wanted)
+
+
 def usage_summary(tenants: DataFrame, usage: DataFrame, days: int | None = None, today=None) -> DataFrame:
     """Totals and mean time per request for each tenant, zeros without usage.
 

@@ -330,6 +330,18 @@ def daily_usage(spark, sf):
     return tenants.daily_usage(I.usage(spark, sf)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("usage_on_day", f"""
+WITH {USAGE}, {TENANTS}, wanted AS (SELECT min(day) AS day FROM daily)
+SELECT t.tenant_id, wanted.day, coalesce(request_count, 0) AS request_count, coalesce(document_count, 0) AS document_count,
+       coalesce(processing_time_ms, 0) AS processing_time_ms, coalesce(tokens_used, 0) AS tokens_used
+FROM tenants t CROSS JOIN wanted LEFT JOIN daily d ON d.tenant_id = t.tenant_id AND d.day = wanted.day""")
+def usage_on_day(spark, sf):
+    """The first day of the log, for all tenants."""
+    usage = I.usage(spark, sf)
+    day = usage.agg(F.min(F.to_date("ts"))).first()[0]
+    return tenants.usage_on(I.tenants(spark, sf), usage, day).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query("usage_summary", f"""
 WITH {USAGE}, {TENANTS},
 sums AS (SELECT tenant_id, sum(request_count) AS r, sum(document_count) AS d, sum(processing_time_ms) AS p FROM usage GROUP BY 1)

@@ -238,15 +238,26 @@ def strip_fence(spark, sf):
     return stripped.select("doc_id", changed.alias("changed"), F.when(changed, F.col("body")).alias("body"))
 
 
-@query("page_text", """
+_GRID_TEXT = """
+'[' || array_to_string(list_transform(range(1, o_orderkey % 3 + 3), lambda i: '{"bbox_2d":[' || i * 100 || ',' || i * 7 || ',' || o_orderkey % 90
+  || ',14],"text_content":"t' || i || '","label":"b"}'), ',') || ']'"""
+
+
+@query("page_text", f"""
+WITH bodies AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS page, {_GRID_TEXT} AS b FROM orders),
+texts AS (
+  SELECT *, CASE o_orderkey % 4 WHEN 0 THEN E'Here is the result:\\n```json\\n' || b || E'\\n```\\nDone.' WHEN 1 THEN E'```\\n' || b || E'\\n```'
+                                WHEN 2 THEN 'The answer is ' || b || ' as asked.' ELSE E'```json\\n' || substr(b, 1, length(b) - 3) END AS text
+  FROM bodies)
 SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'ok' ELSE 'unreadable' END AS status,
-       CASE WHEN o_orderkey % 4 = 0 THEN '--- Page ' || (o_orderkey % 9 + 1) || E' (Plain Text) ---\\n'
-         || array_to_string(list_transform(range(1, o_orderkey % 3 + 3), lambda i: 't' || i), E'\\n') END AS plain
-FROM orders""")
+       '--- Page ' || page || E' (Plain Text) ---\\n' ||
+       CASE WHEN o_orderkey % 4 = 0 THEN array_to_string(list_transform(range(1, o_orderkey % 3 + 3), lambda i: 't' || i), E'\\n')
+            ELSE 'Error parsing OCR JSON for page ' || page || E'\\nRaw response (after fence removal):\\n' || replace(text, E'```json\\n', '') END AS plain,
+       '--- Page ' || page || E' (Raw OCR Output) ---\\n' || text || E'\\n\\n' AS raw
+FROM texts""")
 def page_text(spark, sf):
     responses = I.responses(spark, sf, _grid_body(), "ocr").withColumn("page_no", F.col("doc_id") % 9 + 1)
-    texts = shape.page_text(responses)
-    return texts.select("doc_id", "status", F.when(F.col("status") == "ok", F.col("plain")).alias("plain"))
+    return shape.page_text(responses).select("doc_id", "status", "plain", "raw")
 
 
 @query("parse_bbox", """

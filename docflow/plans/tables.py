@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import batch, chat, media, pages
-from ..session import scratch_dir
+from ..session import scratch_dir, written
 from ..sources import files, logs, results, sinks
 from . import inputs as I
 from .catalog import query
@@ -44,6 +44,15 @@ def scan_folder(spark, sf):
         (F.col("first") == F.col("least")).alias("by_name"), (F.col("length") == total.scalar()).alias("all_bytes"))
 
 
+_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query("table_files", " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, CAST({i} AS BIGINT) AS page_no" for i, n in enumerate(_TABLES, 1)))
+def table_files(spark, sf):
+    """The files of the tables' own folder, numbered by name."""
+    return files.scan_folder(spark, sf, ("*.parquet",)).select("name", F.col("page_no").cast("bigint").alias("page_no"))
+
+
 @query("list_keys", "SELECT DISTINCT source AS folder FROM documents")
 def list_keys(spark, sf):
     path = _stored_documents(spark, sf, "list_keys")
@@ -283,6 +292,25 @@ def run_batch(spark, sf):
     return done.select("item_id", "status", "error", "result")
 
 
+def _size(item):
+    return {"bytes": item["length"]}
+
+
+@query("folder_job", """
+SELECT 'job-1' AS job_id, 'completed' AS status, CAST(100 AS DOUBLE) AS progress, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
+FROM documents HAVING count(*) > 0""")
+def folder_job(spark, sf):
+    """A job made from a folder: its files become items, which are dealt out by size and worked on."""
+    path = scratch_dir(spark, "folder-job")
+    I.spread(I.table(spark, sf, "documents")).select("text").write.text(path)
+    found = files.batch_files(spark, path, ("*.txt",))
+    items = batch.create_items(found, "job-1", "ocr").join(found.select(F.col("path").alias("file_path"), "length"), "file_path")
+    done = written(batch.run_batch(items, lambda: _size, cost="length"), "folder-job-items")
+    state = batch.job_progress(done).join(batch.job_status(done), "job_id")
+    sizes = done.groupBy("job_id").agg(F.sum(F.get_json_object("result", "$.bytes").cast("bigint")).alias("bytes"))
+    return state.join(sizes, "job_id").select("job_id", "status", "progress", "bytes")
+
+
 ITEMS = """
 items AS (
   SELECT source AS job_id, CAST(d.doc_id AS VARCHAR) AS item_id, lang || '/' || d.doc_id || '.txt' AS file_path,

@@ -297,6 +297,25 @@ def test_window_places_equal_a_walk():
                 at_row += 1
 
 
+def test_one_histogram_of_close_values_lies_in_many_ranges(spark):
+    """Exact percentiles of a key whose distinct values all lie between 100 and 101."""
+    n = 60_000
+    values = spark.range(n).select((F.lit(100) + F.pmod(F.col("id") * 7919, F.lit(n)) / F.lit(float(n))).alias("value"))
+    obs = values.select(F.lit("h").alias("name"), F.lit(None).cast("map<string,string>").alias("labels"), F.lit("histogram").alias("kind"), "value")
+    obs = obs.unionByName(spark.createDataFrame([("g", None, "histogram", v) for v in (1.0, 1.0, 2.0, None)] + [("e", None, "histogram", None)],
+                                                "name string, labels map<string,string>, kind string, value double"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counted = metrics._counted(obs, ("histogram",))
+        assert counted.where("key = 'h'").select("_range").distinct().count() >= 3
+        got = {r["key"]: r for r in metrics.histogram_stats(obs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [got["h"][p] for p in ("p50", "p95", "p99")] == [100 + int(n * p) / n for p in (0.5, 0.95, 0.99)] and got["h"]["count"] == n
+    assert tuple(got["g"][c] for c in ("count", "sum", "min", "max", "p50", "p99")) == (3, 4.0, 1.0, 2.0, 1.0, 2.0)
+    assert got["e"]["count"] == 0 and got["e"]["p50"] is None
+
+
 # --- webhooks -----------------------------------------------------------------------
 
 

@@ -241,6 +241,21 @@ def test_metric_text(spark, tmp_path):
         "# TYPE c counter", 'c{a="b"} 2.0', "# TYPE g gauge", "g 1.5", "# TYPE h histogram", 'h_count{x="y"} 2', 'h_sum{x="y"} 3.0']
 
 
+def test_a_huge_item_is_alone_in_its_task(spark):
+    rows = [(i, f"f{i}", 1 << 30 if i == 77 else 1000 + i % 7) for i in range(10_000)] + [(10_000, None, None), (10_001, None, None)]
+    items = spark.createDataFrame(rows, "item_id long, file_path string, length long").repartition(5)
+    dealt = batch.spread_by_cost(items, "length", 8).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["item_id"] for r in dealt) == list(range(10_002))
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault(r["task"], []).append(r["item_id"])
+    assert [77] in tasks.values() and len(tasks) >= 4
+    assert max(len(t) for t in tasks.values()) < 4000
+    assert batch.spread_by_cost(items.limit(0), "length", 8).collect() == []
+    done = batch.run_batch(items, lambda: lambda item: {"n": item["item_id"]}, keys=("item_id",), cost="length", tasks=4)
+    assert done.where("status = 'completed'").count() == 10_002
+
+
 # --- streams ----------------------------------------------------------------------
 
 
