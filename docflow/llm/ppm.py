@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .text_bytes import Hasher, lower_ascii, ragged, segment_sums, text_runs, words
+from .text_bytes import Hasher, KeyRows, lower_ascii, ragged, segment_sums, text_runs, words
 
 ORDER, BLOCK_BYTES, BUCKETS, CHUNK, SYMBOLS, ESCAPE = 5, 16 << 20, 251, 1024, 256, 0.5
 RUN = 1 << 20
+#: Distinct keys that a task counts before it passes them on.
+HELD_KEYS = 1 << 20
 #: Ends a text, and fills the contexts of its first bytes; no word holds it.
 END = 10
 #: Grams are below this, the numbers of words at or above it.
@@ -87,30 +89,28 @@ def corpus_counts(docs: DataFrame, text: str, learns: str) -> DataFrame:
     source = docs.select(F.col(text).alias("text"), F.coalesce(F.col(learns), F.lit(False)).alias("learns"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+        hasher = Hasher()
 
-        def merged():
-            return _sums(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        def full(table, counts):
+            return pa.RecordBatch.from_arrays([pa.array(table.keys[: table.size]), pa.array(counts[: table.size].astype(np.int64))], names=["key", "n"])
 
+        table, counts = KeyRows(), np.zeros(0)
         for batch in batches:
             marks = np.asarray(batch.column(1).to_pylist(), bool)
             for first, end, data, offsets in text_runs(batch.column(0), RUN):
                 line, at, (low, starts, ends, word_at) = byte_lines(data, offsets)
                 found, gram_at = grams(line, at)
-                mine = marks[first:end].astype(np.int64)
-                held.append(_sums(found, np.repeat(mine, np.diff(gram_at))))
-                held.append(_sums(word_numbers(hasher, low, starts, ends), np.repeat(mine, np.diff(word_at))))
-                size += len(held[-1][0]) + len(held[-2][0])
-                if size > 1_000_000:
-                    keys, counts = merged()
-                    if len(keys) > 800_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                        held, size = [], 0
-                    else:
-                        held, size = [(keys, counts)], len(keys)
-        if held:
-            keys, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                mine = marks[first:end].astype(float)
+                for keys, key_at in ((found, gram_at), (word_numbers(hasher, low, starts, ends), word_at)):
+                    rows = table.rows_of(keys)
+                    added = np.bincount(rows, np.repeat(mine, np.diff(key_at)), table.size)
+                    added[: len(counts)] += counts
+                    counts = added
+                if table.size > HELD_KEYS:
+                    yield full(table, counts)
+                    table, counts = KeyRows(), np.zeros(0)
+        if table.size:
+            yield full(table, counts)
 
     return source.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -235,13 +235,12 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
 
     def ask(rows: pa.Table) -> pa.Table:
         """The distinct keys of a block, sorted, a row for each bucket that has some."""
-        hasher, held = Hasher(), []
+        hasher, table = Hasher(), KeyRows()
         for _, _, data, offsets in text_runs(rows.column("_text"), RUN):
             line, at, (low, starts, ends_, _) = byte_lines(data, offsets)
-            held += [np.unique(grams(line, at)[0]), np.unique(word_numbers(hasher, low, starts, ends_))]
-            if len(held) > 8:
-                held = [np.unique(np.concatenate(held))]
-        keys = np.unique(np.concatenate(held))
+            table.rows_of(grams(line, at)[0])
+            table.rows_of(word_numbers(hasher, low, starts, ends_))
+        keys = np.sort(table.keys[: table.size])
         of = keys % BUCKETS
         keys = keys[np.argsort(of, kind="stable")]
         cuts = np.searchsorted(np.sort(of), np.arange(BUCKETS + 1))
@@ -252,7 +251,7 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
             "bucket": pa.array(some.astype(np.int32)), "keys": pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())})
 
     def meet(asking: pa.Table, model_: pa.Table) -> pa.Table:
-        """The values of the keys of each list, in the list's order."""
+        """The values of the keys of each list, in the list's order: costs of grams, then counts of words."""
         keys, values = model_.column("key").to_numpy(), model_.column("value").to_numpy()
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
@@ -262,20 +261,23 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
             spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             if not len(keys) or not (keys[spot] == wanted).all():
                 raise ValueError("the rows changed between two readings")
-            out.append(values[spot].tobytes())
+            split = np.searchsorted(wanted, WORDS_FROM)
+            out.append(values[spot[:split]].astype(np.float32).tobytes() + values[spot[split:]].astype(np.int64).tobytes())
         return asking.select(["_block", "keys"]).append_column("found", pa.array(out, pa.binary()))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         hasher = Hasher()
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in right.column("keys")])
-        values = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in right.column("found")]).astype(np.float64)
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        lists = [np.frombuffer(x.as_py(), np.int64) for x in right.column("keys")]
+        values = []
+        for keys, found in zip(lists, right.column("found"), strict=True):
+            split, raw = int(np.searchsorted(keys, WORDS_FROM)), found.as_py()
+            values += [np.frombuffer(raw, np.float32, split).astype(np.float64), np.frombuffer(raw, np.int64, -1, 4 * split).astype(np.float64)]
+        values, table = np.concatenate(values), KeyRows(np.concatenate(lists))
         unseen, end_cost = np.log10(0.5 / width), np.log10((end_count + 0.5) / width)
         out = []
 
         def look(wanted):
-            return values[np.searchsorted(keys, wanted)]
+            return values[table.find(wanted)]
 
         for first, end, data, offsets in text_runs(left.column("_text"), RUN):
             line, at, (low, starts, ends_, word_at) = byte_lines(data, offsets)
@@ -291,6 +293,6 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
 
     asked = source.groupBy("_block").applyInArrow(ask, "_block int, chunk int, bucket int, keys binary")
     chunks = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // CHUNK))).alias("chunk")
-    known_ = model.select((F.col("key") % BUCKETS).cast("int").alias("bucket"), chunks, "key", F.col("value").cast("float").alias("value"))
+    known_ = model.select((F.col("key") % BUCKETS).cast("int").alias("bucket"), chunks, "key", "value")
     answers = asked.groupBy("bucket", "chunk").cogroup(known_.groupBy("bucket", "chunk")).applyInArrow(meet, "_block int, keys binary, found binary")
     return source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(answer, schema)

@@ -176,3 +176,70 @@ class Lists:
         """The lists of ``rows`` joined, and where each begins."""
         places, at = ragged(self.at[rows], self.at[rows + 1] - self.at[rows])
         return self.values[places], at
+
+
+class KeyRows:
+    """Row numbers of 64-bit keys in order of first sight, by open addressing: no sorting of what is known."""
+
+    def __init__(self, keys=()):
+        self.size = 0
+        self._make(16)
+        if len(keys):
+            self._insert(np.asarray(keys, np.int64))
+
+    def _make(self, bits):
+        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+        old = self.keys[: self.size] if self.size else np.zeros(0, np.int64)
+        self.keys = np.zeros(1 << (bits - 1), np.int64)
+        self.keys[: len(old)] = old
+        if len(old):
+            self._place(np.arange(len(old), dtype=np.int32))
+
+    def _slot(self, keys):
+        return ((keys.view(np.uint64) * _M3) >> self.shift).view(np.int64)
+
+    def _place(self, rows):
+        slot = self._slot(self.keys[rows])
+        while len(rows):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rows[free]  # of several for one place the last one stays
+            left = self.slots[slot] != rows
+            rows, slot = rows[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _insert(self, new):
+        bits = len(self.slots).bit_length() - 1
+        while (self.size + len(new)) * 2 > 1 << bits:
+            bits += 1
+        if 1 << bits > len(self.slots):
+            self._make(bits)
+        rows = np.arange(self.size, self.size + len(new), dtype=np.int32)
+        self.keys[rows] = new
+        self.size += len(new)
+        self._place(rows)
+
+    def find(self, keys):
+        """The row of each key, -1 for one that was not seen."""
+        slot = self._slot(keys)
+        rows = self.slots[slot]
+        other = np.flatnonzero((rows >= 0) & (self.keys[rows] != keys))
+        slot = slot[other]
+        while len(other):
+            slot = (slot + 1) & (len(self.slots) - 1)
+            found = self.slots[slot]
+            rows[other] = found
+            going = (found >= 0) & (self.keys[found] != keys[other])
+            other, slot = other[going], slot[going]
+        return rows
+
+    def rows_of(self, keys):
+        """The row of each key; new keys are taken in, their rows follow those before."""
+        out = np.empty(len(keys), np.int32)
+        for at in range(0, len(keys), 1 << 16):  # soon enough to know most of what comes twice
+            part, rows = keys[at : at + (1 << 16)], out[at : at + (1 << 16)]
+            rows[:] = self.find(part)
+            missed = np.flatnonzero(rows < 0)
+            if len(missed):
+                new, which = np.unique(part[missed], return_inverse=True)
+                rows[missed] = self.size + which
+                self._insert(new)
+        return out
