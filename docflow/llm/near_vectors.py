@@ -1,11 +1,14 @@
 """Near-duplicate embeddings: a small-world graph per shard, every shard queried, links checked exactly.
 
-Vectors of a label are dealt into shards of about SHARD_ROWS. Each pair of shards of a label is one
-task: the vectors of each query the graph of the other, with beams that widen until an audit against
-exact comparison passes. The audit grows until it has seen enough rows with links; where there are too
-few to judge a beam by, the shards are compared exactly. A vector whose widest beam still holds only
-links is compared with the whole shard. A task returns counts and a spanning forest of its links, never the links themselves, so a
-cluster of any size gives as many rows as it has vectors.
+Vectors of a label are dealt into shards of about SHARD_ROWS. When a shard's graph is built its recall is audited:
+for every vector a partner just above the limit is planted, in a direction of its own, and searched. The beam
+widens until all but a thousandth of the vectors are found by their partners; those that are not even found by the widest
+beam are listed as lost.
+
+Each pair of shards of a label is one task: the vectors of each query the graph of the other with the audited beam, and
+the few lost vectors are compared with all. A query whose beam holds nothing but links is asked again with a wider one,
+and compared with the whole shard only if the widest is full too. A task returns counts and a spanning forest of its
+links, never the links themselves, so a cluster of any size gives as many rows as it has vectors.
 """
 
 from __future__ import annotations
@@ -22,8 +25,7 @@ from .components import components
 from .hnsw import Graph
 from .staging import staged
 
-SHARD_ROWS, BEAM, WIDEST, AUDIT_ROWS, RECALL = 8192, 32, 256, 128, 0.999
-EVIDENCE = 1000  # audited rows with true links that a beam is judged by, at least
+SHARD_ROWS, BEAM, WIDEST, RECALL = 8192, 32, 256, 0.999
 _SLACK = 1e-4  # float32 similarities this far below the limit are still checked
 
 
@@ -50,43 +52,43 @@ def _beam_links(graph, unit_a, unit_b, rows, beam, limit, same):
     return np.stack([a[good], b[good]], 1), rows[full]
 
 
-def _audit(unit_a, unit_b, limit, same, count, evidence):
-    """(rows, true links of every audited row): as many rows as show ``evidence`` rows with links, or none
-    if half of all rows do not."""
-    n = len(unit_a)
-    order, truth, done = np.random.default_rng(0).permutation(n), np.zeros(n, np.int64), 0
-    while count <= n // 2:
-        for part, mask in _exact(unit_a, unit_b, order[done:count], limit, same):
-            truth[part] = mask.sum(1)
-        if np.count_nonzero(truth) >= evidence:
-            return order[:count], truth
-        done, count = count, 2 * count
-    return order[:0], truth
-
-
-def find_links(graph, unit_a, unit_b, limit, same, beam=BEAM, widest=WIDEST, recall=RECALL, audit_rows=AUDIT_ROWS, evidence=EVIDENCE):
-    """(links, full rows): all rows of side a queried against side b's graph.
-
-    Every row is either searched by beam, or listed as full: its links are too many for the widest beam
-    or the audit did not pass, and it is to be compared exactly. An audit passes if ``evidence`` rows with
-    links were seen, and the beam found ``recall`` of their links and all links of ``recall`` of them.
-    """
-    n = len(unit_a)
-    rows, links, width = np.arange(n), [], beam
-    audit, truth = _audit(unit_a, unit_b, limit, same, audit_rows, evidence)
-    while len(rows) and width <= widest:
-        checked = np.intersect1d(audit, rows)
-        if np.count_nonzero(truth[checked]) < evidence:
-            break
-        found, full = _beam_links(graph, unit_a, unit_b, rows, width, limit, same)
-        checked = np.setdiff1d(checked, full)
-        checked = checked[truth[checked] > 0]
-        wanted, got = truth[checked], np.bincount(found[:, 0], minlength=n)[checked]
+def planted(unit, limit, seed=0):
+    """For each vector another at a cosine a little above ``limit``, in a random direction from it."""
+    aside = np.random.default_rng(seed).normal(size=unit.shape)
+    aside -= np.einsum("ij,ij->i", aside, unit)[:, None] * unit
+    length = np.sqrt(np.einsum("ij,ij->i", aside, aside))[:, None]
+    near = limit + 0.02 * (1 - limit)
+    out = near * unit + np.sqrt(max(1 - near * near, 0.0)) * aside / np.where(length > 0, length, 1)
+    return np.where(length > 0, out, unit).astype(np.float32)
+
+
+def audit(graph, unit, limit, beam=BEAM, widest=WIDEST, recall=RECALL):
+    """(beam, lost): the narrowest doubled beam that finds ``recall`` of all vectors from planted partners, and the
+    vectors that it, or the widest one, does not find. A beam that is full of links finds them by being asked again."""
+    rows, asked = np.arange(len(unit)), planted(unit, limit)
+    while True:
+        ids, sims = graph.search(asked[rows], min(beam, len(unit)))
+        found = (ids == rows[:, None]).any(1) | ((ids >= 0) & (sims >= limit - _SLACK)).all(1)
+        rows = rows[~found]
+        if len(rows) <= (1 - recall) * len(unit) or 2 * beam > widest:
+            return beam, rows
+        beam *= 2
+
+
+def find_links(graph, unit_a, unit_b, limit, same, widest=WIDEST):
+    """(links, full rows): all rows of side a queried against side b's graph with its audited beam, and its lost
+    vectors with all rows. Full rows have too many links for the widest beam and are to be compared exactly."""
+    rows, links, width = np.arange(len(unit_a)), [], graph.beam
+    while len(rows) and (width <= widest or not links):
+        found, rows = _beam_links(graph, unit_a, unit_b, rows, width, limit, same)
+        links.append(found)
         width *= 2
-        if len(checked) >= evidence and got.sum() >= recall * wanted.sum() and (got >= wanted).sum() >= recall * len(checked):
-            links.append(found)
-            rows = full
-    return (np.concatenate(links) if links else np.zeros((0, 2), np.int64)), rows
+    for part, mask in _exact(unit_b, unit_a, graph.lost, limit, same):
+        lost, a = np.nonzero(mask)
+        links.append(np.stack([a, part[lost]], 1))
+    found = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+    found = found[~np.isin(found[:, 0], rows)] if len(rows) else found
+    return np.unique(found, axis=0), rows
 
 
 class Forest:
@@ -101,16 +103,16 @@ class Forest:
             self.root[np.isin(self.root, roots[1:])] = roots[0]
 
 
-def pair_links(graph, unit_a, unit_b, copies_a, copies_b, limit, same, back=None, **search):
+def pair_links(graph, unit_a, unit_b, copies_a, copies_b, limit, same, back=None):
     """Weighted numbers of links of both sides, and the forest over side a's and then side b's places.
 
     With side a's graph as ``back``, side b's rows query it too, and a link needs to be found from one side.
     """
     n = len(unit_a)
-    links, full = find_links(graph, unit_a, unit_b, limit, same, **search)
+    links, full = find_links(graph, unit_a, unit_b, limit, same)
     full_b = full[:0]
     if back is not None and len(full) < n:
-        more, full_b = find_links(back, unit_b, unit_a, limit, False, **search)
+        more, full_b = find_links(back, unit_b, unit_a, limit, False)
         links = np.unique(np.concatenate([links, more[:, ::-1]]), axis=0)
     count_a, count_b = np.zeros(n, np.int64), np.zeros(len(unit_b), np.int64)
     forest = Forest(n if same else n + len(unit_b))
@@ -162,7 +164,7 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector="embedding", label=
     Vectors that are null, empty, zero, or hold null or non-finite numbers, rows without label or id, and
     vectors of unequal lengths link with nothing; such a row is its own component. Equal vectors of a
     label are one class in the graph and link with each other. Links are those that the audited search
-    finds, none below the limit; all of them where too few rows have links for an audit. Rows that share an id share a node. An empty table gives an empty result;
+    finds, none below the limit. Rows that share an id share a node. An empty table gives an empty result;
     further columns are left out. A label may be of any type that groups.
     """
     size = F.size("vector")
@@ -191,10 +193,12 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector="embedding", label=
         order = np.argsort(rows.column("node").to_numpy(), kind="stable")
         raw = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
         raw = np.ascontiguousarray(raw, np.float64).tobytes()
-        graph = Graph(_unit(raw, width))
+        unit = _unit(raw, width)
+        graph = Graph(unit)
+        beam, lost = audit(graph, unit, limit)
         one = rows.select(["label", "width", "shards", "shard"]).slice(0, 1)
         for name, value in (("nodes", rows.column("node").to_numpy()[order].tobytes()), ("copies", rows.column("copies").to_numpy()[order].tobytes()),
-                            ("vectors", raw), ("graph", pickle.dumps((graph.level, graph.near, graph.entry)))):
+                            ("vectors", raw), ("graph", pickle.dumps((graph.level, graph.near, graph.entry, beam, lost)))):
             one = one.append_column(name, pa.array([value], pa.binary()))
         return one
 
@@ -211,7 +215,7 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector="embedding", label=
         graphs = []
         for row, (_, _, unit) in zip(rows, side, strict=True):
             graphs.append(Graph.__new__(Graph))
-            graphs[-1].level, graphs[-1].near, graphs[-1].entry = pickle.loads(row["graph"])
+            graphs[-1].level, graphs[-1].near, graphs[-1].entry, graphs[-1].beam, graphs[-1].lost = pickle.loads(row["graph"])
             graphs[-1].vectors = unit.astype(np.float32)
         (node_a, copies_a, unit_a), (node_b, copies_b, unit_b) = side[0], side[-1]
         count_a, count_b, root = pair_links(graphs[-1], unit_a, unit_b, copies_a, copies_b, limit, same, None if same else graphs[0])

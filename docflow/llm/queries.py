@@ -83,7 +83,7 @@ twice_{size} AS (
 covered_{size} AS (
   SELECT row_no, count(*) AS n, sum(length(words[j])) AS chars FROM twice_{size} JOIN tokens USING (row_no) GROUP BY row_no)"""
 
-    windows = ",".join(covered(n) for n in (3, 5, 8))
+    windows = ",".join(covered(n) for n in repetition.LENGTHS)
     share = "CASE WHEN word_chars > 0 THEN CAST({} AS DOUBLE) / word_chars ELSE 0.0 END"
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
@@ -100,23 +100,24 @@ counted AS (
          CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
          CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c3.n, 0) AS BIGINT) AS n_repeat_words,
-         coalesce(l.chars, 0) AS line_chars, coalesce(c5.chars, 0) AS chars_5, coalesce(c8.chars, 0) AS chars_8
-  FROM tokens t LEFT JOIN repeated_lines l USING (row_no) LEFT JOIN covered_3 c3 USING (row_no)
+         coalesce(l.chars, 0) AS line_chars, coalesce(c2.chars, 0) AS chars_2, coalesce(c3.chars, 0) AS chars_3,
+         coalesce(c5.chars, 0) AS chars_5, coalesce(c8.chars, 0) AS chars_8
+  FROM tokens t LEFT JOIN repeated_lines l USING (row_no) LEFT JOIN covered_2 c2 USING (row_no) LEFT JOIN covered_3 c3 USING (row_no)
   LEFT JOIN covered_5 c5 USING (row_no) LEFT JOIN covered_8 c8 USING (row_no)),
 judged AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-         {share.format("line_chars")} AS dup_line_coverage, {share.format("chars_5")} AS dup_coverage_5, {share.format("chars_8")} AS dup_coverage_8,
+         {share.format("line_chars")} AS dup_line_coverage, {", ".join(f"{share.format(f'chars_{n}')} AS dup_coverage_{n}" for n in repetition.LENGTHS)},
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM counted)
-SELECT *, NOT base_failed AND dup_line_coverage <= {repetition.LINE_LIMIT}::DOUBLE AND dup_coverage_5 <= {repetition.RUN_LIMITS[5]}::DOUBLE
-       AND dup_coverage_8 <= {repetition.RUN_LIMITS[8]}::DOUBLE AND n_symbols <= {repetition.SYMBOL_LIMIT}::DOUBLE * n_words AS kept
+SELECT *, NOT base_failed AND dup_line_coverage <= {repetition.LINE_LIMIT}::DOUBLE AND n_symbols <= {repetition.SYMBOL_LIMIT}::DOUBLE * n_words
+       {" ".join(f"AND dup_coverage_{n} <= {limit}::DOUBLE" for n, limit in repetition.RUN_LIMITS.items())} AS kept
 FROM judged
 """
 
 
 @query("op8_repetition", _op8_sql())
 def op8(spark, sf):
-    return repetition.repetition_rules(table(spark, sf, "documents")).drop("dup_coverage_2", "dup_coverage_3")
+    return repetition.repetition_rules(table(spark, sf, "documents"))
 
 
 OP9_SQL = rf"""

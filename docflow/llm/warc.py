@@ -23,6 +23,7 @@ from ..session import scratch_dir
 from .staging import staged
 
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES, LEVEL = 64 << 20, 64 << 10, 8 << 20, 4
+TASK_BYTES = 8 << 20  # of archives that one task reads, about; an archive is read by one task
 INDEX = ("path string, offset long, length long, url string, payload_digest string, page_id long, record_type string, refers_to long, payload_bytes long")
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -178,7 +179,9 @@ def read_records(index: DataFrame, folder: str, with_payload=True) -> DataFrame:
     kinds = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in kept])
     picked = index.where("path IS NOT NULL").select("path", "offset", "length")
-    return picked.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(read, T.StructType(kept))
+    # The tasks follow the bytes that are read, which the few bytes of index rows say nothing of.
+    total = picked.agg(F.sum("length")).first()[0] or 0
+    return picked.repartition(max(1, -(-total // TASK_BYTES)), "path").sortWithinPartitions("path", "offset").mapInArrow(read, T.StructType(kept))
 
 
 def archive_folder(spark) -> str:

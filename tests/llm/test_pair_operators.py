@@ -161,14 +161,22 @@ def test_graph_search_finds_nearest_neighbours():
     assert (np.diff(sims, axis=1) <= 0).all()
 
 
-def test_a_failing_audit_ends_in_exact_comparison():
+def audited(unit, limit, graph=None):
+    graph = graph or hnsw.Graph(unit)
+    graph.beam, graph.lost = near_vectors.audit(graph, unit, limit)
+    return graph
+
+
+def test_vectors_that_a_graph_does_not_find_are_compared_with_all():
     pick = np.random.default_rng(3)
     unit = pick.normal(size=(300, 8))
     unit /= np.linalg.norm(unit, axis=1)[:, None]
-    graph = hnsw.Graph(unit)
-    graph.near = [np.full_like(n, -1) for n in graph.near]  # a graph that leads nowhere
+    broken = hnsw.Graph(unit)
+    broken.near = [np.full_like(n, -1) for n in broken.near]  # a graph that leads nowhere
+    audited(unit, 0.5, broken)
+    assert len(broken.lost) >= 299 and broken.beam == near_vectors.WIDEST
     ones = np.ones(300, np.int64)
-    count, _, _ = near_vectors.pair_links(graph, unit, unit, ones, ones, 0.5, True)
+    count, _, _ = near_vectors.pair_links(broken, unit, unit, ones, ones, 0.5, True)
     assert (count == (unit @ unit.T >= 0.5).sum(1) - 1).all()
 
 
@@ -183,32 +191,51 @@ def sparse_sides(seed, n, links, dims=24):
     return a, b, at, to
 
 
-def test_an_audit_without_links_accepts_no_beam():
-    a, b, at, to = sparse_sides(7, 2000, 12)
-    graph = hnsw.Graph(b)
-    graph.near = [np.full_like(n, -1) for n in graph.near]
-    ones = np.ones(2000, np.int64)
-    count_a, count_b, root = near_vectors.pair_links(graph, a, b, ones, ones, 0.98, False)
-    assert np.flatnonzero(count_a).tolist() == sorted(at) and np.flatnonzero(count_b).tolist() == sorted(to)
-    assert (root[2000 + to] == at).all()
-    links, full = near_vectors.find_links(graph, a, b, 0.98, False)
-    assert len(links) == 0 and len(full) == 2000
-
-
-def test_links_across_shards_are_found_from_either_side():
-    a, b, at, to = sparse_sides(8, 3000, 2500)
-    ahead, back = hnsw.Graph(b), hnsw.Graph(a)
-    links, full = near_vectors.find_links(ahead, a, b, 0.98, False, evidence=200)
-    assert len(full) == 0 and len(links) > 2400  # enough evidence: the beam is accepted
-    lost = to[:20]  # nodes without in-links
+def test_planted_partners_are_just_above_the_limit():
+    a, _, _, _ = sparse_sides(9, 200, 5)
+    cosines = np.einsum("ij,ij->i", near_vectors.planted(a, 0.98), a)
+    assert (np.abs(cosines - 0.9804) < 1e-5).all()
+    assert (near_vectors.planted(np.ones((3, 1)), 0.98) == 1).all()
+
+
+@pytest.mark.parametrize("links", [12, 2500])
+def test_links_across_shards_come_from_beams(links, monkeypatch):
+    """Few links or many: beams find them, and exact comparison sees the lost vectors only."""
+    a, b, at, to = sparse_sides(8, 3000, links)
+    ahead, back = audited(b, 0.98), audited(a, 0.98)
+    assert ahead.beam <= 64 and len(ahead.lost) <= 3 and len(back.lost) <= 3
+    lost = np.setdiff1d(to[:20], ahead.lost)  # nodes without in-links, found by an audit afterwards
     for near in ahead.near:
         near[np.isin(near, lost)] = -1
+    audited(b, 0.98, ahead)
+    compared, exact = [], near_vectors._exact
+    monkeypatch.setattr(near_vectors, "_exact", lambda x, y, rows, *how: compared.append(len(rows)) or exact(x, y, rows, *how))
     weight_a, weight_b = np.arange(3000) % 3 + 1, np.arange(3000) % 2 + 1
     mask = a @ b.T >= 0.98
-    for recall in (0.9, 2.0):  # accepted beams, and none
-        count_a, count_b, root = near_vectors.pair_links(ahead, a, b, weight_a, weight_b, 0.98, False, back, evidence=200, recall=recall)
-        assert (count_a == mask @ weight_b).all() and (count_b == weight_a @ mask).all()
-        assert (root[3000 + to] == root[at]).all()
+    count_a, count_b, root = near_vectors.pair_links(ahead, a, b, weight_a, weight_b, 0.98, False, back)
+    assert (count_a == mask @ weight_b).all() and (count_b == weight_a @ mask).all()
+    assert (root[3000 + to] == root[at]).all() and sum(compared) <= 60
+
+
+def test_a_group_larger_than_the_widest_beam():
+    pick = np.random.default_rng(5)
+    unit = pick.normal(size=(900, 16))
+    unit[:400] = unit[0] + 0.02 * pick.normal(size=(400, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    ones = np.ones(900, np.int64)
+    count, _, root = near_vectors.pair_links(audited(unit, 0.98), unit, unit, ones, ones, 0.98, True)
+    assert (count == (unit @ unit.T >= 0.98).sum(1) - 1).all() and len(set(root[:400])) == 1
+
+
+def test_recall_over_full_shards(spark):
+    """Default settings, more than two full shards of one label: links by the graph against all pairs."""
+    a, b, at, to = sparse_sides(11, 9000, 700, 32)
+    unit = np.concatenate([a, b])
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(rows).collect()}
+    mask = unit @ unit.T >= 0.98
+    want = mask.sum(1) - 1
+    assert sum(got.values()) >= 0.999 * want.sum() and all(got[i] <= want[i] for i in got) and want.sum() >= 1400
 
 
 # --- archives ---------------------------------------------------------------------------

@@ -55,3 +55,11 @@ def test_stages_on_no_rows(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).collect() == []
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    rows = [(1, "one two three four five six seven eight"), (1, "red orange yellow green blue indigo violet white"), (1, "red orange yellow green blue indigo violet white"),
+            (2, "alpha beta gamma delta epsilon zeta eta theta"), (3, "alpha beta gamma delta epsilon zeta eta theta"), (None, "alpha beta gamma delta epsilon zeta eta theta")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.near_deduplication(spark, docs, "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"][:3]) for r in kept) == [(0, "alp"), (1, "one"), (1, "red"), (2, "alp")]

@@ -294,3 +294,15 @@ def test_line_dedup_runs_no_python(spark):
     rows = spark.createDataFrame([(1, "h", "a\nb")], "doc_id long, source string, text string")
     plan = line_dedup.drop_boilerplate(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_repetition_alone_rejects_a_text(spark):
+    """A third of the words in long repeated runs passes the base's rule and fails the limits."""
+    pick = random.Random(12)
+    word = lambda: "".join(pick.choices("abcdefghijklmnop", k=6))
+    run = [word() for _ in range(18)]
+    texts = [[word() for _ in range(30)] + run + [word() for _ in range(30)] + run + [word() for _ in range(10)], [word() for _ in range(100)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bad, good = repetition.repetition_rules(docs).orderBy("doc_id").collect()
+    assert not bad["base_failed"] and 0.3 < bad["dup_coverage_8"] < 0.4 and not bad["kept"]
+    assert not good["base_failed"] and good["kept"] and good["dup_coverage_2"] == 0
