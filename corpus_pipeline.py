@@ -48,15 +48,18 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id, once if its row is repeated.
+    """One document of each group of near duplicates: that with the smallest id.
 
-    Rows with a null id are in no group and stay.
+    Rows that repeat an id and its text leave one row (that with the smallest hash over all columns); rows that share
+    an id and differ in text all stay if the id does. Rows with a null id are in no group and stay.
     """
     found = near_duplicates.near_duplicates(docs)
-    stay = staged(found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct(), "stay")
-    rows = _whole(docs, F.col("doc_id").alias("id"))
-    one = rows.where("id IS NOT NULL").join(stay, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
-    return one.unionByName(rows.where("id IS NULL")).select("row.*")
+    stay = staged(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")), "stay")
+    rows = _whole(docs, F.col("doc_id").alias("id"), "text")
+    once = rows.join(stay.where("n = 1"), F.col("id") == F.col("_id"), "left_semi").select("row")
+    again = rows.join(stay.where("n > 1"), F.col("id") == F.col("_id"), "left_semi")
+    one = again.groupBy("id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.col("text").isNull()).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.unionByName(one.select("row")).unionByName(rows.where("id IS NULL").select("row")).select("row.*")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
