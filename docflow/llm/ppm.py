@@ -28,7 +28,7 @@ from .staging import staged
 from .text_bytes import Hasher, KeyRows, lower_ascii, ragged, segment_sums, text_runs, words
 
 ORDER, BLOCK_BYTES, BUCKETS, CHUNK, SYMBOLS, ESCAPE = 5, 16 << 20, 251, 1024, 256, 0.5
-RUN = 1 << 20
+RUN, TRIM_EVERY = 1 << 20, 8
 #: Distinct keys that a task counts before it passes them on.
 HELD_KEYS = 1 << 20
 #: Ends a text, and fills the contexts of its first bytes; no word holds it.
@@ -97,7 +97,7 @@ def corpus_counts(docs: DataFrame, text: str, learns: str) -> DataFrame:
         table, counts = KeyRows(), np.zeros(0)
         for batch in batches:
             marks = np.asarray(batch.column(1).to_pylist(), bool)
-            for first, end, data, offsets in text_runs(batch.column(0), RUN):
+            for first, end, data, offsets in text_runs(batch.column(0), RUN, TRIM_EVERY):
                 line, at, (low, starts, ends, word_at) = byte_lines(data, offsets)
                 found, gram_at = grams(line, at)
                 mine = marks[first:end].astype(float)
@@ -236,7 +236,7 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
     def ask(rows: pa.Table) -> pa.Table:
         """The distinct keys of a block, sorted, a row for each bucket that has some."""
         hasher, table = Hasher(), KeyRows()
-        for _, _, data, offsets in text_runs(rows.column("_text"), RUN):
+        for _, _, data, offsets in text_runs(rows.column("_text"), RUN, TRIM_EVERY):
             line, at, (low, starts, ends_, _) = byte_lines(data, offsets)
             table.rows_of(grams(line, at)[0])
             table.rows_of(word_numbers(hasher, low, starts, ends_))
@@ -279,7 +279,7 @@ def score(docs: DataFrame, learns: str, text="text", keep=("doc_id",), block_byt
         def look(wanted):
             return values[table.find(wanted)]
 
-        for first, end, data, offsets in text_runs(left.column("_text"), RUN):
+        for first, end, data, offsets in text_runs(left.column("_text"), RUN, TRIM_EVERY):
             line, at, (low, starts, ends_, word_at) = byte_lines(data, offsets)
             found, gram_at = grams(line, at)
             n = look(word_numbers(hasher, low, starts, ends_))

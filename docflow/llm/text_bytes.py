@@ -33,8 +33,11 @@ def give_back():
         trim(0)
 
 
-def text_runs(column, run_bytes=RUN_BYTES):
-    """(first row, end row, bytes, offsets) for consecutive rows; nulls count as empty texts."""
+def text_runs(column, run_bytes=RUN_BYTES, trim_every=1):
+    """(first row, end row, bytes, offsets) for consecutive rows; nulls count as empty texts.
+
+    Freed memory goes back to the system after ``trim_every`` runs and at the end; asking for it again takes time.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type):
@@ -46,12 +49,13 @@ def text_runs(column, run_bytes=RUN_BYTES):
     _, at, data = column.buffers()
     at = np.frombuffer(at, np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    first = 0
+    first = runs = 0
     while first < n:
         end = max(first + 1, int(np.searchsorted(at, at[first] + run_bytes, "right")) - 1)
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
-        first = end
-        give_back()
+        first, runs = end, runs + 1
+        if runs % trim_every == 0 or first == n:
+            give_back()
 
 
 def lower_ascii(data):
