@@ -119,14 +119,14 @@ flags AS (
          total > 0 AND abs(reported + t - total) > 0.01 AS total_error FROM sums)
 SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS n_line_errors, subtotal AS calculated_subtotal, reported + t AS expected_total,
        subtotal_error, total_error, NOT subtotal_error AND NOT total_error AS is_valid,
-       list_filter([CASE WHEN subtotal_error THEN format('Subtotal mismatch: calculated {{:.2f}}, reported {{:.2f}}', subtotal, reported) END,
+       array_to_string(list_filter([CASE WHEN subtotal_error THEN format('Subtotal mismatch: calculated {{:.2f}}, reported {{:.2f}}', subtotal, reported) END,
                     CASE WHEN total_error THEN format('Total mismatch: subtotal ({{:.2f}}) + tax ({{:.2f}}) - discount (0.00) = {{:.2f}}, but total is {{:.2f}}',
                                                       CASE WHEN reported > 0 THEN reported ELSE subtotal END, t, reported + t, total) END],
-                   lambda x: x IS NOT NULL) AS errors
+                   lambda x: x IS NOT NULL), '; ') AS errors
 FROM flags""")
 def audit_responses(spark, sf):
     """The way from raw text to verdict, every response in place."""
-    return validate.audit_invoices(invoices(spark, sf).select("doc_id", "text"))
+    return validate.audit_invoices(invoices(spark, sf).select("doc_id", "text")).withColumn("errors", F.array_join("errors", "; "))
 
 
 # --- boxes ------------------------------------------------------------------------
