@@ -253,14 +253,15 @@ def test_repetition_below_half_is_rejected(spark):
         1: " ".join(x for _ in range(7) for x in [*five, *some(9)]),  # 35 of 98 words in runs of five, none of eight
         2: " ".join([*eight, *some(58), *eight, *some(135)]),  # 80 of 273 words in runs of eight
         3: "\n".join([line, *[" ".join(some(20)) for _ in range(8)], line, line]),  # 40 of 220 words in lines seen before
-        4: " ".join([*eight, *some(150), *eight, *some(100)]),  # 80 of 330 words
+        4: " ".join([*eight[:20], *some(150), *eight[:20], *some(100)]),  # 40 of 290 words
+        5: " ".join([*eight, *some(150), *eight, *some(100)]),  # 80 of 330 words
     }
     found, _ = by_id(repetition.repetition_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     assert not any(found[i]["base_failed"] for i in texts)
     assert found[1]["dup_coverage_5"] == pytest.approx(35 / 98) and found[1]["dup_coverage_8"] == 0
     assert found[2]["dup_coverage_8"] == pytest.approx(80 / 273) and found[2]["dup_coverage_5"] < 0.30
     assert found[3]["dup_line_coverage"] == pytest.approx(40 / 220) and found[3]["dup_coverage_8"] < 0.28
-    assert {i: found[i]["kept"] for i in texts} == {1: False, 2: False, 3: False, 4: True}
+    assert {i: found[i]["kept"] for i in texts} == {1: False, 2: False, 3: False, 4: True, 5: False}
 
 
 # --- lines --------------------------------------------------------------------------
