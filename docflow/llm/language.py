@@ -124,12 +124,16 @@ def feature_counts(train: DataFrame, text="text", label="lang", features=FEATURE
 def fit(train: DataFrame, text="text", label="lang", features=FEATURES):
     """(labels, matrix): log-probabilities of features by label, the label's prior in the last row.
 
-    The matrix has ``features + 1`` rows and a column per label; above MAX_CELLS it is refused.
+    The matrix has ``features + 1`` rows and a column per label; labels for which it would have more than
+    MAX_CELLS cells are refused before any text is read.
     """
+    most = MAX_CELLS // (features + 1)
+    named = train.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"))
+    if named.distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labels need more than {MAX_CELLS} cells; use fewer features")
+    # At most MAX_CELLS numbers, whatever the rows.
     parts = feature_counts(train, text, label, features).collect()
     labels = sorted({r["label"] for r in parts})
-    if (features + 1) * len(labels) > MAX_CELLS:
-        raise ValueError(f"{len(labels)} labels need more than {MAX_CELLS} cells; use fewer features")
     counts, docs = np.zeros((features, len(labels))), np.zeros(len(labels))
     for r in parts:
         k = labels.index(r["label"])
@@ -145,11 +149,14 @@ def identify(docs: DataFrame, model, text="text", keep=("doc_id",), features=FEA
     A text that is null, empty or without letters, and any text if no label was learned, gets ``und``
     with score 0. Equal posteriors go to the first label in name order. Rows are judged one by one, so
     repeated rows and null ids are kept as they are; further columns are left out.
+
+    A run of texts is a sparse matrix of feature numbers by row. It is multiplied with the weights of one label
+    after the other, so memory follows the run's features and not their product with the labels.
     """
     from pyspark.sql import types as T
 
     labels, matrix = model
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
     source = docs.select(*keep, F.col(text).alias("_text"))
     schema = T.StructType([*[source.schema[k] for k in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -164,7 +171,8 @@ def identify(docs: DataFrame, model, text="text", keep=("doc_id",), features=FEA
                 if labels and len(found):
                     sums = np.zeros((end - first, len(labels)))
                     some = np.flatnonzero(n)
-                    sums[some] = np.add.reduceat(weights[found], at[:-1][some], axis=0, dtype=np.float64) + weights[features]
+                    for k, column in enumerate(weights):
+                        sums[some, k] = np.add.reduceat(column[found], at[:-1][some], dtype=np.float64) + column[features]
                     top = sums.argmax(1)
                     post = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
                     best[some], share[some] = top[some], post[some]

@@ -1,13 +1,16 @@
 """The text operators against plain Python on small rows with every kind of odd value."""
 
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docflow.llm import language, line_dedup, packing, piece_lattice, repetition
@@ -208,6 +211,72 @@ def test_feature_counts_equal_one_pass_over_all_rows(spark):
     assert (total == want).all()
 
 
+def plain_features(text):
+    """Hashed n-grams of letters, one by one."""
+    line = [0]
+    for c in text or "":
+        if c.isalpha():
+            line.append(ord(c.lower()) if len(c.lower()) == 1 else ord(c))
+        elif line[-1]:
+            line.append(0)
+    if line[-1]:
+        line.append(0)
+    whole, out = (1 << 64) - 1, []
+    for n in language.ORDERS:
+        for window in zip(*[line[k:] for k in range(n)]):
+            if sum(p != 0 for p in window) < max(1, n - 1):
+                continue
+            h = n
+            for p in window:
+                h = (h * 0x100000001B3 + p) & whole
+            h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & whole
+            h = (h ^ (h >> 27)) * 0x94D049BB133111EB & whole
+            out.append((h ^ (h >> 31)) % language.FEATURES)
+    return out
+
+
+def plain_bayes(train, texts):
+    """(label, posterior) of each text by counting in dictionaries and adding logarithms."""
+    counts, docs = {}, Counter()
+    for text, label in train:
+        if label is not None:
+            docs[label] += 1
+            counts.setdefault(label, Counter()).update(plain_features(text))
+    found = []
+    for text in texts:
+        features = plain_features(text)
+        if not features or not docs:
+            found.append(("und", 0.0))
+            continue
+        logs = {}
+        for label in sorted(docs):
+            below = sum(counts[label].values()) + language.SMOOTHING * language.FEATURES
+            logs[label] = math.log(docs[label] / docs.total()) + sum(math.log((counts[label][f] + language.SMOOTHING) / below) for f in features)
+        best = max(logs, key=logs.get)
+        found.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return found
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    pick = random.Random(4)
+    words = {"en": "the cat and dog İx straße", "de": "der und über katze hund", "fr": "le chat été où the", None: "no label"}
+    rows = [(" ".join(pick.choices(words[k].split(), k=pick.randrange(0, 9))) + pick.choice(["", "!", " 12", "\n"]), k) for k in [*words] * 12]
+    rows += [(None, "en"), ("", "fr"), ("12 34", "de"), (rows[0][0], rows[0][1])]
+    train = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    asked = [t for t in TEXTS if len(t or "") < 10_000] + [t for t, _ in rows] + ["the über", "chat dog", "x"]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, language.fit(train)).collect()}
+    for i, (label, score) in enumerate(plain_bayes(rows, asked)):
+        assert found[i][0] == label and found[i][1] == pytest.approx(score, rel=1e-3), repr(asked[i])
+
+
+def test_too_many_labels_are_refused_before_counting(spark):
+    train = spark.range(300).select(F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="labels"):
+        language.fit(train)
+    assert len(language.fit(train.limit(255))[0]) == 255
+
+
 # --- repetition ---------------------------------------------------------------------
 
 
