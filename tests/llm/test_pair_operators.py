@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -385,3 +386,62 @@ def test_compiled_rules_equal_their_meaning(spark):
     rows = spark.createDataFrame([((0.3, 0.1),), ((0.3, 0.6),), ((0.15, 0.1),)], "stats struct<symbols: double, upper: double>")
     got = [r[0] for r in rows.select(rules.score_column((0.5, [(rule, -2.0)]))).collect()]
     assert got == pytest.approx([1 / (1 + math.exp(1.5)), 1 / (1 + math.exp(-0.5)), 1 / (1 + math.exp(-0.5))])
+
+
+def plain_statistics(text):
+    """The statistics of a text, by counting words and runs one by one."""
+    ws, lines = re.findall(r"[^\x20\x09-\x0D]+", text or ""), [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, signs = sum(map(len, ws)), re.findall(r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]", text or "")
+    over = lambda a, b: a / b if b else 0.0
+
+    def covered(size):
+        runs = [tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)]
+        often = Counter(runs)
+        return sum(len(ws[i]) for i in {i + k for i, r in enumerate(runs) if often[r] > 1 for k in range(size)})
+
+    seen, again = set(), 0
+    repeated = 0
+    for line in lines:
+        if line in seen:
+            again, repeated = again + 1, repeated + sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line)))
+        seen.add(line)
+    return {
+        "log_words": math.log1p(len(ws)), "word_length": over(chars, len(ws)), "line_words": over(len(ws), len(lines)),
+        "symbols": over(len(re.findall(r"[#*$%&|<>]", text or "")), chars), "upper": over(len(re.findall("[A-Z]", text or "")), chars),
+        "digits": over(len(re.findall("[0-9]", text or "")), chars), "signs": over(len(signs), chars), "distinct": over(len(set(ws)), len(ws)),
+        "top": over(max(Counter(ws).values(), default=0), len(ws)), "dup_lines": over(again, len(lines)), "dup_line_chars": over(repeated, chars),
+        **{f"dup_{n}": over(covered(n), chars) for n in rules.RUNS}}
+
+
+def test_rule_scores_equal_a_plain_evaluation_and_weights_are_optimal(spark, monkeypatch):
+    rows = [(i, t, q) for i, t, q in quality_rows(300)]
+    rows = [(i, t if i % 7 else t.upper() + " 12, 3.4!\nline\nline\n", q if i % 11 else 1 - q) for i, t, q in rows]
+    odd = [(1000, None), (1001, ""), (1002, " \n\n"), (1003, "one"), (1004, "a b a b a b"), (1005, "é é, 日本 #1")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + odd, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    stats = {r["doc_id"]: r["stats"].asDict() for r in rules.with_statistics(docs).collect()}
+    want = {i: plain_statistics(t) for i, t in [(i, t) for i, t, _ in rows] + odd}
+    assert stats.keys() == want.keys() and all(stats[i] == pytest.approx(want[i]) for i in want)
+
+    every, simplified = set(), rules.simplified
+    monkeypatch.setattr(rules, "simplified", lambda path: every.add(simplified(path)) or simplified(path))
+    learns = F.col("doc_id") % 5 != 0
+    learned = rules.with_statistics(docs)
+    bias, kept = rules.learn(learned, labels, "quality", learns)
+    assert kept and {r for r, _ in kept} <= every and len(kept) < len(every)
+    fires = lambda rule, i: all((want[i][n] > x) if greater else (want[i][n] <= x) for n, greater, x in rule)
+    chance = {i: 1 / (1 + math.exp(-bias - sum(w for r, w in kept if fires(r, i)))) for i in want}
+    found = dict(learned.select("doc_id", rules.score_column((bias, kept))).collect())
+    assert all(found[i] == pytest.approx(chance[i], abs=1e-9) for i in want)
+
+    # The conditions of the least penalised loss: a kept weight's slope meets the penalty, no other exceeds it. Sixty
+    # iterations come within half of the penalty (two hundred within a thousandth); without weights slopes are up to 0.1.
+    taught = [(i, q) for i, _, q in rows if i % 5]
+    slope = lambda rule: sum((chance[i] - q) * fires(rule, i) for i, q in taught) / len(taught)
+    weights = dict(kept)
+    near = rules.PENALTY / 2
+    assert abs(slope(())) < near
+    for rule in every:
+        w = weights.get(rule, 0.0)
+        assert abs(slope(rule)) <= rules.PENALTY + near
+        assert not w or slope(rule) == pytest.approx(-math.copysign(rules.PENALTY, w), abs=near)
