@@ -1,22 +1,19 @@
 """Responses (free text) to structured columns.
 
 Every job takes a DataFrame with a text column and works row by row in native expressions, so
-none of them shuffles; the HTML and XML jobs use Arrow batches.
+none of them shuffles.
 """
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import json_text as J
 from ..functions.boxes import CORNERS, box_or_null, make_box
 from ..functions.shared import let, unfold
 from ..functions.text import WS, as_col, strip, strip_quotes
+from ..functions.xml_text import read_element
 
 # Textual forms of boxes, points, pairs, tags and chat markers.
 _N = r"(\d+)"
@@ -192,33 +189,21 @@ def parse_xml_points(df: DataFrame, text="text") -> DataFrame:
         *rest, "point_no", F.col("p.x").try_cast("bigint").alias("x"), F.col("p.y").try_cast("bigint").alias("y"))
 
 
-_POINT = T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType())])
-_DECODED = T.StructType([
-    T.StructField("points", T.ArrayType(_POINT)), T.StructField("alt", T.StringType()),
-    T.StructField("phrase", T.StringType()),
-])
-
-
-@F.pandas_udf(_DECODED)
-def _decode(texts: pd.Series) -> pd.DataFrame:
-    def one(text):
-        try:
-            element = ET.fromstring(text)
-        except (ET.ParseError, TypeError, ValueError):
-            return None, None, None
-        at = element.attrib.get
-        pairs = range(1, (len(element.attrib) - 1) // 2 + 1)
-        points = [{"x": at(f"x{n}"), "y": at(f"y{n}")} for n in pairs]
-        return points, at("alt"), element.text.strip() if element.text else None
-
-    return pd.DataFrame([one(t) for t in texts], columns=["points", "alt", "phrase"])
+def _decoded(names, values, first) -> Column:
+    at = lambda name: F.get(values, (F.array_position(names, name) - 1).cast("int"))
+    pairs = F.floor((F.size(names) - 1) / 2).cast("int")
+    numbers = F.when(pairs > 0, F.sequence(F.lit(1), pairs)).otherwise(F.array().cast("array<int>"))
+    point = lambda n: F.struct(at(F.concat(F.lit("x"), n.cast("string"))).alias("x"), at(F.concat(F.lit("y"), n.cast("string"))).alias("y"))
+    return F.struct(F.transform(numbers, point).alias("points"), at(F.lit("alt")).alias("alt"), first.alias("phrase"))
 
 
 def decode_points(df: DataFrame, text="text", out="decoded") -> DataFrame:
-    """Adds points, alternative text and phrase of one XML element; null for bad XML."""
+    """Adds points, alternative text and phrase of one XML element; null for bad XML.
+
+    A document type and prefixed names count as bad.
+    """
     bare = F.replace(F.replace(as_col(text), F.lit("```xml"), F.lit("")), F.lit("```"), F.lit(""))
-    read = df.withColumn("_d", _decode(bare))
-    return read.withColumn(out, F.when(F.col("_d.points").isNotNull(), F.col("_d"))).drop("_d")
+    return df.withColumn(out, read_element(bare, _decoded))
 
 
 def clean_markup(html) -> Column:

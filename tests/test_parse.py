@@ -1,5 +1,6 @@
 import json
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,37 @@ def test_decoded_points(responses):
     assert got[3] is None and got[4] is None
 
 
+def element_by_parser(text):
+    try:
+        e = ElementTree.fromstring(text)
+    except (ElementTree.ParseError, TypeError, ValueError):
+        return None
+    points = [(e.attrib.get(f"x{n}"), e.attrib.get(f"y{n}")) for n in range(1, (len(e.attrib) - 1) // 2 + 1)]
+    return points, e.attrib.get("alt"), e.text.strip() if e.text else None
+
+
+def test_decoded_points_equal_an_xml_parser(responses):
+    cases = [
+        None, "", " ", "text", "<a/>", " <a/>\n", "<a></a>", "<a> </a>", "<a>t<b/>u</a>", "<a>t<b></a></b>", "<a/><b/>", "<a/>x", "x<a/>", "<a", "<a b/>",
+        "<a b='1' b='2'/>", "<a><c b='1' b='2'/></a>", "<a alt='1 > 2'/>", "<a alt='1 < 2'/>", "<a alt=\"it's\"/>", "<a alt='a b=\"c\"'/>", "<a alt='&amp;&lt;&#65;&#x1F642;&#10;'/>",
+        "<a alt='&nbsp;'/>", "<a alt='a & b'/>", "<a>a & b</a>", "<a>&#0;</a>", "<a>&#xD800;</a>", "<a>x&#x41;&gt;</a>", "<a>]]></a>", "<a><![CDATA[<b> & ]]>t</a>",
+        "<![CDATA[x]]><a/>", "<!-- n --><a>x<!-- <b> -->y</a><!-- z -->", "<a><!-- -- --></a>", "<?go x?><a><?go?>t</a>", "<?xml version='1.0'?><a>t</a>",
+        " <?xml version='1.0'?><a/>", "<?xml version='1.0' encoding='utf-8'?>\n<a alt='é'>日本</a>", "<?xml?><a/>", "<a alt='x\ty\r\nz'>q\r\nr\rs</a>", "<é alt='1'/>",
+        "<a 1='2'/>", "<1a/>", "< a/>", "<a / >", "<a></ a>", "<a></a >", "<a\nalt = 'x' />", "<a>\x01</a>", "<a alt='x'y='z'/>", "<a xmlns='u' x1='1' y1='2'/>", "<a>🙂<b>c</b></a>",
+        "<p " + " ".join(f"x{n}='{n}' y{n}='{-n}'" for n in range(1, 301)) + " alt='many'>t</p>", "<a>" + "word &amp; " * 20_000 + "</a>", "<a>" * 200 + "x" + "</a>" * 200,
+    ]
+    pick = random.Random(3)
+    bits = ["<a", "<b", ">", "/>", "</a>", "</b>", " x1='1'", " y1=\"2\"", " alt='&lt;'", "t", " ", "&amp;", "&", "<!--c-->", "<![CDATA[d]]>", "]]>", "'"]
+    cases += ["<a" + "".join(pick.choices(bits, k=pick.randrange(1, 9))) + pick.choice(["</a>", "/>", ""]) for _ in range(600)]
+    inner = ["<b>", "</b>", "<b/>", "<b alt='1'/>", "t ", " ", "&amp;", "&#233;", "<!--c-->", "<![CDATA[ d<]]>", "<?n o?>", "\n"]
+    cases += ["<a" + pick.choice(["", " x1='1' y1='2'", " alt='&lt;'"]) + ">" + "".join(pick.choices(inner, k=pick.randrange(6))) + "</a>" for _ in range(300)]
+    got = {r["doc_id"]: r["decoded"] for r in parse.decode_points(responses(*cases)).collect()}
+    found = [got[i] and ([tuple(p) for p in got[i]["points"]], got[i]["alt"], got[i]["phrase"]) for i in range(len(cases))]
+    wrong = [(c, f, element_by_parser(c)) for c, f in zip(cases, found, strict=True) if f != element_by_parser(c)]
+    assert not wrong, wrong[:5]
+    assert 150 < sum(f is not None for f in found) < 500
+
+
 def test_clean_markup(apply):
     cases = {
         '<div style="color: red; font-size: 12px;">T</div>': '<div style=" font-size: 12px;">T</div>',

@@ -81,7 +81,7 @@ def test_python_only_where_needed(spark):
     with_python = {
         n for n in ("check_quota", "histogram_stats", "sign_payloads", "resolve_keys", "sample_evenly", "pair_turns", "check_totals", "rate_limit", "decode_points")
         if any(mark in plan(entry_points.queries()[n](spark, SF)) for mark in ("MapInArrow", "ArrowEvalPython", "BatchEvalPython"))}
-    assert with_python == {"rate_limit", "decode_points"}
+    assert with_python == {"rate_limit"}
 
 
 def test_dimension_tables_are_the_small_side(spark):
