@@ -54,12 +54,16 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     an id and differ in text all stay if the id does. Rows with a null id are in no group and stay.
     """
     found = near_duplicates.near_duplicates(docs)
-    stay = staged(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")), "stay")
-    rows = _whole(docs, F.col("doc_id").alias("id"), "text")
-    once = rows.join(stay.where("n = 1"), F.col("id") == F.col("_id"), "left_semi").select("row")
-    again = rows.join(stay.where("n > 1"), F.col("id") == F.col("_id"), "left_semi")
-    one = again.groupBy("id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.col("text").isNull()).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return once.unionByName(one.select("row")).unionByName(rows.where("id IS NULL").select("row")).select("row.*")
+    kept = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("n"))
+    # Most ids keep one row. The others are the shorter list, and written: Spark sees its size and need not shuffle whole texts to join it.
+    others = staged(kept.where("n != 1"), "others")
+    repeated = staged(others.where("n > 1"), "repeated")
+    rows = _whole(docs, F.col("doc_id").alias("id"))
+    once = rows.join(others, F.col("id") == F.col("_id"), "left_anti")
+    again = rows.join(repeated, F.col("id") == F.col("_id"), "left_semi")
+    text = F.col("row.text")
+    one = again.groupBy("id", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), text.isNull()).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.select("row").unionByName(one.select("row")).select("row.*")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,20 @@ def test_one_id_with_two_texts_keeps_both(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
     kept = corpus_pipeline.near_deduplication(spark, docs, "").collect()
     assert sorted(((r["doc_id"] or 0), r["text"][:3]) for r in kept) == [(0, "alp"), (1, "one"), (1, "red"), (2, "alp")]
+
+
+def test_near_deduplication_shuffles_no_kept_text(spark, capsys):
+    rows = [(i, " ".join(f"w{i * 7 + k}x{k}" for k in range(6))) for i in range(3000)]
+    rows += [(9000 + i, rows[i][1]) for i in range(20)] + [(9100, "one two three four five six"), (9100, "six five four three two one"), (9100, "one two three four five six"), (None, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, "s", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars int")
+    whole = sorted([(i, t) for i, t in rows[:3000]] + [(9100, "one two three four five six"), (9100, "six five four three two one"), (-1, rows[0][1])])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("4k", "-1"):  # the list of all kept ids is longer than the first, and nothing is sent under the second
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            out = corpus_pipeline.near_deduplication(spark, docs, "")
+            out.explain()
+            assert ("SortMergeJoin" in capsys.readouterr().out) == (limit == "-1")
+            assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out.collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
