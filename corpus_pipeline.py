@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm import line_dedup, near_duplicates, packing, repetition, rules
 from docflow.llm.catalog import share_of
+from docflow.llm.marks import with_mark
 from docflow.llm.staging import staged
 
 
@@ -55,15 +56,16 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     found = near_duplicates.near_duplicates(docs)
     kept = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("n"))
-    # Most ids keep one row. The others are the shorter list, and written: Spark sees its size and need not shuffle whole texts to join it.
+    # Most ids keep one row. The others are the shorter list; only rows that may be in it are joined, so that few texts are shuffled.
     others = staged(kept.where("n != 1"), "others")
     repeated = staged(others.where("n > 1"), "repeated")
-    rows = _whole(docs, F.col("doc_id").alias("id"))
-    once = rows.join(others, F.col("id") == F.col("_id"), "left_anti")
-    again = rows.join(repeated, F.col("id") == F.col("_id"), "left_semi")
+    rows = with_mark(_whole(docs, F.col("doc_id").alias("id")), "id", others.select("_id"))
+    maybe = rows.where("maybe").select("row", "id")
+    once = rows.where("NOT maybe").select("row").unionByName(maybe.join(others, F.col("id") == F.col("_id"), "left_anti").select("row"))
+    again = maybe.join(repeated, F.col("id") == F.col("_id"), "left_semi")
     text = F.col("row.text")
     one = again.groupBy("id", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), text.isNull()).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return once.select("row").unionByName(one.select("row")).select("row.*")
+    return once.unionByName(one.select("row")).select("row.*")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

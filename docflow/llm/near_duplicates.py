@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
+from .marks import with_mark
 from .staging import staged
 from .text_bytes import Hasher, lower_ascii, mix, shingles, text_runs, words
 
@@ -311,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
     members = staged(files.join(shared.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file")).drop("_file"), "members")
     near = staged(members.select(F.col("node").alias("_id")).distinct(), "near")
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    texts = staged(whole.join(near, F.col("id") == F.col("_id"), "left_semi"), "texts")
+    texts = staged(with_mark(whole, "id", near).where("maybe").drop("maybe").join(near, F.col("id") == F.col("_id"), "left_semi"), "texts")
     stars = staged(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     links = _confirmed(_close(_with_signatures(stars, classes), distance, percent), texts, size, percent, "star")
     # Files of three and more members may still part what belongs together.

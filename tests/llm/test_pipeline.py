@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docflow.llm.marks import with_mark
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, stats double, `_id` string, n_dropped int, score string"
 
@@ -80,3 +81,14 @@ def test_near_deduplication_shuffles_no_kept_text(spark, capsys):
             assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out.collect()) == whole
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_marks_miss_no_id(spark):
+    rows = spark.range(-10, 20_000).unionByName(spark.createDataFrame([(None,)], "id long"))
+    for listed in ([], [None, -5], [None, *range(0, 25_000, 7)], list(range(-10, 20_000))):
+        ids = spark.createDataFrame([(i,) for i in listed], "_id long")
+        found = {r["id"]: r["maybe"] for r in with_mark(rows, "id", ids).collect()}
+        assert len(found) == 20_011 and not found[None]
+        there = {i for i in listed if i in found and i is not None}
+        marked = {i for i, m in found.items() if m}
+        assert there <= marked and len(marked - there) < 0.05 * len(found)
