@@ -157,20 +157,26 @@ def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _fine(texts: DataFrame, size: int) -> DataFrame:
-    """(node, fine): the fine signature of each text."""
+    """(node, n_shingles, signature, fine) of each text; the fine signature has further values of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for first, end, data, offsets in text_runs(batch.column(1)):
-                found = signatures(*text_sets(data, offsets, hasher, size), FINE, VALUES).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([r.tobytes() for r in found], pa.binary())], names=["node", "fine"])
+                sets, at = text_sets(data, offsets, hasher, size)
+                coarse, fine = signatures(sets, at), signatures(sets, at, FINE, VALUES).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, end - first), pa.array(np.diff(at)), *[pa.array([r.tobytes() for r in found], pa.binary()) for found in (coarse, fine)]],
+                    names=["node", "n_shingles", "signature", "fine"])
 
-    return texts.select("id", "text").mapInArrow(run, "node long, fine binary")
+    return texts.select("id", "text").mapInArrow(run, "node long, n_shingles long, signature binary, fine binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """The pairs whose full sets have the similarity; both texts are read and compared whole."""
+    """The pairs whose full sets have the similarity; both texts are read and compared whole.
+
+    A pair comes several times if its ids stand for several texts.
+    """
     pairs = staged(pairs, f"{name}-pairs")
     left = texts.select(F.col("id").alias("_a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("id").alias("_b"), F.col("text").alias("b_text"))
@@ -197,7 +203,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name
                     good[a + k] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
+    return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
 def _first_shared(equal, part_starts):
@@ -217,22 +223,24 @@ def _across(members: DataFrame, chunks: int, distance: int, fine: int, percent:
     rest meets every block of the file, so no task holds a whole file, and ``main`` never meets itself.
     """
     spot = F.xxhash64("node")
-    columns = ["node", "component", "n_shingles", "signature", "fine"]
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    every = members.select("file", F.pmod(spot, F.col("blocks")).alias("block"), upto("rest_blocks").alias("rest_block"), F.lit(False).alias("rest"), *columns)
-    rest = members.where("component != main").select(
-        "file", upto("blocks").alias("block"), F.pmod(spot, F.col("rest_blocks")).alias("rest_block"), F.lit(True).alias("rest"), *columns)
+    columns = ["node", "component", "main", "n_shingles", "signature", "fine"]
+    upto = lambda c, place: F.transform(F.sequence(F.lit(0).cast("long"), F.col(c) - 1), place)
+    meets = lambda block, rest_block, rest: F.struct(block.alias("block"), rest_block.alias("rest_block"), F.lit(rest).alias("rest"))
+    every = upto("rest_blocks", lambda k: meets(F.pmod(spot, F.col("blocks")), k, False))
+    rest = upto("blocks", lambda k: meets(k, F.pmod(spot, F.col("rest_blocks")), True))
+    dealt = members.select("file", *columns, F.explode(F.when(F.col("component") != F.col("main"), F.concat(every, rest)).otherwise(every)).alias("at"))
     keys = ["file", "block", "rest_block"]
     part_starts = np.array([p[0] for p in np.array_split(np.arange(VALUES), chunks)])
 
     def pairs(rows: pa.Table, out_a: list, out_b: list) -> None:
-        node, comp, n, rest_ = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "rest"))
+        node, comp, main, n, rest_ = (rows.column(c).to_numpy() for c in ("node", "component", "main", "n_shingles", "rest"))
         signs, fines = _matrix(rows.column("signature")), _matrix(rows.column("fine"), np.uint8, FINE)
         left, right = np.flatnonzero(rest_), np.flatnonzero(~rest_)
         pattern = rows.column("file")[0].as_py() & (VALUES - 1)
         for k in range(0, len(left), 64):
             i, j = (x.ravel() for x in np.meshgrid(left[k : k + 64], right, indexing="ij"))
-            fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            once = (comp[j] == main[j]) | (node[i] > node[j])  # two of the rest meet twice
+            fit = once & (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[fit], j[fit]
             equal = signs[i] == signs[j]
             near = (~equal).sum(1) <= distance
@@ -260,7 +268,7 @@ def _across(members: DataFrame, chunks: int, distance: int, fine: int, percent:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return every.unionByName(rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("file", "at.*", *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def _unlike(pairs: DataFrame, others: DataFrame) -> DataFrame:
@@ -268,11 +276,15 @@ def _unlike(pairs: DataFrame, others: DataFrame) -> DataFrame:
     return pairs.join(other, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
 
 
+def _linked(parts: DataFrame) -> DataFrame:
+    """Links (a, b) that keep each component (node, component) together, one for each further node."""
+    return parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _parted(members: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """The members (file, node, n) of files with several components, with their own and the file's largest one,
     and the number of blocks of members outside that one."""
-    parts = staged(parts.withColumnRenamed("node", "_node"), f"{name}-parts")
-    placed = staged(members.join(parts, F.col("node") == F.col("_node"), "left").select(
+    placed = staged(members.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "file", "node", "n", F.coalesce("component", "node").alias("component")), f"{name}-placed")
     counted = placed.groupBy("file", "component").agg(F.count("*").alias("k")).groupBy(F.col("file").alias("_file")).agg(
         F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
@@ -301,38 +313,35 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
     rows = staged(profiles(docs, id_col, text, size), "profiles")
     some = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     key = ["set_1", "set_2"]
-    sets = staged(rows.where(some).groupBy(*key).agg(F.min("id").cast("long").alias("node")), "sets")
-    named = staged(
-        rows.where(some).join(sets.select(*[F.col(c).alias(f"_{c}") for c in key], "node"), [F.col(c) == F.col(f"_{c}") for c in key])
-        .select("id", "n_shingles", "node", *key, F.when(F.col("id") == F.col("node"), F.col("signature")).alias("signature")), "named")
-    classes = staged(named.where("signature IS NOT NULL").dropDuplicates(["node", *key]).select("node", "n_shingles", "signature"), "classes")
+    # Equal sets have equal signatures, so any of a class's will do.
+    classes = staged(rows.where(some).groupBy(*key).agg(
+        F.min("id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     # Files with several members, and then those members.
     files = filed(classes, chunks)
     shared = staged(files.groupBy("file").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "files")
     members = staged(files.join(shared.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file")).drop("_file"), "members")
-    near = staged(members.select(F.col("node").alias("_id")).distinct(), "near")
+    stars = staged(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    near = staged(stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "near")
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     texts = staged(with_mark(whole, "id", near).where("maybe").drop("maybe").join(near, F.col("id") == F.col("_id"), "left_semi"), "texts")
-    stars = staged(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    links = _confirmed(_close(_with_signatures(stars, classes), distance, percent), texts, size, percent, "star")
+    parts = components(_confirmed(_close(_with_signatures(stars, classes), distance, percent), texts, size, percent, "star"))
     # Files of three and more members may still part what belongs together.
-    open_ = _parted(members.where("n > 2").select("file", "node", "n"), components(links), "first")
+    open_ = _parted(members.where("n > 2").select("file", "node", "n"), parts, "first")
     outside = open_.where("component != main").select("file", "node")
     inside = open_.where("component = main").groupBy(F.col("file").alias("_file")).agg(
         *[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("node"))).alias(f"p{k}") for k in range(PIVOTS)])
     tried = outside.join(staged(inside, "pivots"), F.col("file") == F.col("_file")).select("node", F.explode(F.array(*[f"p{k}.node" for k in range(PIVOTS)])).alias("other"))
     tried = staged(_unlike(tried.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), stars), "tried")
-    links = links.unionByName(_confirmed(_close(_with_signatures(tried, classes), distance, percent), texts, size, percent, "pivot"))
-    open_ = _parted(open_.select("file", "node", "n"), components(links), "second").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    parts = components(_linked(parts).unionByName(_confirmed(_close(_with_signatures(tried, classes), distance, percent), texts, size, percent, "pivot")))
+    open_ = _parted(open_.select("file", "node", "n"), parts, "second").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     inside = staged(open_.select(F.col("node").alias("_id")).distinct(), "open-nodes")
-    fines = staged(_fine(texts.join(inside, F.col("id") == F.col("_id"), "left_semi"), size), "fine")
-    own = staged(classes.join(fines.withColumnRenamed("node", "_id"), F.col("node") == F.col("_id")).select(F.col("node").alias("_node"), "n_shingles", "signature", "fine"), "open-classes")
-    across = _across(open_.join(own, F.col("node") == F.col("_node")).drop("_node"), chunks, distance, fine_distance(percent / 100), percent)
-    fresh = _unlike(_unlike(staged(across, "across"), stars), tried)
-    links = links.unionByName(_confirmed(fresh, texts, size, percent, "across"))
-    parts = staged(components(links), "parts")
-    linked = named.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
-        "id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    fines = staged(_fine(texts.join(inside, F.col("id") == F.col("_id"), "left_semi"), size).where("n_shingles > 0"), "fine")
+    across = _across(open_.join(fines.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node"), chunks, distance, fine_distance(percent / 100), percent)
+    fresh = _unlike(_unlike(across, stars), tried)
+    parts = components(_linked(parts).unionByName(_confirmed(fresh, texts, size, percent, "across")))
+    named = classes.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
+        *[F.col(c).alias(f"_{c}") for c in key], F.coalesce("component", "node").alias("component_id"))
+    linked = rows.where(some).join(named, [F.col(c) == F.col(f"_{c}") for c in key]).select("id", "n_shingles", "component_id")
     alone = rows.where(~some | F.col("id").isNull()).select("id", "n_shingles", F.col("id").cast("long").alias("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.llm import components, hnsw, near_duplicates, near_vectors, ppm, rules, warc
+from docflow.llm import components, hnsw, near_duplicates, near_vectors, ppm, rules, staging, warc
 
 
 def roots(nodes, links):
@@ -39,6 +39,28 @@ def test_components_equal_union_find(spark, links):
     assert got == {n: r for n, r in roots({x for p in links for x in p}, links).items() if n in nodes}
 
 
+def shuffles(spark, monkeypatch, run):
+    """How many shuffles the written steps of ``run`` plan, before adaptive execution replaces any."""
+    found = []
+
+    def counted(df, name):
+        found.append(len(re.findall(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString())))
+        return staging.staged(df, name)
+
+    for module in (components, near_duplicates):
+        monkeypatch.setattr(module, "staged", counted)
+    result = run()
+    return sum(found), result
+
+
+def test_finished_components_need_one_shuffle(spark, monkeypatch):
+    """Links that point at the smallest already are seen to do so; nothing is joined."""
+    stars = spark.createDataFrame([(i, i // 10 * 10) for i in range(50)] * 2, "a long, b long")
+    n, result = shuffles(spark, monkeypatch, lambda: components.components(stars))
+    assert n == 1
+    assert sorted((r["node"], r["component"]) for r in result.collect()) == [(i, i // 10 * 10) for i in range(50)]
+
+
 # --- near duplicates --------------------------------------------------------------------
 
 
@@ -103,6 +125,19 @@ def test_chains_and_blocks_keep_every_link(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == want
 
 
+def test_groups_need_few_shuffles(spark, monkeypatch):
+    """Each shuffle has all its partitions even for a few rows, so their number is what small tables cost."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    pick = random.Random(7)
+    base = [[f"w{pick.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    rows = [(i, " ".join(w if k != i % 20 else f"x{i}" for k, w in enumerate(base[i % 3]))) for i in range(90)]
+    table = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string")
+    n, result = shuffles(spark, monkeypatch, lambda: near_duplicates.near_duplicates(table, size=3, similarity=0.85))
+    want, _ = plain_components(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in result.collect()} == want
+    assert n <= 40  # 72 before finished components, classes and links were spared theirs
+
+
 def test_every_pair_under_the_distance_shares_a_file():
     chunks = near_duplicates.chunks_for(0.85)
     plan, pick = near_duplicates.patterns(chunks), np.random.default_rng(1)
