@@ -150,7 +150,7 @@ def _close(pairs: DataFrame, distance: int, percent: int) -> DataFrame:
 
 def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     out = pairs
-    for side in "ab":
+    for side in "ba":  # many pairs may share b: they meet it while their rows are short
         own = classes.select(F.col("node").alias(f"_{side}"), F.col("n_shingles").alias(f"{side}_n"), F.col("signature").alias(f"{side}_signature"))
         out = out.join(own, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
     return out
@@ -172,15 +172,15 @@ def _fine(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "node long, n_shingles long, signature binary, fine binary")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity; both texts are read and compared whole.
 
-    A pair comes several times if its ids stand for several texts.
+    A pair comes several times if its ids stand for several texts. Many pairs may share b, which joins
+    first, while their rows are short; few share a.
     """
-    pairs = staged(pairs, f"{name}-pairs")
     left = texts.select(F.col("id").alias("_a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("id").alias("_b"), F.col("text").alias("b_text"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).drop("_a").join(right, F.col("b") == F.col("_b")).drop("_b")
+    both = pairs.join(right, F.col("b") == F.col("_b")).drop("_b").join(left, F.col("a") == F.col("_a")).drop("_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -203,7 +203,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name
                     good[a + k] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), f"{name}-links")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def _first_shared(equal, part_starts):
@@ -286,9 +286,9 @@ def _parted(members: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     and the number of blocks of members outside that one."""
     placed = staged(members.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "file", "node", "n", F.coalesce("component", "node").alias("component")), f"{name}-placed")
-    counted = placed.groupBy("file", "component").agg(F.count("*").alias("k")).groupBy(F.col("file").alias("_file")).agg(
+    counted = placed.repartition("file").groupBy("file", "component").agg(F.count("*").alias("k")).groupBy(F.col("file").alias("_file")).agg(
         F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
-    mixed = staged(counted.where("rest > 0").withColumn("rest_blocks", F.ceil(F.col("rest") / BLOCK).cast("long")), f"{name}-mixed")
+    mixed = counted.where("rest > 0").withColumn("rest_blocks", F.ceil(F.col("rest") / BLOCK).cast("long"))
     return staged(placed.join(mixed, F.col("file") == F.col("_file")).drop("_file"), f"{name}-open")
 
 
@@ -318,27 +318,28 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
         F.min("id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     # Files with several members, and then those members.
     files = filed(classes, chunks)
-    shared = staged(files.groupBy("file").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "files")
-    members = staged(files.join(shared.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file")).drop("_file"), "members")
+    shared = files.groupBy(F.col("file").alias("_file")).agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = staged(files.join(shared, F.col("file") == F.col("_file")).drop("_file"), "members")
     stars = staged(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    near = staged(stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "near")
+    near = stars.select(F.explode(F.array("a", "b")).alias("_id"))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    texts = staged(with_mark(whole, "id", near).where("maybe").drop("maybe").join(near, F.col("id") == F.col("_id"), "left_semi"), "texts")
-    parts = components(_confirmed(_close(_with_signatures(stars, classes), distance, percent), texts, size, percent, "star"))
+    texts = staged(with_mark(whole, "id", near).where("maybe").drop("maybe").join(near.distinct(), F.col("id") == F.col("_id"), "left_semi"), "texts")
+    parts = components(_confirmed(_close(_with_signatures(stars, classes), distance, percent), texts, size, percent))
     # Files of three and more members may still part what belongs together.
     open_ = _parted(members.where("n > 2").select("file", "node", "n"), parts, "first")
     outside = open_.where("component != main").select("file", "node")
     inside = open_.where("component = main").groupBy(F.col("file").alias("_file")).agg(
         *[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("node"))).alias(f"p{k}") for k in range(PIVOTS)])
-    tried = outside.join(staged(inside, "pivots"), F.col("file") == F.col("_file")).select("node", F.explode(F.array(*[f"p{k}.node" for k in range(PIVOTS)])).alias("other"))
+    tried = outside.join(inside, F.col("file") == F.col("_file")).select("node", F.explode(F.array(*[f"p{k}.node" for k in range(PIVOTS)])).alias("other"))
     tried = staged(_unlike(tried.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), stars), "tried")
-    parts = components(_linked(parts).unionByName(_confirmed(_close(_with_signatures(tried, classes), distance, percent), texts, size, percent, "pivot")))
+    close = staged(_close(_with_signatures(tried, classes), distance, percent), "pivot-pairs")
+    parts = components(_linked(parts).unionByName(_confirmed(close, texts, size, percent)))
     open_ = _parted(open_.select("file", "node", "n"), parts, "second").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    inside = staged(open_.select(F.col("node").alias("_id")).distinct(), "open-nodes")
-    fines = staged(_fine(texts.join(inside, F.col("id") == F.col("_id"), "left_semi"), size).where("n_shingles > 0"), "fine")
+    wanted = with_mark(texts, "id", open_.select("node")).where("maybe")
+    fines = staged(_fine(wanted, size).where("n_shingles > 0"), "fine")
     across = _across(open_.join(fines.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node"), chunks, distance, fine_distance(percent / 100), percent)
-    fresh = _unlike(_unlike(across, stars), tried)
-    parts = components(_linked(parts).unionByName(_confirmed(fresh, texts, size, percent, "across")))
+    fresh = staged(_unlike(_unlike(across, stars), tried), "across-pairs")
+    parts = components(_linked(parts).unionByName(_confirmed(fresh, texts, size, percent)))
     named = classes.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         *[F.col(c).alias(f"_{c}") for c in key], F.coalesce("component", "node").alias("component_id"))
     linked = rows.where(some).join(named, [F.col(c) == F.col(f"_{c}") for c in key]).select("id", "n_shingles", "component_id")

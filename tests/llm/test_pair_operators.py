@@ -138,6 +138,22 @@ def test_groups_need_few_shuffles(spark, monkeypatch):
     assert n <= 40  # 72 before finished components, classes and links were spared theirs
 
 
+def test_groups_write_few_steps(spark, monkeypatch):
+    """A step has a writing task for each of a shuffle's partitions, which costs more than the shuffle does."""
+    written = []
+
+    def counted(df, name):
+        written.append(name)
+        return staging.staged(df, name)
+
+    monkeypatch.setattr(near_duplicates, "staged", counted)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text), (3, text + " x"), (4, text + " x y"), (5, "other words here"), (6, ""), (7, None)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, similarity=0.85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}
+    assert len(written) <= 13, written  # 23 before steps that are read once stayed in their query
+
+
 def test_every_pair_under_the_distance_shares_a_file():
     chunks = near_duplicates.chunks_for(0.85)
     plan, pick = near_duplicates.patterns(chunks), np.random.default_rng(1)
